@@ -1,0 +1,13 @@
+"""The same results in plain SQL, for checking the Spark queries with another engine.
+
+Written against the results' meaning, not against the DataFrame code. Only the
+derivation of the input tables is shared.
+"""
+
+from __future__ import annotations
+
+from oracle import history, metadata, policies
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**policies.SQL, **metadata.SQL, **history.SQL}

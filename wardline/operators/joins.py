@@ -1,0 +1,20 @@
+"""Joining a long log with metadata."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` holds at most ``max_rows``.
+
+    For the few joins whose other side is the raw query log: AQE would see the small
+    side only after the log has been shuffled. Beyond the bound the join stays a shuffle
+    join, with AQE splitting skewed partitions. Use on narrow rows only.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
