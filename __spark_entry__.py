@@ -86,7 +86,7 @@ def _governed(build: Callable[[Governance], DataFrame]) -> Query:
 
 
 def _audit(build: Callable[[audits.AuditInputs], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(audits.AuditInputs.of(demo.governance(spark, sf_dir)))
+    return lambda spark, sf_dir: build(audits.AuditInputs(demo.governance(spark, sf_dir)))
 
 
 def _row_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _row_detach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _row_droppable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policies = spark.createDataFrame([(name,) for name in A.ROW_POLICIES], "policy_name string")
+    policies = registry.literal_table(spark, [(name,) for name in A.ROW_POLICIES], "policy_name string")
     return registry.droppable_policies(demo.governance(spark, sf_dir).policy_references, policies)
 
 
@@ -145,14 +145,14 @@ def _role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     gov = demo.governance(spark, sf_dir)
-    paths = report.export_reports(audits.AuditInputs.of(gov), storage.fresh_dir(spark, "export"))
+    paths = report.export_reports(audits.AuditInputs(gov), storage.fresh_dir(spark, "export"))
     return report.exported_row_counts(gov, paths)
 
 
 def _daily_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     gov = demo.governance(spark, sf_dir)
     path = storage.fresh_dir(spark, "audit-log")
-    report.log_results([report.daily_pii_check(audits.AuditInputs.of(gov))], path, gov.clock.as_of_date)
+    report.log_results([report.daily_pii_check(audits.AuditInputs(gov))], path, gov.clock.as_of_date)
     return storage.read_audit_log(spark, path)
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from wardline.sources import demo, registry
 
 
+def _columns_of(named: dict[str, str]) -> str:
+    return ", ".join(demo.projection(named))
+
+
 def _values(rows, names: str) -> str:
     def literal(v):
         return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
@@ -53,15 +57,15 @@ ROLE_GROUP = dict(_ROLES)
 
 # name -> (tables it reads, definition)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
-    "person": ((), f"SELECT {demo.PERSON_SELECT} FROM orders"),
-    "columns": ((), f"SELECT {demo.COLUMNS_SELECT} FROM part"),
+    "person": ((), f"SELECT {_columns_of(demo.PERSON)} FROM orders"),
+    "columns": ((), f"SELECT {_columns_of(demo.COLUMNS)} FROM part"),
     "policy_references": (
         ("columns",),
-        f"SELECT {demo.MASKING_ATTACHMENTS_SELECT} FROM columns WHERE {demo.MASKING_ATTACHMENTS_WHERE} "
-        f"UNION ALL SELECT {demo.ROW_ATTACHMENTS_SELECT} FROM columns WHERE {demo.ROW_ATTACHMENTS_WHERE}",
+        f"SELECT {_columns_of(demo.MASKING_ATTACHMENTS)} FROM columns WHERE {demo.MASKING_ATTACHMENTS_WHERE} "
+        f"UNION ALL SELECT {_columns_of(demo.ROW_ATTACHMENTS)} FROM columns WHERE {demo.ROW_ATTACHMENTS_WHERE}",
     ),
     "tag_references": (("columns",), _TAG_REFERENCES),
-    "query_history": ((), f"SELECT {demo.QUERY_HISTORY_SELECT} FROM events"),
+    "query_history": ((), f"SELECT {_columns_of(demo.QUERY_HISTORY)} FROM events"),
     "tables": (
         ("columns",),
         "SELECT DISTINCT table_catalog, table_schema, table_name, "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,77 +13,73 @@ from wardline.functions.masking import MASKING_POLICIES, MaskingPolicy
 from wardline.functions.rowaccess import RowPolicy
 
 
+def _views(df: DataFrame, column: str, policy: MaskingPolicy, *keep: str) -> DataFrame:
+    """``keep`` and one column per distinct view of ``column``: ``view_0``, ``view_1`` and so on."""
+    dtype = df.schema[column].dataType
+    return df.select(
+        *keep,
+        *(view.expr(F.col(column), dtype).alias(f"view_{i}") for i, view in enumerate(policy.views)),
+    )
+
+
 def mask_for_roles(
     df: DataFrame, key: str, column: str, policy: MaskingPolicy, roles: Sequence[str]
 ) -> DataFrame:
-    """``(key, role, masked)`` for each row and role, from a single scan."""
-    dtype = df.schema[column].dataType
+    """``(key, role, masked)`` for each row and role: one scan, each distinct view computed once."""
     per_role = [
-        F.struct(F.lit(role).alias("role"), policy.mask(F.col(column), role, dtype).alias("masked"))
+        F.struct(F.lit(role).alias("role"), F.col(f"view_{policy.view_index(role)}").alias("masked"))
         for role in roles
     ]
-    return df.select(key, F.inline(F.array(*per_role)))
+    return _views(df, column, policy, key).select(key, F.inline(F.array(*per_role)))
 
 
-def _per_view(df: DataFrame, columns: Mapping[str, str], outcome) -> DataFrame:
-    """One row per input row, policy and distinct view of it: roles that see the same are not repeated."""
-    entries = []
-    for name, column in columns.items():
-        policy = MASKING_POLICIES[name]
-        dtype = df.schema[column].dataType
-        for i, view in enumerate(policy.views):
-            raw = F.col(column)
-            entries.append(
-                F.struct(
-                    F.lit(name).alias("policy"),
-                    F.lit(i).alias("view"),
-                    *outcome(policy, view, raw, view.expr(raw, dtype)),
-                )
-            )
-    return df.select(F.inline(F.array(*entries)))
-
-
-def _roles_of_views(columns: Mapping[str, str], roles: Sequence[str]) -> Column:
-    """Array of the roles that get a given (policy, view)."""
-    cases = F.array().cast("array<string>")
-    for name in columns:
-        policy = MASKING_POLICIES[name]
-        for i in range(len(policy.views)):
-            members = [F.lit(r) for r in roles if policy.view_index(r) == i]
-            cases = F.when(
-                (F.col("policy") == name) & (F.col("view") == i),
-                F.array(*members) if members else F.array().cast("array<string>"),
-            ).otherwise(cases)
-    return cases
-
-
-def _shape(policy: MaskingPolicy, view, raw: Column, out: Column) -> list[Column]:
-    is_constant = out.isin(*policy.constants) if policy.constants else F.lit(False)
-    return [
-        F.when(out.isNull(), "null")
-        .when(out == raw, "raw")
-        .when(is_constant, "constant")
-        .otherwise("partial")
-        .alias("shape")
+def _per_role(counts: DataFrame, policy: MaskingPolicy, roles: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Spread one row of ``<field>_<view>`` counts over the roles."""
+    entries = [
+        f"named_struct('policy', '{policy.name}', 'role', '{role}', "
+        + ", ".join(f"'{field}', {field}_{policy.view_index(role)}" for field in fields)
+        + ")"
+        for role in roles
     ]
+    return counts.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+def _for_each_policy(columns: Mapping[str, str], check) -> DataFrame:
+    """Union of a check over the policies.
+
+    Each reads its one column. In a columnar file that is no more than reading all
+    columns together, and the generated code stays small enough to be compiled.
+    """
+    return reduce(DataFrame.unionByName, (check(MASKING_POLICIES[name], c) for name, c in columns.items()))
 
 
 def mask_matrix(df: DataFrame, columns: Mapping[str, str], roles: Sequence[str]) -> DataFrame:
     """Every policy with every role: how many values come out raw, partial, constant or null.
 
-    Counts per distinct view first (one shuffle of a few dozen groups), and gives each
-    role its view's counts afterwards, so the table is not multiplied by the roles.
+    Counted per distinct view in a global aggregate, so rows are neither multiplied by the
+    roles nor shuffled; only the counts are given to each role.
     """
-    counts = (
-        _per_view(df, columns, _shape)
-        .groupBy("policy", "view")
-        .agg(*(F.count_if(F.col("shape") == s).alias(f"{s}_rows") for s in ("raw", "partial", "constant", "null")))
-    )
-    return counts.select(
+
+    def check(policy: MaskingPolicy, column: str) -> DataFrame:
+        constants = ", ".join(f"'{c}'" for c in policy.constants)
+        counts = []
+        for i in range(len(policy.views)):
+            out = f"view_{i}"
+            constant = f"{out} IN ({constants}) AND NOT {out} <=> {column}" if constants else "FALSE"
+            counts += [
+                f"count({out}) AS present_{i}",
+                f"count(*) - count({out}) AS null_rows_{i}",
+                f"count_if({out} = {column}) AS raw_rows_{i}",
+                f"count_if({constant}) AS constant_rows_{i}",
+            ]
+        counted = _views(df, column, policy, column).selectExpr(*counts)
+        return _per_role(counted, policy, roles, ("present", "raw_rows", "constant_rows", "null_rows"))
+
+    return _for_each_policy(columns, check).selectExpr(
         "policy",
-        F.explode(_roles_of_views(columns, roles)).alias("role"),
+        "role",
         "raw_rows",
-        "partial_rows",
+        "present - raw_rows - constant_rows AS partial_rows",
         "constant_rows",
         "null_rows",
     )
@@ -91,28 +88,19 @@ def mask_matrix(df: DataFrame, columns: Mapping[str, str], roles: Sequence[str])
 def policy_value_audit(df: DataFrame, columns: Mapping[str, str], roles: Sequence[str]) -> DataFrame:
     """Per policy and role: values present, and values a masking view let through unchanged."""
 
-    def outcome(policy, view, raw, out):
-        return [
-            raw.isNotNull().alias("present"),
-            (F.lit(False) if view.raw else F.coalesce(out == raw, F.lit(False))).alias("leaked"),
-        ]
-
-    counts = (
-        _per_view(df, columns, outcome)
-        .groupBy("policy", "view")
-        .agg(
-            F.count("*").alias("total_rows"),
-            F.count_if("present").alias("present_rows"),
-            F.count_if("leaked").alias("leaked_rows"),
-        )
-    )
-    return counts.select(
-        "policy",
-        F.explode(_roles_of_views(columns, roles)).alias("role"),
-        "total_rows",
-        "present_rows",
-        "leaked_rows",
-    )
+    def check(policy: MaskingPolicy, column: str) -> DataFrame:
+        counts = []
+        for i, view in enumerate(policy.views):
+            leaked = "FALSE" if view.raw else f"view_{i} = {column}"
+            counts += [
+                f"count(*) AS total_rows_{i}",
+                f"count({column}) AS present_rows_{i}",
+                f"count_if({leaked}) AS leaked_rows_{i}",
+            ]
+        counted = _views(df, column, policy, column).selectExpr(*counts)
+        return _per_role(counted, policy, roles, ("total_rows", "present_rows", "leaked_rows"))
+
+    return _for_each_policy(columns, check)
 
 
 def _allowed(policies: Mapping[str, RowPolicy], role: str, as_of: date) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -60,31 +60,36 @@ POLICY_CHANGE_TYPES = ("CREATE", "ALTER", "DROP")
 POLICY_CHANGE_TEXTS = ("%MASKING%POLICY%", "%ROW%ACCESS%POLICY%", "%TAG%")
 
 
-@dataclass(frozen=True)
 class AuditInputs:
-    """Governance tables plus the views several audits read."""
+    """Governance tables plus the views several audits read, each built when first asked for."""
 
-    gov: Governance
-    sensitive_columns: DataFrame
-    access: DataFrame
-    coverage: DataFrame
-    pii_columns: DataFrame
+    def __init__(self, gov: Governance):
+        self.gov = gov
 
-    @classmethod
-    def of(cls, gov: Governance) -> AuditInputs:
-        return cls(
-            gov,
-            V.potential_sensitive_columns(gov),
-            V.recent_access_patterns(gov),
-            V.governance_coverage_report(gov),
-            V.pii_columns(gov),
-        )
+    @cached_property
+    def sensitive_columns(self) -> DataFrame:
+        return V.potential_sensitive_columns(self.gov)
+
+    @cached_property
+    def access(self) -> DataFrame:
+        return V.recent_access_patterns(self.gov)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return V.governance_coverage_report(self.gov)
+
+    @cached_property
+    def pii_columns(self) -> DataFrame:
+        return V.pii_columns(self.gov)
 
     @classmethod
     @contextmanager
     def persisted(cls, gov: Governance) -> Iterator[AuditInputs]:
-        """Inputs whose views are computed once and kept, on disk where memory is short."""
-        inputs = cls.of(gov)
+        """Inputs whose views are computed once and kept, on disk where memory is short.
+
+        Losing an executor only means that its part of a view is computed again.
+        """
+        inputs = cls(gov)
         shared = (inputs.sensitive_columns, inputs.access, inputs.coverage, inputs.pii_columns)
         for view in shared:
             view.persist(StorageLevel.MEMORY_AND_DISK)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.sources import schemas
+from wardline.sources.registry import literal_table
 
 _TABLE_TYPES = {"VIEW": "VIEW", "TEMPORARY": "VIEW"}
 
@@ -17,7 +18,7 @@ def catalog_tables(spark: SparkSession, catalog_name: str, databases: list[str])
         for t in spark.catalog.listTables(db)
         if not t.isTemporary
     ]
-    return spark.createDataFrame(rows, schemas.TABLES)
+    return literal_table(spark, rows, schemas.TABLES)
 
 
 def catalog_columns(spark: SparkSession, catalog_name: str, databases: list[str]) -> DataFrame:
@@ -28,4 +29,4 @@ def catalog_columns(spark: SparkSession, catalog_name: str, databases: list[str]
         if not t.isTemporary
         for c in spark.catalog.listColumns(f"{db}.{t.name}")
     ]
-    return spark.createDataFrame(rows, schemas.COLUMNS)
+    return literal_table(spark, rows, schemas.COLUMNS)

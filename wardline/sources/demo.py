@@ -40,102 +40,196 @@ PERSON_ROW_POLICIES = {
 }
 
 # Projections whose text also runs in the SQL check of the results.
-PERSON_SELECT = """
-  o_orderkey AS person_id,
-  'S' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS student_id,
-  CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'Cher'
-       WHEN o_orderkey % 11 = 0 THEN 'Mary Ann Lee' WHEN o_orderkey % 7 = 0 THEN 'J  D'
-       ELSE 'First' || CAST(o_custkey AS STRING) || ' Last' || CAST(o_orderkey % 100 AS STRING) END AS student_name,
-  CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN '12' WHEN o_orderkey % 29 = 0 THEN ''
-       ELSE CAST(100 + o_orderkey % 900 AS STRING) || '-' || CAST(10 + o_orderkey % 90 AS STRING) || '-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') END AS ssn,
-  CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN '@x' WHEN o_orderkey % 31 = 0 THEN 'noat' WHEN o_orderkey % 43 = 0 THEN ''
-       ELSE 'u' || CAST(o_orderkey AS STRING) || '@dept' || CAST(o_custkey % 7 AS STRING) || '.example.edu' END AS email,
-  CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS birth_date,
-  CASE o_orderkey % 7 WHEN 0 THEN '555-123-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')
-       WHEN 1 THEN '(555) 123-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')
-       WHEN 2 THEN '(555)' WHEN 3 THEN '5551234567' WHEN 4 THEN 'x 555-123-4567' WHEN 5 THEN '(555)123-4567' ELSE NULL END AS phone,
-  CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS STRING) || ' Main St, Springfield, IL 62701'
-       WHEN 1 THEN CAST(o_orderkey AS STRING) || ' Oak Ave,Chicago' WHEN 2 THEN 'PO Box 9' WHEN 3 THEN ',x,y'
-       WHEN 4 THEN '' WHEN 5 THEN 'A, B, C, D' ELSE NULL END AS address,
-  CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS aid_amount,
-  CASE o_orderkey % 13 WHEN 0 THEN 'PROSPECTIVE' WHEN 1 THEN 'APPLIED' WHEN 2 THEN 'ADMITTED' WHEN 3 THEN 'DEPOSITED'
-       WHEN 4 THEN 'ENROLLED' WHEN 5 THEN 'enrolled' WHEN 6 THEN 'GRADUATED' WHEN 7 THEN 'WITHDRAWN' WHEN 8 THEN 'LEAVE_OF_ABSENCE'
-       WHEN 9 THEN 'COMPLETED' WHEN 10 THEN 'DEFERRED' WHEN 11 THEN 'DENIED' ELSE NULL END AS enrollment_status,
-  CASE o_orderkey % 5 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS is_active,
-  CAST(year(o_orderdate) AS STRING) AS academic_year,
-  CAST(year(o_orderdate) AS STRING) || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS term_code,
-  CASE o_orderkey % 6 WHEN 0 THEN 'ACCT' WHEN 1 THEN 'FIN' WHEN 2 THEN 'MATH' WHEN 3 THEN 'ENG' WHEN 4 THEN 'BIOL' ELSE NULL END AS department_code,
-  CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS ferpa_consent,
-  CASE o_orderkey % 4 WHEN 0 THEN 'UNDERGRADUATE' WHEN 1 THEN 'Graduate' WHEN 2 THEN 'DOCTORAL' ELSE NULL END AS program_type
-"""
+PERSON = {
+    "person_id": "o_orderkey",
+    "student_id": "'S' || lpad(CAST(o_orderkey AS STRING), 8, '0')",
+    "student_name": """
+        CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'Cher'
+        WHEN o_orderkey % 11 = 0 THEN 'Mary Ann Lee' WHEN o_orderkey % 7 = 0 THEN 'J  D'
+        ELSE 'First' || CAST(o_custkey AS STRING) || ' Last' || CAST(o_orderkey % 100 AS STRING) END
+    """,
+    "ssn": """
+        CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN '12' WHEN o_orderkey % 29 = 0 THEN ''
+        ELSE CAST(100 + o_orderkey % 900 AS STRING) || '-' || CAST(10 + o_orderkey % 90 AS STRING) || '-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') END
+    """,
+    "email": """
+        CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN '@x' WHEN o_orderkey % 31 = 0 THEN 'noat' WHEN o_orderkey % 43 = 0 THEN ''
+        ELSE 'u' || CAST(o_orderkey AS STRING) || '@dept' || CAST(o_custkey % 7 AS STRING) || '.example.edu' END
+    """,
+    "birth_date": "CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END",
+    "phone": """
+        CASE o_orderkey % 7 WHEN 0 THEN '555-123-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')
+        WHEN 1 THEN '(555) 123-' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')
+        WHEN 2 THEN '(555)' WHEN 3 THEN '5551234567' WHEN 4 THEN 'x 555-123-4567' WHEN 5 THEN '(555)123-4567' ELSE NULL END
+    """,
+    "address": """
+        CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS STRING) || ' Main St, Springfield, IL 62701'
+        WHEN 1 THEN CAST(o_orderkey AS STRING) || ' Oak Ave,Chicago' WHEN 2 THEN 'PO Box 9' WHEN 3 THEN ',x,y'
+        WHEN 4 THEN '' WHEN 5 THEN 'A, B, C, D' ELSE NULL END
+    """,
+    "aid_amount": "CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END",
+    "enrollment_status": """
+        CASE o_orderkey % 13 WHEN 0 THEN 'PROSPECTIVE' WHEN 1 THEN 'APPLIED' WHEN 2 THEN 'ADMITTED' WHEN 3 THEN 'DEPOSITED'
+        WHEN 4 THEN 'ENROLLED' WHEN 5 THEN 'enrolled' WHEN 6 THEN 'GRADUATED' WHEN 7 THEN 'WITHDRAWN' WHEN 8 THEN 'LEAVE_OF_ABSENCE'
+        WHEN 9 THEN 'COMPLETED' WHEN 10 THEN 'DEFERRED' WHEN 11 THEN 'DENIED' ELSE NULL END
+    """,
+    "is_active": "CASE o_orderkey % 5 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END",
+    "academic_year": "CAST(year(o_orderdate) AS STRING)",
+    "term_code": "CAST(year(o_orderdate) AS STRING) || lpad(CAST(month(o_orderdate) AS STRING), 2, '0')",
+    "department_code": """
+        CASE o_orderkey % 6 WHEN 0 THEN 'ACCT' WHEN 1 THEN 'FIN' WHEN 2 THEN 'MATH' WHEN 3 THEN 'ENG' WHEN 4 THEN 'BIOL' ELSE NULL END
+    """,
+    "ferpa_consent": "CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END",
+    "program_type": """
+        CASE o_orderkey % 4 WHEN 0 THEN 'UNDERGRADUATE' WHEN 1 THEN 'Graduate' WHEN 2 THEN 'DOCTORAL' ELSE NULL END
+    """,
+}
 
-COLUMNS_SELECT = """
-  CASE WHEN p_partkey % 10 = 9 THEN 'ORG_TEST' ELSE 'ORG_PROD' END AS table_catalog,
-  CASE p_partkey % 4 WHEN 0 THEN 'DEPOSIT' WHEN 1 THEN 'DETERGE' WHEN 2 THEN 'DISTRIBUTE' ELSE 'SCRATCH' END AS table_schema,
-  'T' || CAST(p_partkey % 100 AS STRING) AS table_name,
-  CASE p_partkey % 23 WHEN 0 THEN 'SSN' WHEN 1 THEN 'Social_Security_No' WHEN 2 THEN 'SOCIAL_HANDLE' WHEN 3 THEN 'EMAIL'
-       WHEN 4 THEN 'DOB' WHEN 5 THEN 'BIRTH_DATE' WHEN 6 THEN 'BIRTH_PLACE' WHEN 7 THEN 'PHONE' WHEN 8 THEN 'MOBILE'
-       WHEN 9 THEN 'HOME_ADDRESS' WHEN 10 THEN 'STREET' WHEN 11 THEN 'SALARY' WHEN 12 THEN 'WAGE' WHEN 13 THEN 'AID_AMOUNT'
-       WHEN 14 THEN 'STUDENT_ID' WHEN 15 THEN 'PASSWORD' WHEN 16 THEN 'PWD' WHEN 17 THEN 'LAST_NAME' WHEN 18 THEN 'CLASSNAME'
-       WHEN 19 THEN 'EMAIL_ADDRESS' WHEN 20 THEN 'COURSE_CODE' WHEN 21 THEN 'CREDITS' ELSE 'UPDATED_AT' END
-    || '_' || CAST(p_partkey AS STRING) AS column_name,
-  CASE WHEN p_partkey % 23 IN (4, 5) THEN 'DATE' WHEN p_partkey % 23 IN (11, 12, 13) THEN 'NUMBER' ELSE 'TEXT' END AS data_type,
-  p_partkey AS column_id
-"""
+COLUMNS = {
+    "table_catalog": "CASE WHEN p_partkey % 10 = 9 THEN 'ORG_TEST' ELSE 'ORG_PROD' END",
+    "table_schema": """
+        CASE p_partkey % 4 WHEN 0 THEN 'DEPOSIT' WHEN 1 THEN 'DETERGE' WHEN 2 THEN 'DISTRIBUTE' ELSE 'SCRATCH' END
+    """,
+    "table_name": "'T' || CAST(p_partkey % 100 AS STRING)",
+    "column_name": """
+        CASE p_partkey % 23 WHEN 0 THEN 'SSN' WHEN 1 THEN 'Social_Security_No' WHEN 2 THEN 'SOCIAL_HANDLE' WHEN 3 THEN 'EMAIL'
+        WHEN 4 THEN 'DOB' WHEN 5 THEN 'BIRTH_DATE' WHEN 6 THEN 'BIRTH_PLACE' WHEN 7 THEN 'PHONE' WHEN 8 THEN 'MOBILE'
+        WHEN 9 THEN 'HOME_ADDRESS' WHEN 10 THEN 'STREET' WHEN 11 THEN 'SALARY' WHEN 12 THEN 'WAGE' WHEN 13 THEN 'AID_AMOUNT'
+        WHEN 14 THEN 'STUDENT_ID' WHEN 15 THEN 'PASSWORD' WHEN 16 THEN 'PWD' WHEN 17 THEN 'LAST_NAME' WHEN 18 THEN 'CLASSNAME'
+        WHEN 19 THEN 'EMAIL_ADDRESS' WHEN 20 THEN 'COURSE_CODE' WHEN 21 THEN 'CREDITS' ELSE 'UPDATED_AT' END
+        || '_' || CAST(p_partkey AS STRING)
+    """,
+    "data_type": """
+        CASE WHEN p_partkey % 23 IN (4, 5) THEN 'DATE' WHEN p_partkey % 23 IN (11, 12, 13) THEN 'NUMBER' ELSE 'TEXT' END
+    """,
+    "column_id": "p_partkey",
+}
 
-MASKING_ATTACHMENTS_SELECT = """
-  'GOV_DB' AS policy_db, CASE WHEN column_id % 33 = 0 THEN 'OTHER' ELSE 'GOVERNANCE' END AS policy_schema,
-  CASE column_id % 23 WHEN 0 THEN 'SSN_MASK' WHEN 1 THEN 'NAME_MASK' WHEN 3 THEN 'EMAIL_MASK' WHEN 4 THEN 'DOB_MASK' WHEN 5 THEN 'DOB_MASK'
-       WHEN 7 THEN 'PHONE_MASK' WHEN 9 THEN 'ADDRESS_MASK' WHEN 13 THEN 'FINANCIAL_AMOUNT_MASK' WHEN 14 THEN 'STUDENT_ID_MASK' ELSE 'NAME_MASK' END AS policy_name,
-  'MASKING_POLICY' AS policy_kind, table_catalog AS ref_database_name, table_schema AS ref_schema_name, table_name AS ref_entity_name,
-  'TABLE' AS ref_entity_domain, column_name AS ref_column_name, CAST(NULL AS STRING) AS ref_arg_column_names, 'ACTIVE' AS policy_status,
-  CAST(NULL AS STRING) AS tag_database, CAST(NULL AS STRING) AS tag_schema, CAST(NULL AS STRING) AS tag_name
-"""
+MASKING_ATTACHMENTS = {
+    "policy_db": "'GOV_DB'",
+    "policy_schema": "CASE WHEN column_id % 33 = 0 THEN 'OTHER' ELSE 'GOVERNANCE' END",
+    "policy_name": """
+        CASE column_id % 23 WHEN 0 THEN 'SSN_MASK' WHEN 1 THEN 'NAME_MASK' WHEN 3 THEN 'EMAIL_MASK' WHEN 4 THEN 'DOB_MASK' WHEN 5 THEN 'DOB_MASK'
+        WHEN 7 THEN 'PHONE_MASK' WHEN 9 THEN 'ADDRESS_MASK' WHEN 13 THEN 'FINANCIAL_AMOUNT_MASK' WHEN 14 THEN 'STUDENT_ID_MASK' ELSE 'NAME_MASK' END
+    """,
+    "policy_kind": "'MASKING_POLICY'",
+    "ref_database_name": "table_catalog",
+    "ref_schema_name": "table_schema",
+    "ref_entity_name": "table_name",
+    "ref_entity_domain": "'TABLE'",
+    "ref_column_name": "column_name",
+    "ref_arg_column_names": "CAST(NULL AS STRING)",
+    "policy_status": "'ACTIVE'",
+    "tag_database": "CAST(NULL AS STRING)",
+    "tag_schema": "CAST(NULL AS STRING)",
+    "tag_name": "CAST(NULL AS STRING)",
+}
 MASKING_ATTACHMENTS_WHERE = "column_id % 3 = 0 AND column_id % 23 <= 19 AND column_id % 100 < 60"
 
-ROW_ATTACHMENTS_SELECT = """
-  'GOV_DB' AS policy_db, 'GOVERNANCE' AS policy_schema,
-  CASE WHEN column_id % 8 = 1 THEN 'ENROLLMENT_ROW_ACCESS' ELSE 'CURRENT_TERM_ACCESS' END AS policy_name,
-  'ROW_ACCESS_POLICY' AS policy_kind, table_catalog AS ref_database_name, table_schema AS ref_schema_name, table_name AS ref_entity_name,
-  'TABLE' AS ref_entity_domain, CAST(NULL AS STRING) AS ref_column_name, '[ "STATUS" ]' AS ref_arg_column_names, 'ACTIVE' AS policy_status,
-  CAST(NULL AS STRING) AS tag_database, CAST(NULL AS STRING) AS tag_schema, CAST(NULL AS STRING) AS tag_name
-"""
+ROW_ATTACHMENTS = {
+    "policy_db": "'GOV_DB'",
+    "policy_schema": "'GOVERNANCE'",
+    "policy_name": "CASE WHEN column_id % 8 = 1 THEN 'ENROLLMENT_ROW_ACCESS' ELSE 'CURRENT_TERM_ACCESS' END",
+    "policy_kind": "'ROW_ACCESS_POLICY'",
+    "ref_database_name": "table_catalog",
+    "ref_schema_name": "table_schema",
+    "ref_entity_name": "table_name",
+    "ref_entity_domain": "'TABLE'",
+    "ref_column_name": "CAST(NULL AS STRING)",
+    "ref_arg_column_names": "'[ \"STATUS\" ]'",
+    "policy_status": "'ACTIVE'",
+    "tag_database": "CAST(NULL AS STRING)",
+    "tag_schema": "CAST(NULL AS STRING)",
+    "tag_name": "CAST(NULL AS STRING)",
+}
 ROW_ATTACHMENTS_WHERE = "column_id < 100 AND column_id % 5 = 1"
 
-QUERY_HISTORY_SELECT = """
-  event_id AS query_id, 'USER_' || CAST(user_id AS STRING) AS user_name,
-  CASE user_id % 8 WHEN 0 THEN 'GOVERNANCE_ADMIN_ROLE' WHEN 1 THEN 'DATA_ENGINEER_ROLE' WHEN 2 THEN 'IR_ANALYST_ROLE' WHEN 3 THEN 'REGISTRAR_ANALYST_ROLE'
-       WHEN 4 THEN 'ENROLLMENT_ANALYST_ROLE' WHEN 5 THEN 'FINANCIAL_AID_ANALYST_ROLE' WHEN 6 THEN 'DATA_ANALYST_ROLE' ELSE 'DBT_CLOUD_PROD_ROLE' END AS role_name,
-  CASE event_id % 5 WHEN 0 THEN 'ORG_DEV' WHEN 1 THEN 'ORG_TEST' WHEN 2 THEN 'OTHER_DB' ELSE 'ORG_PROD' END AS database_name,
-  CASE event_id % 7 WHEN 0 THEN 'DEPOSIT' WHEN 1 THEN 'DETERGE' WHEN 2 THEN 'DISTRIBUTE' WHEN 3 THEN 'GOVERNANCE' WHEN 4 THEN 'SCRATCH' WHEN 5 THEN 'DISTRIBUTE' ELSE 'DETERGE' END AS schema_name,
-  CASE WHEN event_id % 13 = 0 THEN 'SHOW' WHEN event_id % 17 = 0 THEN NULL WHEN event_type = 'purchase' THEN 'INSERT'
-       WHEN event_type = 'signup' THEN 'CREATE' ELSE 'SELECT' END AS query_type,
-  ts AS start_time, CAST(round(value * 100) AS BIGINT) AS total_elapsed_time, event_id % 1000 AS rows_produced,
-  CASE WHEN event_type = 'error' THEN '3001' ELSE NULL END AS error_code,
-  CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 3 = 0 THEN 'Access was DENIED' WHEN event_id % 3 = 1 THEN 'violates Policy P1' ELSE 'syntax error' END AS error_message,
-  CASE event_id % 6 WHEN 0 THEN 'create masking policy p' WHEN 1 THEN 'ALTER ROW ACCESS POLICY r' WHEN 2 THEN 'put file @stage' ELSE 'select 1' END AS query_text,
-  CASE WHEN event_id % 11 = 0 THEN '[]' WHEN event_id % 19 = 0 THEN NULL
-       WHEN event_id % 2 = 0 THEN '[{"objectName":"T' || CAST(event_id % 100 AS STRING) || '"},{"objectName":"T' || CAST((event_id + 7) % 100 AS STRING) || '"}]'
-       ELSE '[{"objectName":"T' || CAST(event_id % 100 AS STRING) || '"},{"objectDomain":"Stage"}]' END AS objects_accessed
-"""
+QUERY_HISTORY = {
+    "query_id": "event_id",
+    "user_name": "'USER_' || CAST(user_id AS STRING)",
+    "role_name": """
+        CASE user_id % 8 WHEN 0 THEN 'GOVERNANCE_ADMIN_ROLE' WHEN 1 THEN 'DATA_ENGINEER_ROLE' WHEN 2 THEN 'IR_ANALYST_ROLE' WHEN 3 THEN 'REGISTRAR_ANALYST_ROLE'
+        WHEN 4 THEN 'ENROLLMENT_ANALYST_ROLE' WHEN 5 THEN 'FINANCIAL_AID_ANALYST_ROLE' WHEN 6 THEN 'DATA_ANALYST_ROLE' ELSE 'DBT_CLOUD_PROD_ROLE' END
+    """,
+    "database_name": """
+        CASE event_id % 5 WHEN 0 THEN 'ORG_DEV' WHEN 1 THEN 'ORG_TEST' WHEN 2 THEN 'OTHER_DB' ELSE 'ORG_PROD' END
+    """,
+    "schema_name": """
+        CASE event_id % 7 WHEN 0 THEN 'DEPOSIT' WHEN 1 THEN 'DETERGE' WHEN 2 THEN 'DISTRIBUTE' WHEN 3 THEN 'GOVERNANCE' WHEN 4 THEN 'SCRATCH' WHEN 5 THEN 'DISTRIBUTE' ELSE 'DETERGE' END
+    """,
+    "query_type": """
+        CASE WHEN event_id % 13 = 0 THEN 'SHOW' WHEN event_id % 17 = 0 THEN NULL WHEN event_type = 'purchase' THEN 'INSERT'
+        WHEN event_type = 'signup' THEN 'CREATE' ELSE 'SELECT' END
+    """,
+    "start_time": "ts",
+    "total_elapsed_time": "CAST(round(value * 100) AS BIGINT)",
+    "rows_produced": "event_id % 1000",
+    "error_code": "CASE WHEN event_type = 'error' THEN '3001' ELSE NULL END",
+    "error_message": """
+        CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 3 = 0 THEN 'Access was DENIED' WHEN event_id % 3 = 1 THEN 'violates Policy P1' ELSE 'syntax error' END
+    """,
+    "query_text": """
+        CASE event_id % 6 WHEN 0 THEN 'create masking policy p' WHEN 1 THEN 'ALTER ROW ACCESS POLICY r' WHEN 2 THEN 'put file @stage' ELSE 'select 1' END
+    """,
+    "objects_accessed": """
+        CASE WHEN event_id % 11 = 0 THEN '[]' WHEN event_id % 19 = 0 THEN NULL
+        WHEN event_id % 2 = 0 THEN '[{"objectName":"T' || CAST(event_id % 100 AS STRING) || '"},{"objectName":"T' || CAST((event_id + 7) % 100 AS STRING) || '"}]'
+        ELSE '[{"objectName":"T' || CAST(event_id % 100 AS STRING) || '"},{"objectDomain":"Stage"}]' END
+    """,
+}
 
 
-def _select(df: DataFrame, projection: str, where: str = "TRUE") -> DataFrame:
-    text = projection.replace("{", "{{").replace("}", "}}")
-    return df.sparkSession.sql(f"SELECT {text} FROM {{source}} WHERE {where}", source=df)
+TAG_REFERENCES = {
+    "tag_database": "'GOV_DB'",
+    "tag_schema": "'GOVERNANCE'",
+    "tag_name": "tag",
+    "tag_value": """
+        CASE tag WHEN 'CONTAINS_PII' THEN CASE WHEN column_id % 11 = 0 THEN 'FALSE' ELSE 'TRUE' END
+        WHEN 'SENSITIVITY_LEVEL' THEN CASE WHEN column_id % 5 = 0 THEN 'SECRET' WHEN column_id % 5 < 3 THEN 'RESTRICTED' ELSE 'INTERNAL' END
+        ELSE CASE WHEN column_id % 3 = 0 THEN 'FERPA' ELSE 'PII' END END
+    """,
+    "object_database": "table_catalog",
+    "object_schema": "table_schema",
+    "object_name": "table_name",
+    "column_name": "column_name",
+    "domain": "'COLUMN'",
+    "object_deleted": "CASE WHEN column_id % 37 = 0 THEN TIMESTAMP_NTZ '2024-01-15 00:00:00' END",
+}
+TABLE_TAG_REFERENCES = TAG_REFERENCES | {
+    "tag_value": "value",
+    "column_name": "CAST(NULL AS STRING)",
+    "domain": "'TABLE'",
+    "object_deleted": "CAST(NULL AS TIMESTAMP_NTZ)",
+}
+
+ENVIRONMENT_ATTACHMENTS = {
+    "ref_database_name": "'ORG_' || env",
+    "ref_schema_name": "table_schema",
+    "ref_entity_name": "table_name",
+    "ref_column_name": "column_name",
+    "policy_name": "'NAME_MASK'",
+}
+
+
+def projection(named: dict[str, str]) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in named.items()]
+
+
+def _select(df: DataFrame, named: dict[str, str], where: str | None = None) -> DataFrame:
+    return (df if where is None else df.filter(where)).selectExpr(*projection(named))
 
 
 def person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark.read.parquet(f"{sf_dir}/orders.parquet"), PERSON_SELECT)
+    return _select(spark.read.parquet(f"{sf_dir}/orders.parquet"), PERSON)
 
 
 def query_history_of(events: DataFrame) -> DataFrame:
     """Events, batch or stream, as logged queries."""
-    return _select(events, QUERY_HISTORY_SELECT)
+    return _select(events, QUERY_HISTORY)
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark.read.parquet(f"{sf_dir}/part.parquet"), COLUMNS_SELECT)
+    return _select(spark.read.parquet(f"{sf_dir}/part.parquet"), COLUMNS)
 
 
 def _tables(columns: DataFrame) -> DataFrame:
@@ -155,52 +249,28 @@ def _with_each(df: DataFrame, names: tuple[str, ...], rows: list[tuple]) -> Data
 
 
 def _tag_references(columns: DataFrame) -> DataFrame:
-    column_tags = _select(
-        _with_each(
-            columns, ("tag", "m"), [("CONTAINS_PII", 2), ("SENSITIVITY_LEVEL", 4), ("COMPLIANCE_TYPE", 6)]
-        ),
-        """
-        'GOV_DB' AS tag_database, 'GOVERNANCE' AS tag_schema, tag AS tag_name,
-        CASE tag WHEN 'CONTAINS_PII' THEN CASE WHEN column_id % 11 = 0 THEN 'FALSE' ELSE 'TRUE' END
-             WHEN 'SENSITIVITY_LEVEL' THEN CASE WHEN column_id % 5 = 0 THEN 'SECRET' WHEN column_id % 5 < 3 THEN 'RESTRICTED' ELSE 'INTERNAL' END
-             ELSE CASE WHEN column_id % 3 = 0 THEN 'FERPA' ELSE 'PII' END END AS tag_value,
-        table_catalog AS object_database, table_schema AS object_schema, table_name AS object_name, column_name,
-        'COLUMN' AS domain,
-        CASE WHEN column_id % 37 = 0 THEN TIMESTAMP_NTZ '2024-01-15 00:00:00' END AS object_deleted
-        """,
-        "column_id % m = 0 AND column_id % 23 <= 19 AND column_id % 100 < 80",
+    column_tags = _with_each(
+        columns, ("tag", "m"), [("CONTAINS_PII", 2), ("SENSITIVITY_LEVEL", 4), ("COMPLIANCE_TYPE", 6)]
     )
-    table_tags = _select(
-        _with_each(
-            columns,
-            ("tag", "value", "m"),
-            [
-                ("SENSITIVITY_LEVEL", "CONFIDENTIAL", 2),
-                ("DATA_DOMAIN", "ACADEMIC", 3),
-                ("DATA_OWNER", "REGISTRAR", 1),
-                ("RETENTION_PERIOD", "1_YEAR", 5),
-            ],
-        ),
-        """
-        'GOV_DB' AS tag_database, 'GOVERNANCE' AS tag_schema, tag AS tag_name, value AS tag_value,
-        table_catalog AS object_database, table_schema AS object_schema, table_name AS object_name,
-        CAST(NULL AS STRING) AS column_name, 'TABLE' AS domain, CAST(NULL AS TIMESTAMP_NTZ) AS object_deleted
-        """,
-        "column_id < 70 AND column_id % m = 0",
+    table_tags = _with_each(
+        columns,
+        ("tag", "value", "m"),
+        [
+            ("SENSITIVITY_LEVEL", "CONFIDENTIAL", 2),
+            ("DATA_DOMAIN", "ACADEMIC", 3),
+            ("DATA_OWNER", "REGISTRAR", 1),
+            ("RETENTION_PERIOD", "1_YEAR", 5),
+        ],
     )
-    return column_tags.unionByName(table_tags)
+    return _select(
+        column_tags, TAG_REFERENCES, "column_id % m = 0 AND column_id % 23 <= 19 AND column_id % 100 < 80"
+    ).unionByName(_select(table_tags, TABLE_TAG_REFERENCES, "column_id < 70 AND column_id % m = 0"))
 
 
 def environment_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments in three environments, some of them missing."""
-    return _select(
-        _with_each(_columns(spark, sf_dir), ("env", "m"), [("DEV", 7), ("TEST", 11), ("PROD", 13)]),
-        """
-        'ORG_' || env AS ref_database_name, table_schema AS ref_schema_name, table_name AS ref_entity_name,
-        column_name AS ref_column_name, 'NAME_MASK' AS policy_name
-        """,
-        "column_id % 3 = 0 AND column_id % m <> 0",
-    )
+    each = _with_each(_columns(spark, sf_dir), ("env", "m"), [("DEV", 7), ("TEST", 11), ("PROD", 13)])
+    return _select(each, ENVIRONMENT_ATTACHMENTS, "column_id % 3 = 0 AND column_id % m <> 0")
 
 
 def earlier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,23 +278,21 @@ def earlier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(spark, sf_dir).filter("column_id % 10 <> 0").drop("column_id")
 
 
-def governance(spark: SparkSession, sf_dir: str) -> Governance:
-    estate = Estate()
-    columns = _columns(spark, sf_dir)
-    attachments = _select(columns, MASKING_ATTACHMENTS_SELECT, MASKING_ATTACHMENTS_WHERE).unionByName(
-        _select(columns, ROW_ATTACHMENTS_SELECT, ROW_ATTACHMENTS_WHERE)
+def _policy_references(columns: DataFrame) -> DataFrame:
+    return _select(columns, MASKING_ATTACHMENTS, MASKING_ATTACHMENTS_WHERE).unionByName(
+        _select(columns, ROW_ATTACHMENTS, ROW_ATTACHMENTS_WHERE)
     )
+
+
+def governance(spark: SparkSession, sf_dir: str) -> Governance:
     return Governance(
-        policy_references=attachments,
-        tag_references=_tag_references(columns),
-        columns=columns.drop("column_id"),
-        tables=_tables(columns),
-        query_history=query_history_of(spark.read.parquet(f"{sf_dir}/events.parquet")),
-        tag_allowed_values=registry.tag_taxonomy(spark),
-        role_grants=registry.standard_role_grants(spark),
-        grants=registry.standard_grants(spark, estate),
-        clock=Clock(AS_OF),
-        estate=estate,
+        spark,
+        Clock(AS_OF),
+        policy_references=lambda: _policy_references(_columns(spark, sf_dir)),
+        tag_references=lambda: _tag_references(_columns(spark, sf_dir)),
+        columns=lambda: _columns(spark, sf_dir).drop("column_id"),
+        tables=lambda: _tables(_columns(spark, sf_dir)),
+        query_history=lambda: query_history_of(spark.read.parquet(f"{sf_dir}/events.parquet")),
     )
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 from datetime import timedelta
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,27 +13,66 @@ from wardline.config import Clock, Estate
 from wardline.sources import registry, schemas
 
 
-@dataclass(frozen=True)
 class Governance:
-    """Metadata tables, the query log and the moment reports speak about."""
-
-    policy_references: DataFrame
-    tag_references: DataFrame
-    columns: DataFrame
-    tables: DataFrame
-    query_history: DataFrame
-    tag_allowed_values: DataFrame
-    role_grants: DataFrame
-    grants: DataFrame
-    clock: Clock
-    estate: Estate = Estate()
-
-    @property
-    def spark(self) -> SparkSession:
-        return self.columns.sparkSession
-
-    def with_(self, **changes) -> Governance:
-        return replace(self, **changes)
+    """Metadata tables, the query log and the moment reports speak about.
+
+    Tables are given as functions that open them and are opened when first used. The tag
+    taxonomy, role grants and privileges are the standard ones unless given.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        clock: Clock,
+        estate: Estate = Estate(),
+        **tables: Callable[[], DataFrame],
+    ):
+        self.spark = spark
+        self.clock = clock
+        self.estate = estate
+        self._tables = {
+            "tag_allowed_values": lambda: registry.tag_taxonomy(spark),
+            "role_grants": lambda: registry.standard_role_grants(spark),
+            "grants": lambda: registry.standard_grants(spark, estate),
+            **tables,
+        }
+
+    def with_(self, clock: Clock | None = None, **tables: DataFrame) -> Governance:
+        """The same estate at another moment, or with some tables replaced."""
+        replaced = {name: (lambda df=df: df) for name, df in tables.items()}
+        return Governance(self.spark, clock or self.clock, self.estate, **{**self._tables, **replaced})
+
+    @cached_property
+    def policy_references(self) -> DataFrame:
+        return self._tables["policy_references"]()
+
+    @cached_property
+    def tag_references(self) -> DataFrame:
+        return self._tables["tag_references"]()
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return self._tables["columns"]()
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        return self._tables["tables"]()
+
+    @cached_property
+    def query_history(self) -> DataFrame:
+        return self._tables["query_history"]()
+
+    @cached_property
+    def tag_allowed_values(self) -> DataFrame:
+        return self._tables["tag_allowed_values"]()
+
+    @cached_property
+    def role_grants(self) -> DataFrame:
+        return self._tables["role_grants"]()
+
+    @cached_property
+    def grants(self) -> DataFrame:
+        return self._tables["grants"]()
 
     # -- scans shared by the views and audits ---------------------------------
 
@@ -86,25 +126,22 @@ class Governance:
 
 
 def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate = Estate()) -> Governance:
-    """Read the governance tables from parquet directories under ``path``.
+    """The governance tables as parquet directories under ``path``, one per table.
 
-    ``path`` holds ``policy_references``, ``tag_references``, ``columns``, ``tables`` and
-    ``query_history``. Role grants, privileges and the tag taxonomy are read from it when
-    present and are the standard ones otherwise.
+    ``query_history`` may be partitioned, for example by a date column derived from
+    ``start_time``.
     """
 
-    def read(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    def table(name: str, schema: str):
+        return lambda: spark.read.schema(schema).parquet(f"{path}/{name}")
 
     return Governance(
-        policy_references=read("policy_references", schemas.POLICY_REFERENCES),
-        tag_references=read("tag_references", schemas.TAG_REFERENCES),
-        columns=read("columns", schemas.COLUMNS),
-        tables=read("tables", schemas.TABLES),
-        query_history=read("query_history", schemas.QUERY_HISTORY),
-        tag_allowed_values=registry.tag_taxonomy(spark),
-        role_grants=registry.standard_role_grants(spark),
-        grants=registry.standard_grants(spark, estate),
-        clock=clock,
-        estate=estate,
+        spark,
+        clock,
+        estate,
+        policy_references=table("policy_references", schemas.POLICY_REFERENCES),
+        tag_references=table("tag_references", schemas.TAG_REFERENCES),
+        columns=table("columns", schemas.COLUMNS),
+        tables=table("tables", schemas.TABLES),
+        query_history=table("query_history", schemas.QUERY_HISTORY),
     )

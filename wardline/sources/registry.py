@@ -10,8 +10,10 @@ from collections.abc import Iterable, Mapping
 from itertools import product
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.config import Estate, TableId
 from wardline.functions import roles as R
@@ -101,13 +103,24 @@ STANDARD_ROW_POLICIES: dict[tuple[str, str], dict[str, str]] = {
 }
 
 
+def literal_table(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
+    """A short table of texts known when the plan is built.
+
+    Arrow data becomes a local relation: Catalyst knows its exact size and broadcasts it by
+    its own threshold.
+    """
+    names = T.StructType.fromDDL(ddl).fieldNames()
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(names, columns)}))
+
+
 def tag_taxonomy(spark: SparkSession) -> DataFrame:
     rows = [(tag, value) for tag, values in TAG_VALUES.items() for value in values]
-    return spark.createDataFrame(rows, schemas.TAG_ALLOWED_VALUES)
+    return literal_table(spark, rows, schemas.TAG_ALLOWED_VALUES)
 
 
 def standard_role_grants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROLE_GRANTS), schemas.ROLE_GRANTS)
+    return literal_table(spark, ROLE_GRANTS, schemas.ROLE_GRANTS)
 
 
 # -- attachments --------------------------------------------------------------
@@ -126,7 +139,7 @@ def mask_attachments(
         for (schema, table), columns in masks.items()
         for column, policy in columns.items()
     ]
-    return spark.createDataFrame(rows, schemas.POLICY_REFERENCES)
+    return literal_table(spark, rows, schemas.POLICY_REFERENCES)
 
 
 def row_policy_attachments(
@@ -149,7 +162,7 @@ def row_policy_attachments(
         for (schema, table), attached in policies.items()
         for policy, column in attached.items()
     ]
-    return spark.createDataFrame(rows, schemas.POLICY_REFERENCES)
+    return literal_table(spark, rows, schemas.POLICY_REFERENCES)
 
 
 def _attachment(estate, policy, kind, table: TableId, column, arguments):
@@ -295,4 +308,4 @@ def grant_rules(estate: Estate = Estate()) -> list[GrantRule]:
 
 def standard_grants(spark: SparkSession, estate: Estate = Estate()) -> DataFrame:
     rows = [row for rule in grant_rules(estate) for row in rule.rows()]
-    return spark.createDataFrame(rows, schemas.GRANTS)
+    return literal_table(spark, rows, schemas.GRANTS)
