@@ -70,7 +70,7 @@ def row_access_policy_references(gov: Governance) -> DataFrame:
 
 
 def v_row_access_policy_references(gov: Governance) -> DataFrame:
-    return row_access_policy_references(gov).orderBy("table_schema", "table_name")
+    return row_access_policy_references(gov).orderBy("table_schema", "table_name", "policy_name", "table_database")
 
 
 def _policy_summary(attachments: DataFrame, *counted: str) -> DataFrame:
@@ -302,7 +302,10 @@ def recent_access_patterns(gov: Governance) -> DataFrame:
 
 
 def v_recent_access_patterns(gov: Governance) -> DataFrame:
-    return recent_access_patterns(gov).orderBy(F.desc("query_count"))
+    # The names after the count keep the many users with equal counts from sorting into one partition.
+    return recent_access_patterns(gov).orderBy(
+        F.desc("query_count"), "user_name", "role_name", "database_name", "schema_name"
+    )
 
 
 def table_access_frequency(gov: Governance) -> DataFrame:
@@ -320,7 +323,9 @@ def table_access_frequency(gov: Governance) -> DataFrame:
 
 
 def v_table_access_frequency(gov: Governance) -> DataFrame:
-    return table_access_frequency(gov).orderBy(F.desc("access_count"))
+    return table_access_frequency(gov).orderBy(
+        F.desc("access_count"), "database_name", "schema_name", "table_name", "role_name"
+    )
 
 
 # -- coverage -----------------------------------------------------------------
@@ -448,7 +453,7 @@ def access_to_layer(gov: Governance, layer: str = "DISTRIBUTE") -> DataFrame:
         recent_access_patterns(gov)
         .filter(F.col("schema_name") == layer)
         .select("user_name", "role_name", "query_count", "last_access")
-        .orderBy(F.desc("last_access"))
+        .orderBy(F.desc("last_access"), "user_name", "role_name")
     )
 
 
@@ -467,5 +472,5 @@ def row_policy_filters(gov: Governance) -> DataFrame:
     return (
         row_access_policy_references(gov)
         .select("table_schema", "table_name", "policy_name", "filter_columns")
-        .orderBy("table_schema", "table_name")
+        .orderBy("table_schema", "table_name", "policy_name")
     )

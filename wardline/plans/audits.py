@@ -374,6 +374,7 @@ def ferpa_tables(inputs: AuditInputs) -> DataFrame:
         inputs.gov.live_tags()
         .filter((F.col("tag_name") == "COMPLIANCE_TYPE") & (F.col("tag_value") == "FERPA"))
         .select(F.col("object_schema").alias("schema_name"), F.col("object_name").alias("table_name"))
+        .distinct()
     )
     return inputs.coverage.join(tagged, ["schema_name", "table_name"], "left_semi")
 
@@ -437,7 +438,7 @@ def audit_09(inputs: AuditInputs) -> DataFrame:
             F.when(_has_ssn_mask(), MASKED).otherwise(UNMASKED_SSN).alias("masking_status"),
             F.col("policy_name").alias("current_policy"),
         )
-        .orderBy("masking_status", "schema_name", "table_name")
+        .orderBy("masking_status", "schema_name", "table_name", "column_name")
     )
 
 
@@ -472,7 +473,7 @@ def audit_10(inputs: AuditInputs) -> DataFrame:
             F.when(F.col("policy_name").isNotNull(), MASKED).otherwise(UNMASKED).alias("masking_status"),
             F.col("policy_name").alias("current_policy"),
         )
-        .orderBy("masking_status", "pii_type", "schema_name", "table_name")
+        .orderBy("masking_status", "pii_type", "schema_name", "table_name", "column_name")
     )
 
 
@@ -630,8 +631,8 @@ def audit_14(inputs: AuditInputs) -> DataFrame:
     """Changes of policies and tags, newest first."""
     return (
         policy_changes(inputs.gov)
+        .orderBy(F.desc("start_time"), "query_id")
         .select("query_type", "user_name", "role_name", "start_time", "query_text")
-        .orderBy(F.desc("start_time"))
     )
 
 

@@ -204,9 +204,23 @@ def detach_row_policy(policy_references: DataFrame, table: TableId, policy: str
     return policy_references.filter(~gone)
 
 
+def detach_mask(policy_references: DataFrame, table: TableId, column: str | None = None) -> DataFrame:
+    """Remove the mask of one column, or all masks, from a table."""
+    gone = _on(table) & (F.col("policy_kind") == schemas.MASKING_KIND)
+    if column is not None:
+        gone &= F.col("ref_column_name") == column
+    return policy_references.filter(~gone)
+
+
+def replace_policy(policy_references: DataFrame, old: str, new: str) -> DataFrame:
+    """Put policy ``new`` wherever ``old`` is attached."""
+    name = F.col("policy_name")
+    return policy_references.withColumn("policy_name", F.when(name == old, new).otherwise(name))
+
+
 def droppable_policies(policy_references: DataFrame, policies: DataFrame) -> DataFrame:
     """Of ``policies(policy_name)``, those attached nowhere: only these may be dropped."""
-    return policies.join(policy_references.select("policy_name"), "policy_name", "left_anti")
+    return policies.join(policy_references.select("policy_name").distinct(), "policy_name", "left_anti")
 
 
 # -- privileges ---------------------------------------------------------------
