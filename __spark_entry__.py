@@ -314,6 +314,7 @@ def queries() -> dict[str, Query]:
         "report_issues": _audit(report.report_issues),
         "report_access": _audit(report.report_access),
         "report_recommendations": _audit(report.report_recommendations),
+        "audit_counts": _audit(report.audit_counts),
         "report_export": _report_export,
         "daily_pii_check": _daily_check,
         "audit_trend": _trend,

@@ -9,5 +9,27 @@ from __future__ import annotations
 from oracle import history, metadata, policies
 
 
+def _counts(summaries: dict[str, str]) -> str:
+    """First count of every headline, from the headlines' own SQL."""
+    first = {
+        "audit_05_summary": "user_count",
+        "audit_06_summary": "unique_users",
+        "audit_07_summary": "query_count",
+        "audit_08_summary": "total_tables",
+        "audit_09_summary": "ssn_columns_found",
+        "audit_10_summary": "total_columns",
+        "audit_11_summary": "total_tables",
+        "audit_12_summary": "pii_tagged_columns",
+        "audit_13_summary": "total_queries",
+        "audit_14_summary": "policy_count",
+    }
+    return "\nUNION ALL\n".join(
+        f"SELECT '{key}' AS audit_name, {first.get(key, 'issue_count')} AS issue_count FROM ({text})"
+        for key, text in summaries.items()
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**policies.SQL, **metadata.SQL, **history.SQL}
+    found = {**policies.SQL, **metadata.SQL, **history.SQL}
+    found["audit_counts"] = _counts({k: v for k, v in found.items() if k.endswith("_summary") and k.startswith("audit")})
+    return found

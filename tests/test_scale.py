@@ -11,6 +11,7 @@ from wardline.config import Clock
 from wardline.operators import joins, views
 from wardline.plans import audits
 from wardline.sources import demo
+from wardline.sources.estate_tables import write_query_history
 
 # Queries with a join that is a broadcast join on small data.
 JOINING = [
@@ -42,7 +43,7 @@ def shuffle_joins(spark, monkeypatch):
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    monkeypatch.setattr(joins.broadcast_if_small, "__defaults__", (0,))
+    monkeypatch.setattr(joins.broadcast_if_small, "__defaults__", (-1,))
     yield
     for k, v in before.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -58,8 +59,11 @@ def test_results_do_not_depend_on_broadcasts(spark, sf_dir, shuffle_joins, key):
 def test_broadcast_only_within_the_bound(spark):
     long, short = spark.range(1000), spark.range(10)
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(long.join(joins.broadcast_if_small(short, 10), "id"))
-    assert "broadcast" not in plan(long.join(joins.broadcast_if_small(short, 9), "id"))
+    assert "broadcast" in plan(long.join(joins.broadcast_if_small(short, 10 * 16), "id"))
+    assert "broadcast" not in plan(long.join(joins.broadcast_if_small(short, 10 * 16 - 1), "id"))
+    wide = short.select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert "broadcast" not in plan(long.join(joins.broadcast_if_small(wide, 10_000), "id"))
+    assert "broadcast" in plan(long.join(joins.broadcast_if_small(wide.limit(2), 10_000), "id"))
 
 
 @pytest.fixture
@@ -142,7 +146,21 @@ def test_history_window_is_pushed_to_the_log(spark, sf_dir, tmp_path):
 
 def test_window_bounds(spark, sf_dir):
     gov = demo.governance(spark, sf_dir)
+    backdated = gov.with_(clock=Clock(datetime(2024, 1, 10)))
+    assert views.recent_access_patterns(backdated).agg(F.max("last_access")).first()[0] <= datetime(2024, 1, 10)
     earliest = views.recent_access_patterns(gov).agg(F.min("first_access")).first()[0]
     assert earliest >= demo.AS_OF - timedelta(days=30)
     none = gov.with_(clock=Clock(datetime(2030, 1, 1)))
     assert views.recent_access_patterns(none).count() == 0
+
+
+def test_stored_log_is_pruned_by_day(spark, sf_dir, tmp_path):
+    gov = demo.governance(spark, sf_dir)
+    path = str(tmp_path / "log")
+    write_query_history(gov.query_history, path)
+    stored = gov.with_(query_history=spark.read.parquet(path))
+    recent = views.recent_access_patterns(stored)
+    text = recent._jdf.queryExecution().executedPlan().toString()
+    partitions = text[text.index("PartitionFilters") : text.index("PushedFilters")]
+    assert "log_date" in partitions and "2024-01-11" in partitions
+    assert sorted(map(tuple, recent.collect())) == sorted(map(tuple, views.recent_access_patterns(gov).collect()))

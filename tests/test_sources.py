@@ -10,7 +10,7 @@ from wardline.functions import roles as R
 from wardline.operators import privileges, secure, session_views, tags, views
 from wardline.plans import audits, report
 from wardline.sources import catalog, demo, registry, storage
-from wardline.sources.estate_tables import read_governance
+from wardline.sources.estate_tables import read_governance, write_query_history
 
 
 def rows(df):
@@ -96,12 +96,11 @@ def test_governance_read_from_parquet(spark, sf_dir, tmp_path):
     gov = demo.governance(spark, sf_dir)
     for name in ("policy_references", "tag_references", "columns", "tables"):
         getattr(gov, name).write.parquet(str(tmp_path / name))
-    gov.query_history.withColumn("day", F.col("start_time").cast("date")).write.partitionBy("day").parquet(
-        str(tmp_path / "query_history")
-    )
+    write_query_history(gov.query_history, str(tmp_path / "query_history"))
     stored = read_governance(spark, str(tmp_path), gov.clock)
     assert rows(views.governance_coverage_report(stored)) == rows(views.governance_coverage_report(gov))
     assert rows(views.recent_access_patterns(stored)) == rows(views.recent_access_patterns(gov))
+    assert rows(views.table_access_frequency(stored)) == rows(views.table_access_frequency(gov))
 
 
 def test_persisted_run_equals_single_audits(spark, sf_dir):
@@ -114,6 +113,12 @@ def test_persisted_run_equals_single_audits(spark, sf_dir):
     assert alone == together
 
 
+def test_all_counts_in_one_job(spark, sf_dir):
+    inputs = audits.AuditInputs(demo.governance(spark, sf_dir))
+    counts = {r.audit_name: r.issue_count for r in report.audit_counts(inputs).collect()}
+    assert counts == {key: summary(inputs).first()[1] for key, summary in audits.SUMMARIES.items()}
+
+
 def test_csv_export_reads_back(spark, sf_dir, tmp_path):
     inputs = audits.AuditInputs(demo.governance(spark, sf_dir))
     paths = report.export_reports(inputs, str(tmp_path))

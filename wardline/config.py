@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date, datetime
 
 ENVIRONMENTS = ("DEV", "TEST", "PROD")
@@ -66,8 +66,8 @@ class AccessThresholds:
 
 @dataclass(frozen=True)
 class BusinessHours:
-    """Hours and days that count as ordinary working time."""
+    """Hours that count as working time, and the days (0 = Monday) that do not."""
 
     opens: int = 6
     closes: int = 22
-    weekend: tuple[str, ...] = field(default=("Sat", "Sun"))
+    weekend: tuple[int, ...] = (5, 6)

@@ -138,11 +138,13 @@ def _rounded(digits: int) -> MaskExpr:
 
 
 def _initials(value: Column, dtype: T.DataType) -> Column:
+    # The second part starts after the first space; it is empty if another space follows.
+    space = F.locate(" ", value)
     first = F.left(value, F.lit(1))
-    second = F.left(F.split_part(value, F.lit(" "), F.lit(2)), F.lit(1))
-    return F.when(
-        F.contains(value, F.lit(" ")), F.concat(first, F.lit(". "), second, F.lit("."))
-    ).otherwise(F.concat(first, F.lit(".")))
+    second = F.trim(F.substring(value, space + 1, F.lit(1)))
+    return F.when(space > 0, F.concat(first, F.lit(". "), second, F.lit("."))).otherwise(
+        F.concat(first, F.lit("."))
+    )
 
 
 _TEXT = (T.StringType,)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.config import BusinessHours
 from wardline.sources import schemas
@@ -13,19 +14,26 @@ READ_WRITE_TYPES = ("SELECT", "COPY", "INSERT", "UPDATE")
 METADATA_TYPES = ("SHOW", "DESCRIBE", "USE")
 
 
+def object_names(history: DataFrame) -> Column:
+    """Names of the objects a query accessed, as an array. Reads JSON text or a stored array of structs."""
+    objects = F.col("objects_accessed")
+    if isinstance(history.schema["objects_accessed"].dataType, T.StringType):
+        objects = F.from_json(objects, schemas.OBJECTS_ACCESSED)
+    return objects.getField("objectName")
+
+
 def accessed_objects(history: DataFrame, once_per_query: bool = False) -> DataFrame:
     """One row per query and named object it accessed. Queries without any are dropped.
 
     ``once_per_query`` counts an object a query names twice only once; it is done inside
     the row, so no later count has to be distinct over queries.
     """
-    objects = F.from_json("objects_accessed", schemas.OBJECTS_ACCESSED)
+    names = object_names(history)
     if once_per_query:
-        objects = F.array_distinct(objects)
+        names = F.array_distinct(names)
     return (
-        history.withColumn("object", F.explode(objects))
-        .withColumn("table_name", F.col("object.objectName"))
-        .drop("object", "objects_accessed")
+        history.withColumn("table_name", F.explode(names))
+        .drop("objects_accessed")
         .filter(F.col("table_name").isNotNull())
     )
 
@@ -44,5 +52,5 @@ def is_after_hours(start: Column, hours: BusinessHours = BusinessHours()) -> Col
     return (
         (F.hour(start) < hours.opens)
         | (F.hour(start) >= hours.closes)
-        | F.dayname(start).isin(*hours.weekend)
+        | F.weekday(start).isin(*hours.weekend)
     )

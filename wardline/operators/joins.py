@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` holds at most ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` holds at most ``max_bytes``.
 
-    For the few joins whose other side is the raw query log: AQE would see the small
-    side only after the log has been shuffled. Beyond the bound the join stays a shuffle
-    join, with AQE splitting skewed partitions. Use on narrow rows only.
+    For the few joins whose other side is the raw query log or the column catalogue: AQE
+    would see the small side only after the long one has been shuffled. Measuring is one
+    distributed aggregate over ``df``. Beyond the bound the join stays a shuffle join, with
+    AQE splitting skewed partitions.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    width = F.lit(0)
+    for field in df.schema:
+        is_text = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if is_text else F.lit(16))
+    size = df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df

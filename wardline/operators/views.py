@@ -7,6 +7,8 @@ multiplies a table by the columns or queries of another.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ NOT_TAGGED = "NO - NEEDS TAGGING"
 COMPLIANT, TAGGED_ONLY, NEEDS_REVIEW = "COMPLIANT", "TAGGED_ONLY", "NEEDS_REVIEW"
 STATUS_ORDER = (NEEDS_REVIEW, TAGGED_ONLY, COMPLIANT)
 
+DAYS_IN_BITS = 63  # days a 64-bit number can mark, one bit each
+
 TABLE = ["database_name", "schema_name", "table_name"]
 
 
@@ -275,30 +279,29 @@ def v_potential_sensitive_columns_wide(gov: Governance) -> DataFrame:
 def recent_access_patterns(gov: Governance) -> DataFrame:
     """Per user, role, database and schema: queries, days, time and rows of the access window.
 
-    Queries are added up per day first. A service account with a large part of the log
-    leaves the map side as at most one row per day, so no reducer receives its queries.
+    Every figure merges on the map side, the distinct days too: each day of the window is
+    one bit of a number. A service account with a large part of the log leaves each task
+    as a single row.
     """
-    who = ["user_name", "role_name", "database_name", "schema_name"]
-    daily = (
-        gov.environment_history(gov.clock.access_window_days, gov.estate.layers)
+    window = gov.clock.access_window_days
+    if window >= DAYS_IN_BITS:
+        raise ValueError(f"the access window must be shorter than {DAYS_IN_BITS} days")
+    first_day = gov.clock.as_of_date - timedelta(days=window)
+    day = F.datediff(F.col("start_time").cast("date"), F.lit(first_day))
+    day_bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), day)
+    return (
+        gov.environment_history(window, gov.estate.layers)
         .filter(~F.col("query_type").isin(*METADATA_TYPES))
-        .groupBy(*who, F.date_trunc("DAY", "start_time").alias("day"))
+        .groupBy("user_name", "role_name", "database_name", "schema_name")
         .agg(
-            F.count("*").alias("queries"),
-            F.min("start_time").alias("first"),
-            F.max("start_time").alias("last"),
-            F.sum("total_elapsed_time").alias("elapsed_ms"),
-            F.sum("rows_produced").alias("rows"),
+            F.count("*").alias("query_count"),
+            F.bit_count(F.bit_or(day_bit)).cast("bigint").alias("days_active"),
+            F.min("start_time").alias("first_access"),
+            F.max("start_time").alias("last_access"),
+            (F.sum("total_elapsed_time") / 1000).alias("total_seconds"),
+            F.sum("rows_produced").alias("total_rows_returned"),
         )
     )
-    return daily.groupBy(*who).agg(
-        F.sum("queries").alias("query_count"),
-        F.count("day").alias("days_active"),
-        F.min("first").alias("first_access"),
-        F.max("last").alias("last_access"),
-        (F.sum("elapsed_ms") / 1000).alias("total_seconds"),
-        F.sum("rows").alias("total_rows_returned"),
-    )
 
 
 def v_recent_access_patterns(gov: Governance) -> DataFrame:

@@ -14,6 +14,7 @@ from wardline.plans.audits import (
     access_level,
     curated_access,
     HIGH_VOLUME,
+    SUMMARIES,
     policy_changes,
     unmasked_columns,
     VERY_HIGH_VOLUME,
@@ -81,34 +82,44 @@ def report_policy_coverage(inputs: AuditInputs) -> DataFrame:
     )
 
 
-def _issue_counts(inputs: AuditInputs) -> DataFrame:
-    """One row with all issue counts: one pass over each of the two views."""
-    columns = inputs.sensitive_columns.agg(
+def _lines(counts: DataFrame, entries: list[tuple[str, ...]], *names: str) -> DataFrame:
+    """One row of counts as report lines: each entry is a count column followed by fixed texts."""
+    return counts.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.col(entry[0]).alias(names[0]), *(F.lit(t).alias(n) for t, n in zip(entry[1:], names[1:])))
+                    for entry in entries
+                )
+            )
+        )
+    )
+
+
+def _column_counts(inputs: AuditInputs) -> DataFrame:
+    return inputs.sensitive_columns.agg(
         F.count_if(F.col("has_masking_policy") == V.NOT_MASKED).alias("unmasked"),
         F.count_if(F.col("tagged_as_pii") == V.NOT_TAGGED).alias("untagged"),
-        F.lit(1).alias("report"),
     )
-    tables = inputs.coverage.agg(
+
+
+def _table_counts(inputs: AuditInputs) -> DataFrame:
+    return inputs.coverage.agg(
         F.count_if(F.col("compliance_status") == V.NEEDS_REVIEW).alias("ungoverned"),
         F.count_if(F.col("compliance_status") != V.COMPLIANT).alias("not_compliant"),
-        F.lit(1).alias("report"),
     )
-    return columns.join(tables, "report")
 
 
 def report_issues(inputs: AuditInputs) -> DataFrame:
-    """The three issue counts with their priority."""
-    issues = F.array(
-        *(
-            F.struct(F.lit(text).alias("issue_type"), F.col(count).alias("count"), F.lit(priority).alias("priority"))
-            for text, count, priority in (
-                (UNMASKED_ISSUE, "unmasked", HIGH_PRIORITY),
-                (UNGOVERNED_ISSUE, "ungoverned", MEDIUM_PRIORITY),
-                (UNTAGGED_ISSUE, "untagged", MEDIUM_PRIORITY),
-            )
-        )
+    """The three issue counts with their priority: one pass over each of the two views."""
+    names = ("count", "issue_type", "priority")
+    columns = _lines(
+        _column_counts(inputs),
+        [("unmasked", UNMASKED_ISSUE, HIGH_PRIORITY), ("untagged", UNTAGGED_ISSUE, MEDIUM_PRIORITY)],
+        *names,
     )
-    return _issue_counts(inputs).select(F.inline(issues))
+    tables = _lines(_table_counts(inputs), [("ungoverned", UNGOVERNED_ISSUE, MEDIUM_PRIORITY)], *names)
+    return columns.unionByName(tables).select("issue_type", "count", "priority")
 
 
 def report_access(inputs: AuditInputs) -> DataFrame:
@@ -124,19 +135,18 @@ def report_access(inputs: AuditInputs) -> DataFrame:
 def report_recommendations(inputs: AuditInputs) -> DataFrame:
     """The standing recommendations, each with the number of open items behind it."""
     level = access_level(F.col("query_count"))
-    users = curated_access(inputs).agg(
-        F.count_if(level.isin(VERY_HIGH_VOLUME, HIGH_VOLUME)).alias("high_volume"), F.lit(1).alias("report")
+    mask, tag, volume, document, review = RECOMMENDATIONS
+    names = ("open_items", "recommendation")
+    columns = _lines(_column_counts(inputs), [("unmasked", mask)], *names)
+    tables = _lines(_table_counts(inputs), [("ungoverned", tag), ("not_compliant", review)], *names)
+    users = curated_access(inputs).agg(F.count_if(level.isin(VERY_HIGH_VOLUME, HIGH_VOLUME)).alias("users"))
+    changes = policy_changes(inputs.gov).agg(F.count("*").alias("changes"))
+    return (
+        columns.unionByName(tables)
+        .unionByName(_lines(users, [("users", volume)], *names))
+        .unionByName(_lines(changes, [("changes", document)], *names))
+        .select("recommendation", "open_items")
     )
-    changes = policy_changes(inputs.gov).agg(F.count("*").alias("changes"), F.lit(1).alias("report"))
-    counts = _issue_counts(inputs).join(users, "report").join(changes, "report")
-    open_items = ("unmasked", "ungoverned", "high_volume", "changes", "not_compliant")
-    entries = F.array(
-        *(
-            F.struct(F.lit(text).alias("recommendation"), F.col(count).alias("open_items"))
-            for text, count in zip(RECOMMENDATIONS, open_items)
-        )
-    )
-    return counts.select(F.inline(entries))
 
 
 def report_sections(inputs: AuditInputs, auditor: str, auditor_role: str) -> dict[str, DataFrame]:
@@ -225,6 +235,20 @@ def new_ungoverned_columns(gov: Governance, earlier_columns: DataFrame) -> DataF
     )
 
 
+def audit_counts(inputs: AuditInputs) -> DataFrame:
+    """``(audit_name, issue_count)`` of every audit, in the form of the audit log.
+
+    A union, so the counts of all audits are one job whose stages run side by side.
+    """
+    counts = None
+    for key, summary in SUMMARIES.items():
+        headline = summary(inputs)
+        first_count = headline.columns[1]
+        one = headline.select(F.lit(key).alias("audit_name"), F.col(first_count).alias("issue_count"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
 def log_results(results: Iterable[DataFrame], path: str, run_date: date) -> None:
     """Append several audits' counts to the log in one write."""
     merged = None

@@ -111,12 +111,20 @@ class Governance:
         )
 
     def history_since(self, days: int) -> DataFrame:
-        """Queries started in the last ``days`` days before the report's moment.
+        """Queries started in the last ``days`` days up to the report's moment.
 
-        The bound is a literal, so it prunes date partitions and row groups of the log.
+        The bounds are literals. A log stored by :func:`write_query_history` also has them on
+        the partition column, so older days are not listed, let alone read.
         """
         start = self.clock.as_of - timedelta(days=days)
-        return self.query_history.filter(F.col("start_time") >= F.lit(start).cast("timestamp_ntz"))
+        recent = self.query_history.filter(
+            F.col("start_time").between(
+                F.lit(start).cast("timestamp_ntz"), F.lit(self.clock.as_of).cast("timestamp_ntz")
+            )
+        )
+        if schemas.LOG_DATE in recent.columns:
+            recent = recent.filter(F.col(schemas.LOG_DATE).between(F.lit(start.date()), F.lit(self.clock.as_of_date)))
+        return recent
 
     def environment_history(self, days: int, layers: tuple[str, ...] | None = None) -> DataFrame:
         queries = self.history_since(days).filter(
@@ -128,8 +136,7 @@ class Governance:
 def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate = Estate()) -> Governance:
     """The governance tables as parquet directories under ``path``, one per table.
 
-    ``query_history`` may be partitioned, for example by a date column derived from
-    ``start_time``.
+    ``query_history`` is the folder :func:`write_query_history` fills.
     """
 
     def table(name: str, schema: str):
@@ -143,5 +150,23 @@ def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate
         tag_references=table("tag_references", schemas.TAG_REFERENCES),
         columns=table("columns", schemas.COLUMNS),
         tables=table("tables", schemas.TABLES),
-        query_history=table("query_history", schemas.QUERY_HISTORY),
+        query_history=table("query_history", schemas.STORED_QUERY_HISTORY),
+    )
+
+
+def write_query_history(history: DataFrame, path: str) -> None:
+    """Append a log to ``path``, partitioned by the day queries started.
+
+    The accessed objects are parsed here, once, and stored as an array: parsing JSON is the
+    dearest part of every report on objects. The rebalance hint gathers a day's rows and lets AQE cut a busy day into files of the
+    advisory size.
+    """
+    objects = F.from_json("objects_accessed", schemas.OBJECTS_ACCESSED)
+    (
+        history.withColumn("objects_accessed", objects)
+        .withColumn(schemas.LOG_DATE, F.col("start_time").cast("date"))
+        .hint("rebalance", schemas.LOG_DATE)
+        .write.mode("append")
+        .partitionBy(schemas.LOG_DATE)
+        .parquet(path)
     )

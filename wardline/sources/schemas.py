@@ -19,13 +19,17 @@ COLUMNS = "table_catalog string, table_schema string, table_name string, column_
 
 TABLES = "table_catalog string, table_schema string, table_name string, table_type string"
 
-QUERY_HISTORY = """
+# Partition column of a stored log: the day of start_time.
+LOG_DATE = "log_date"
+OBJECTS_ACCESSED = "array<struct<objectName: string>>"
+
+_QUERY = """
     query_id bigint, user_name string, role_name string, database_name string, schema_name string,
     query_type string, start_time timestamp_ntz, total_elapsed_time bigint, rows_produced bigint,
-    error_code string, error_message string, query_text string, objects_accessed string
+    error_code string, error_message string, query_text string
 """
-
-OBJECTS_ACCESSED = "array<struct<objectName: string>>"
+QUERY_HISTORY = f"{_QUERY}, objects_accessed string"  # as logged: JSON text
+STORED_QUERY_HISTORY = f"{_QUERY}, objects_accessed {OBJECTS_ACCESSED}, {LOG_DATE} date"
 
 TAG_ALLOWED_VALUES = "tag_name string, allowed_value string"
 
