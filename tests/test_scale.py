@@ -164,3 +164,12 @@ def test_stored_log_is_pruned_by_day(spark, sf_dir, tmp_path):
     partitions = text[text.index("PartitionFilters") : text.index("PushedFilters")]
     assert "log_date" in partitions and "2024-01-11" in partitions
     assert sorted(map(tuple, recent.collect())) == sorted(map(tuple, views.recent_access_patterns(gov).collect()))
+
+
+def test_days_of_a_long_window_are_counted_the_same(spark, sf_dir):
+    gov = demo.governance(spark, sf_dir)
+    at = datetime(2024, 1, 31)
+    short = gov.with_(clock=Clock(at, access_window_days=40))
+    long = gov.with_(clock=Clock(at, access_window_days=400))
+    rows = lambda g: sorted(map(tuple, views.recent_access_patterns(g).collect()))
+    assert rows(short) == rows(long)

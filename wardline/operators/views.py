@@ -276,26 +276,30 @@ def v_potential_sensitive_columns_wide(gov: Governance) -> DataFrame:
 # -- access -------------------------------------------------------------------
 
 
+def _days_in_bits(gov: Governance) -> Column:
+    """Distinct days of a short window: each day is one bit of a number."""
+    first_day = gov.clock.as_of_date - timedelta(days=gov.clock.access_window_days)
+    day = F.datediff(F.col("start_time").cast("date"), F.lit(first_day))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), day)
+    return F.bit_count(F.bit_or(bit)).cast("bigint")
+
+
 def recent_access_patterns(gov: Governance) -> DataFrame:
     """Per user, role, database and schema: queries, days, time and rows of the access window.
 
-    Every figure merges on the map side, the distinct days too: each day of the window is
-    one bit of a number. A service account with a large part of the log leaves each task
-    as a single row.
+    Every figure merges on the map side, the distinct days too. A service account with a
+    large part of the log leaves each task as a single row. Only a window of more than two
+    months counts its days with a distinct count.
     """
     window = gov.clock.access_window_days
-    if window >= DAYS_IN_BITS:
-        raise ValueError(f"the access window must be shorter than {DAYS_IN_BITS} days")
-    first_day = gov.clock.as_of_date - timedelta(days=window)
-    day = F.datediff(F.col("start_time").cast("date"), F.lit(first_day))
-    day_bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), day)
+    days_active = _days_in_bits(gov) if window < DAYS_IN_BITS else F.count_distinct(F.col("start_time").cast("date"))
     return (
         gov.environment_history(window, gov.estate.layers)
         .filter(~F.col("query_type").isin(*METADATA_TYPES))
         .groupBy("user_name", "role_name", "database_name", "schema_name")
         .agg(
             F.count("*").alias("query_count"),
-            F.bit_count(F.bit_or(day_bit)).cast("bigint").alias("days_active"),
+            days_active.alias("days_active"),
             F.min("start_time").alias("first_access"),
             F.max("start_time").alias("last_access"),
             (F.sum("total_elapsed_time") / 1000).alias("total_seconds"),
