@@ -121,6 +121,14 @@ def test_a_hot_account_is_counted_before_the_shuffle(spark, hot_log):
     assert _shuffled_rows(views.recent_access_patterns(hot_log)) < 20_000
 
 
+def test_facts_of_a_hot_account_are_a_few_rows(hot_log):
+    inputs = audits.AuditInputs(hot_log)
+    assert inputs.facts.filter("user_name = 'SERVICE'").count() == 1
+    assert _shuffled_rows(audits.AuditInputs(hot_log).facts) < 20_000
+    direct = views.recent_access_patterns(hot_log)
+    assert sorted(map(tuple, inputs.access.collect())) == sorted(map(tuple, direct.select(*inputs.access.columns).collect()))
+
+
 def test_an_object_named_twice_counts_once_per_query(hot_log):
     row = audits.audit_06_by_object(audits.AuditInputs(hot_log)).filter(
         "role_name = 'DBT_CLOUD_PROD_ROLE' AND table_name = 'T2'"
@@ -173,3 +181,4 @@ def test_days_of_a_long_window_are_counted_the_same(spark, sf_dir):
     long = gov.with_(clock=Clock(at, access_window_days=400))
     rows = lambda g: sorted(map(tuple, views.recent_access_patterns(g).collect()))
     assert rows(short) == rows(long)
+    assert rows(long) == sorted(map(tuple, audits.AuditInputs(long).access.collect()))

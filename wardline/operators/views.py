@@ -7,13 +7,11 @@ multiplies a table by the columns or queries of another.
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.detection import UNKNOWN_TYPE, on_review_list, pii_type, suggested_policy
-from wardline.operators.access import METADATA_TYPES, accessed_objects
+from wardline.operators.access import METADATA_TYPES, accessed_objects, day_bit, days_fit_in_bits
 from wardline.sources import schemas
 from wardline.sources.estate_tables import Governance
 
@@ -23,8 +21,6 @@ NOT_TAGGED = "NO - NEEDS TAGGING"
 COMPLIANT, TAGGED_ONLY, NEEDS_REVIEW = "COMPLIANT", "TAGGED_ONLY", "NEEDS_REVIEW"
 STATUS_ORDER = (NEEDS_REVIEW, TAGGED_ONLY, COMPLIANT)
 
-DAYS_IN_BITS = 63  # days a 64-bit number can mark, one bit each
-
 TABLE = ["database_name", "schema_name", "table_name"]
 
 
@@ -276,12 +272,7 @@ def v_potential_sensitive_columns_wide(gov: Governance) -> DataFrame:
 # -- access -------------------------------------------------------------------
 
 
-def _days_in_bits(gov: Governance) -> Column:
-    """Distinct days of a short window: each day is one bit of a number."""
-    first_day = gov.clock.as_of_date - timedelta(days=gov.clock.access_window_days)
-    day = F.datediff(F.col("start_time").cast("date"), F.lit(first_day))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), day)
-    return F.bit_count(F.bit_or(bit)).cast("bigint")
+USER = ["user_name", "role_name", "database_name", "schema_name"]
 
 
 def recent_access_patterns(gov: Governance) -> DataFrame:
@@ -291,12 +282,14 @@ def recent_access_patterns(gov: Governance) -> DataFrame:
     large part of the log leaves each task as a single row. Only a window of more than two
     months counts its days with a distinct count.
     """
-    window = gov.clock.access_window_days
-    days_active = _days_in_bits(gov) if window < DAYS_IN_BITS else F.count_distinct(F.col("start_time").cast("date"))
+    if days_fit_in_bits(gov):
+        days_active = F.bit_count(F.bit_or(day_bit(gov))).cast("bigint")
+    else:
+        days_active = F.count_distinct(F.col("start_time").cast("date"))
     return (
-        gov.environment_history(window, gov.estate.layers)
+        gov.environment_history(gov.clock.access_window_days, gov.estate.layers)
         .filter(~F.col("query_type").isin(*METADATA_TYPES))
-        .groupBy("user_name", "role_name", "database_name", "schema_name")
+        .groupBy(*USER)
         .agg(
             F.count("*").alias("query_count"),
             days_active.alias("days_active"),
@@ -308,6 +301,24 @@ def recent_access_patterns(gov: Governance) -> DataFrame:
     )
 
 
+def access_patterns_of(gov: Governance, facts: DataFrame) -> DataFrame:
+    """:func:`recent_access_patterns` from the added-up log, where its days fit in bits."""
+    if not days_fit_in_bits(gov):
+        return recent_access_patterns(gov)
+    return (
+        facts.filter(F.col("schema_name").isin(*gov.estate.layers) & ~F.col("query_type").isin(*METADATA_TYPES))
+        .groupBy(*USER)
+        .agg(
+            F.sum("queries").alias("query_count"),
+            F.bit_count(F.bit_or("days")).cast("bigint").alias("days_active"),
+            F.min("first_access").alias("first_access"),
+            F.max("last_access").alias("last_access"),
+            (F.sum("elapsed_ms") / 1000).alias("total_seconds"),
+            F.sum("rows_produced").alias("total_rows_returned"),
+        )
+    )
+
+
 def v_recent_access_patterns(gov: Governance) -> DataFrame:
     # The names after the count keep the many users with equal counts from sorting into one partition.
     return recent_access_patterns(gov).orderBy(

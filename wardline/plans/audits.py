@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 from wardline.config import AccessThresholds, BusinessHours
 from wardline.functions.detection import name_like
 from wardline.operators import views as V
-from wardline.operators.access import READ_WRITE_TYPES, accessed_objects, is_after_hours, sensitive_tables
+from wardline.operators.access import (
+    READ_WRITE_TYPES,
+    access_facts,
+    accessed_objects,
+    is_after_hours,
+    sensitive_tables,
+)
 from wardline.operators.joins import broadcast_if_small
 from wardline.sources.estate_tables import Governance
 from wardline.sources.registry import REQUIRED_TABLE_TAGS
@@ -70,9 +76,13 @@ class AuditInputs:
     def sensitive_columns(self) -> DataFrame:
         return V.potential_sensitive_columns(self.gov)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return access_facts(self.gov)
+
     @cached_property
     def access(self) -> DataFrame:
-        return V.recent_access_patterns(self.gov)
+        return V.access_patterns_of(self.gov, self.facts)
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -85,12 +95,13 @@ class AuditInputs:
     @classmethod
     @contextmanager
     def persisted(cls, gov: Governance) -> Iterator[AuditInputs]:
-        """Inputs whose views are computed once and kept, on disk where memory is short.
+        """Inputs that are computed once and kept, on disk where memory is short.
 
-        Losing an executor only means that its part of a view is computed again.
+        The log is added up in one pass; only the reports on single queries and on accessed
+        objects go back to it. Losing an executor only means that its part of a view is computed again.
         """
         inputs = cls(gov)
-        shared = (inputs.sensitive_columns, inputs.access, inputs.coverage, inputs.pii_columns)
+        shared = (inputs.facts, inputs.access, inputs.sensitive_columns, inputs.coverage, inputs.pii_columns)
         for view in shared:
             view.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -243,30 +254,27 @@ def audit_05_summary(inputs: AuditInputs) -> DataFrame:
     return _headline("audit_05", curated_access(inputs), inputs, INFO, user_count=F.count("*"))
 
 
-def _read_write_queries(gov: Governance) -> DataFrame:
-    return gov.environment_history(gov.clock.access_window_days).filter(
-        F.col("query_type").isin(*READ_WRITE_TYPES)
-    )
+def _read_write_facts(inputs: AuditInputs) -> DataFrame:
+    return inputs.facts.filter(F.col("query_type").isin(*READ_WRITE_TYPES))
 
 
 def audit_06(inputs: AuditInputs) -> DataFrame:
     """Use of sensitive tables by role. A query counts for every sensitive table of its schema.
 
-    All tables of a schema get the same figures, so the log is aggregated per schema and
+    All tables of a schema get the same figures, so the log is added up per schema and
     role and only the result is paired with the tables.
     """
-    gov = inputs.gov
     per_schema = (
-        _read_write_queries(gov)
+        _read_write_facts(inputs)
         .groupBy("schema_name", "role_name")
         .agg(
             F.count_distinct("user_name").alias("user_count"),
-            F.count("*").alias("query_count"),
-            F.max("start_time").alias("last_access"),
+            F.sum("queries").alias("query_count"),
+            F.max("last_access").alias("last_access"),
         )
     )
     return (
-        sensitive_tables(gov)
+        sensitive_tables(inputs.gov)
         .join(per_schema, "schema_name")
         .select("schema_name", "table_name", "role_name", "user_count", "query_count", "last_access")
         .orderBy(F.desc("query_count"), "schema_name", "table_name", "role_name")
@@ -279,10 +287,9 @@ def _schemas_with_pii(gov: Governance) -> DataFrame:
 
 def audit_06_summary(inputs: AuditInputs) -> DataFrame:
     gov = inputs.gov
-    users = _read_write_queries(gov).select("schema_name", "user_name", "role_name").distinct()
     return _headline(
         "audit_06",
-        users.join(_schemas_with_pii(gov), "schema_name", "left_semi"),
+        _read_write_facts(inputs).join(_schemas_with_pii(gov), "schema_name", "left_semi"),
         inputs,
         INFO,
         unique_users=F.count_distinct("user_name"),
@@ -294,7 +301,10 @@ def audit_06_by_object(inputs: AuditInputs) -> DataFrame:
     """Use of sensitive tables by role, counting only queries that accessed the table."""
     gov = inputs.gov
     per_table = (
-        accessed_objects(_read_write_queries(gov), once_per_query=True)
+        accessed_objects(
+            gov.environment_history(gov.clock.access_window_days).filter(F.col("query_type").isin(*READ_WRITE_TYPES)),
+            once_per_query=True,
+        )
         .groupBy("schema_name", "table_name", "role_name")
         .agg(
             F.count_distinct("user_name").alias("user_count"),
@@ -343,7 +353,11 @@ def audit_07(inputs: AuditInputs) -> DataFrame:
 
 def audit_07_summary(inputs: AuditInputs) -> DataFrame:
     gov = inputs.gov
-    per_schema = _after_hours_selects(gov).groupBy("schema_name").agg(F.count("*").alias("queries"))
+    per_schema = (
+        inputs.facts.filter(F.col("query_type") == "SELECT")
+        .groupBy("schema_name")
+        .agg(F.sum("after_hours").alias("queries"))
+    )
     return _headline(
         "audit_07",
         per_schema.join(_schemas_with_pii(gov), "schema_name"),
@@ -580,33 +594,38 @@ def audit_12_summary(inputs: AuditInputs) -> DataFrame:
 # -- policy effectiveness -----------------------------------------------------
 
 
-def _curated_selects(gov: Governance) -> DataFrame:
-    return gov.environment_history(gov.clock.access_window_days, gov.estate.curated_layers).filter(
-        F.col("query_type") == "SELECT"
+def _curated_selects(inputs: AuditInputs) -> DataFrame:
+    return inputs.facts.filter(
+        F.col("schema_name").isin(*inputs.gov.estate.curated_layers) & (F.col("query_type") == "SELECT")
     )
 
 
 def audit_13(inputs: AuditInputs) -> DataFrame:
     """Success rate of SELECTs per role and schema, with the errors access control causes."""
-    succeeded = F.col("error_code").isNull()
-    message = F.col("error_message")
+    total, failed = F.sum("queries"), F.sum("failed")
     return (
-        _curated_selects(inputs.gov)
+        _curated_selects(inputs)
         .groupBy("role_name", "schema_name")
         .agg(
-            F.count("*").alias("total_queries"),
-            F.count_if(succeeded).alias("successful_queries"),
-            F.count_if(~succeeded).alias("failed_queries"),
-            F.round(100.0 * F.count_if(succeeded) / F.count("*"), 2).alias("success_rate_pct"),
-            F.count_if(message.ilike("%access%denied%")).alias("access_denied_errors"),
-            F.count_if(message.ilike("%policy%")).alias("policy_errors"),
+            total.alias("total_queries"),
+            (total - failed).alias("successful_queries"),
+            failed.alias("failed_queries"),
+            F.round(100.0 * (total - failed) / total, 2).alias("success_rate_pct"),
+            F.sum("access_denied").alias("access_denied_errors"),
+            F.sum("policy_errors").alias("policy_errors"),
         )
         .orderBy(F.desc("failed_queries"), "role_name", "schema_name")
     )
 
 
 def audit_13_summary(inputs: AuditInputs) -> DataFrame:
-    return _headline("audit_13", _curated_selects(inputs.gov), inputs, None, total_queries=F.count("*"))
+    return _headline(
+        "audit_13",
+        _curated_selects(inputs),
+        inputs,
+        None,
+        total_queries=F.coalesce(F.sum("queries"), F.lit(0)),
+    )
 
 
 def is_policy_change(gov: Governance) -> Column:
