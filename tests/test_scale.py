@@ -182,3 +182,14 @@ def test_days_of_a_long_window_are_counted_the_same(spark, sf_dir):
     rows = lambda g: sorted(map(tuple, views.recent_access_patterns(g).collect()))
     assert rows(short) == rows(long)
     assert rows(long) == sorted(map(tuple, audits.AuditInputs(long).access.collect()))
+
+
+@pytest.mark.parametrize("key", ["audit_05", "audit_07", "audit_07_summary", "audit_14", "report_period", "audit_trend", "stream_access_volume"])
+def test_results_do_not_depend_on_the_session_time_zone(spark, sf_dir, key):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        result = entry.queries()[key](spark, sf_dir).toArrow()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert differences(result, connect(sf_dir).execute(entry.oracle_sql()[key]).to_arrow_table()) == []

@@ -26,7 +26,7 @@ from wardline.operators.access import (
     sensitive_tables,
 )
 from wardline.operators.joins import broadcast_if_small
-from wardline.sources.estate_tables import Governance
+from wardline.sources.estate_tables import Governance, wall_clock
 from wardline.sources.registry import REQUIRED_TABLE_TAGS
 
 # Audit titles, status texts and priorities as the reports print them.
@@ -117,7 +117,7 @@ def _headline(key: str, findings: DataFrame, inputs: AuditInputs, priority: str
         F.lit(TITLES[key]).alias("audit_name"),
         *counts,
         *([F.lit(priority).alias("priority")] if priority else []),
-        F.lit(clock.as_of).cast("timestamp_ntz").alias("audit_timestamp"),
+        wall_clock(clock.as_of).alias("audit_timestamp"),
     )
 
 

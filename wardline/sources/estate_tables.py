@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.config import Clock, Estate
 from wardline.sources import registry, schemas
 
 
+def wall_clock(moment: datetime) -> Column:
+    """A literal without a time zone, whatever zones the session and the driver are in."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 class Governance:
     """Metadata tables, the query log and the moment reports speak about.
 
@@ -118,9 +123,7 @@ class Governance:
         """
         start = self.clock.as_of - timedelta(days=days)
         recent = self.query_history.filter(
-            F.col("start_time").between(
-                F.lit(start).cast("timestamp_ntz"), F.lit(self.clock.as_of).cast("timestamp_ntz")
-            )
+            F.col("start_time").between(wall_clock(start), wall_clock(self.clock.as_of))
         )
         if schemas.LOG_DATE in recent.columns:
             recent = recent.filter(F.col(schemas.LOG_DATE).between(F.lit(start.date()), F.lit(self.clock.as_of_date)))

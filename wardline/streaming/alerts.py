@@ -56,18 +56,20 @@ def _overwrite_batch(df: DataFrame, sink: str, batch_id: int) -> None:
 def access_volume(gov: Governance, history: DataFrame, late: str = "1 day") -> DataFrame:
     """Queries per user, role and day, with the volume label. Works on a stream or a table.
 
-    Rows later than ``late`` behind the newest are dropped by a stream. The log's
-    timestamps carry no zone; a watermark needs one, so they are read in the session zone.
+    Rows later than ``late`` behind the newest are dropped by a stream. A watermark needs a
+    timestamp with a zone and windows start at midnight UTC, so the log's wall-clock time is
+    taken as UTC here, whatever the session zone is.
     """
+    zone = F.current_timezone()
     return (
         _environment(gov, history)
         .filter(F.col("schema_name").isin(*gov.estate.layers) & ~F.col("query_type").isin(*METADATA_TYPES))
-        .withColumn("event_time", F.col("start_time").cast("timestamp"))
+        .withColumn("event_time", F.from_utc_timestamp(F.col("start_time").cast("timestamp"), zone))
         .withWatermark("event_time", late)
         .groupBy(F.window("event_time", "1 day").alias("day"), "user_name", "role_name")
         .agg(F.count("*").alias("query_count"), F.sum("rows_produced").alias("rows_returned"))
         .select(
-            F.col("day.start").cast("date").alias("day"),
+            F.to_utc_timestamp("day.start", zone).cast("date").alias("day"),
             "user_name",
             "role_name",
             "query_count",
