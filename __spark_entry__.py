@@ -328,6 +328,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracle import oracle_sql as sql
+    from sql_checks import oracle_sql as sql
 
     return sql()

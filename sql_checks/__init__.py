@@ -6,7 +6,7 @@ derivation of the input tables is shared.
 
 from __future__ import annotations
 
-from oracle import history, metadata, policies
+from sql_checks import history, metadata, policies
 
 
 def _counts(summaries: dict[str, str]) -> str:

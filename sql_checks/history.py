@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oracle import metadata
-from oracle.fixtures import sql
-from oracle.metadata import AT
+from sql_checks import metadata
+from sql_checks.fixtures import sql
+from sql_checks.metadata import AT
 
 LAYERS = "('DEPOSIT', 'DETERGE', 'DISTRIBUTE')"
 CURATED = "('DETERGE', 'DISTRIBUTE')"

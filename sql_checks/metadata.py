@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.fixtures import sql
+from sql_checks.fixtures import sql
 
 COLUMN = "object_database, object_schema, object_name, column_name"
 AT = "TIMESTAMP '2024-02-10 00:00:00' AS audit_timestamp"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.fixtures import ROLE_GROUP, sql
+from sql_checks.fixtures import ROLE_GROUP, sql
 
 # policy -> column, and what each group of roles gets; * is everyone else.
 RAW = "{v}"

@@ -215,8 +215,16 @@ def _sensitive_columns(gov: Governance, wide: bool) -> DataFrame:
     curated = F.col("table_schema").isin(*gov.estate.curated_layers)
     kind = pii_type(name, curated)
     listed = on_review_list(name, curated)
-    candidates = gov.production_columns(gov.estate.layers).filter(
-        (kind != UNKNOWN_TYPE) | listed if wide else listed
+    # Names are classified in the scan: the sort at the end reads what follows it twice.
+    candidates = (
+        gov.production_columns(gov.estate.layers)
+        .filter((kind != UNKNOWN_TYPE) | listed if wide else listed)
+        .select(
+            *CATALOG_COLUMN,
+            "data_type",
+            kind.alias("suggested_pii_type"),
+            suggested_policy(name).alias("suggested_masking_policy"),
+        )
     )
     pii_tags = _names(
         gov.tag_references.filter((F.col("tag_name") == "CONTAINS_PII") & F.col("object_deleted").isNull()),
@@ -235,8 +243,8 @@ def _sensitive_columns(gov: Governance, wide: bool) -> DataFrame:
             "table_name",
             "column_name",
             "data_type",
-            kind.alias("suggested_pii_type"),
-            suggested_policy(name).alias("suggested_masking_policy"),
+            "suggested_pii_type",
+            "suggested_masking_policy",
             F.coalesce(F.concat(F.lit("YES ("), "policy_name", F.lit(")")), F.lit(NOT_MASKED)).alias(
                 "has_masking_policy"
             ),
