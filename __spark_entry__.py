@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -22,6 +23,10 @@ from wardline.sources import demo, registry, storage
 from wardline.sources.estate_tables import Governance
 from wardline.streaming import alerts
 
+LLM = None
+if importlib.util.find_spec("wardline.llm"):  # the subpackage may be taken out
+    from wardline.llm import queries as LLM  # noqa: N812
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 PERSON = TableId("ORG_PROD", *demo.PERSON_TABLE)
@@ -324,10 +329,10 @@ def queries() -> dict[str, Query]:
         "stream_access_volume": _stream_volume,
         "stream_policy_changes": _stream_changes,
     }
-    return found
+    return found | (LLM.queries() if LLM else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from sql_checks import oracle_sql as sql
 
-    return sql()
+    return sql() | (LLM.oracle_sql() if LLM else {})
