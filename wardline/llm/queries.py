@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import language_id, simhash
+from wardline.llm import language_id, packing, quality, simhash, token_counts
 from wardline.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,13 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": _over_documents(packing.op1_best_fit_packing),
+        "op2_token_counts": _over_documents(token_counts.op2_token_counts),
+        "op7_quality_rules": _over_documents(quality.op7_quality_rules),
         "op8_language_id": _over_documents(language_id.op8_language_id),
         "op10_simhash": _over_documents(simhash.op10_simhash),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.op7_sql()}
