@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import language_id, packing, quality, simhash, token_counts
+from wardline.llm import language_id, licenses, packing, quality, secret_scan, simhash, token_counts
 from wardline.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": _over_documents(packing.op1_best_fit_packing),
         "op2_token_counts": _over_documents(token_counts.op2_token_counts),
+        "op5_secret_scan": _over_documents(secret_scan.op5_secret_scan),
+        "op6_license_scan": _over_documents(licenses.op6_license_scan),
         "op7_quality_rules": _over_documents(quality.op7_quality_rules),
         "op8_language_id": _over_documents(language_id.op8_language_id),
         "op10_simhash": _over_documents(simhash.op10_simhash),
@@ -27,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.op7_sql()}
+    return {"op6_license_scan": licenses.op6_sql(), "op7_quality_rules": quality.op7_sql()}
