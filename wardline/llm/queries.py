@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import language_id, licenses, packing, quality, secret_scan, simhash, token_counts
+from wardline.llm import language_id, licenses, packing, quality, secret_scan, simhash, token_counts, url_rules
 from wardline.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": _over_documents(packing.op1_best_fit_packing),
         "op2_token_counts": _over_documents(token_counts.op2_token_counts),
+        "op3_url_rules": lambda spark, sf_dir: url_rules.op3_url_rules(
+            spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+        ),
         "op5_secret_scan": _over_documents(secret_scan.op5_secret_scan),
         "op6_license_scan": _over_documents(licenses.op6_license_scan),
         "op7_quality_rules": _over_documents(quality.op7_quality_rules),
