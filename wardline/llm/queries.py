@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import language_id, licenses, packing, quality, secret_scan, simhash, token_counts, url_rules
+from wardline.llm import language_id, licenses, packing, quality, secret_scan, simhash, surrogates, token_counts, url_rules
 from wardline.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op6_license_scan": _over_documents(licenses.op6_license_scan),
         "op7_quality_rules": _over_documents(quality.op7_quality_rules),
         "op8_language_id": _over_documents(language_id.op8_language_id),
+        "op9_surrogates": _over_documents(surrogates.op9_surrogates),
         "op10_simhash": _over_documents(simhash.op10_simhash),
     }
 
