@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import language_id, licenses, packing, quality, secret_scan, simhash, surrogates, token_counts, url_rules
+import corpus_pipeline
+from wardline.llm import decontaminate, language_id, licenses, packing, quality, secret_scan, simhash, surrogates, token_counts, url_rules
 from wardline.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,14 +24,19 @@ def queries() -> dict[str, Query]:
         "op3_url_rules": lambda spark, sf_dir: url_rules.op3_url_rules(
             spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
         ),
+        "op4_decontamination": lambda spark, sf_dir: decontaminate.op4_decontamination(
+            read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        ),
         "op5_secret_scan": _over_documents(secret_scan.op5_secret_scan),
         "op6_license_scan": _over_documents(licenses.op6_license_scan),
         "op7_quality_rules": _over_documents(quality.op7_quality_rules),
         "op8_language_id": _over_documents(language_id.op8_language_id),
         "op9_surrogates": _over_documents(surrogates.op9_surrogates),
         "op10_simhash": _over_documents(simhash.op10_simhash),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.op6_sql(), "op7_quality_rules": quality.op7_sql()}
+    found = {"op6_license_scan": licenses.op6_sql(), "op7_quality_rules": quality.op7_sql()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
