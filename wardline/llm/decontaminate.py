@@ -251,7 +251,7 @@ def common_share(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> tu
         if j and rows[i][j] > rows[i - 1][j]:
             used.append(inside[i - 1])
             j -= 1
-    return float(rows[-1][-1] / max(1e-12, own.sum())), np.array(used[::-1], np.int64)
+    return min(1.0, float(rows[-1][-1] / max(1e-12, own.sum()))), np.array(used[::-1], np.int64)
 
 
 def _verified(part: Part, region: np.ndarray, space: Space, settings: Settings) -> tuple[float, bool, np.ndarray] | None:
