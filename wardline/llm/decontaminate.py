@@ -270,6 +270,9 @@ MATCH = "doc_id bigint, item_id bigint, first_word bigint, past_word bigint, cos
 def _searcher(bench: Benchmark, space: Space, settings: Settings):
     length = np.linalg.norm(space.items, axis=1)
     length = np.where(length > 0, length, np.inf).astype(np.float32)
+    # what each term can add to a common subsequence at most, and what is needed
+    most = [{int(t): float(n * space.weight[t]) for t, n in zip(*np.unique(p.words, return_counts=True))} for p in bench.parts]
+    needed = [min(settings.share, settings.share_answered) * sum(m.values()) * (1 - 1e-5) for m in most]
 
     def candidates(terms: np.ndarray, counts: np.ndarray):
         """(document, first word, part, cosine) of the windows that come near a part, best first in each document."""
@@ -300,12 +303,17 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
                 heads = np.cumsum(counts) - counts
                 terms = bench.terms(hashes)
                 found: dict[tuple[int, int], list] = {}
+                present: dict[tuple[int, int], set] = {}
                 for doc, start, p, cosine in candidates(terms, counts):
                     found.setdefault((doc, bench.parts[p].item), []).append((-cosine, start, p))
                 for (doc, item), windows in found.items():
                     low, high = heads[doc], heads[doc] + counts[doc]
                     for minus, start, p in sorted(windows):
                         a, b = max(low, start - settings.step), min(high, start + settings.window + settings.step)
+                        if (a, b) not in present:
+                            present[a, b] = set(terms[a:b].tolist())
+                        if sum(most[p][t] for t in present[a, b] & most[p].keys()) < needed[p]:
+                            continue
                         if seen := _verified(bench.parts[p], terms[a:b], space, settings):
                             share, answered, used = seen
                             out.append((ids[row + doc], item, int(a + used[0] - low), int(a + used[-1] - low + 1), min(1.0, -minus), share, answered))
