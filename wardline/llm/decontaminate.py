@@ -37,10 +37,10 @@ class Settings:
     block: int = 2000
     window: int = 64
     step: int = 16
-    rank: int = 96
-    sketch: int = 128
-    cosine: float = 0.35
-    mass: float = 0.4
+    rank: int = 80
+    sketch: int = 96
+    cosine: float = 0.4
+    mass: float = 0.5
     share: float = 0.7
     share_answered: float = 0.55
     common: float = 0.1
