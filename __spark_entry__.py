@@ -104,6 +104,12 @@ def _row_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _inherited_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the tree of roles that the parts make; no privilege adds a role to it."""
+    gov = demo.governance(spark, sf_dir)
+    return privileges.inherited_roles(gov.with_(role_grants=demo.role_tree(spark, sf_dir), grants=gov.grants.limit(0)))
+
+
 def _row_detach(spark: SparkSession, sf_dir: str) -> DataFrame:
     gov = demo.governance(spark, sf_dir)
     references = registry.detach_row_policy(gov.policy_references, TableId("ORG_PROD", "DETERGE", "T1"))
@@ -288,6 +294,9 @@ def queries() -> dict[str, Query]:
         "future_grant_gaps": _governed(privileges.future_grant_gaps),
         "user_roles": _governed(privileges.user_roles),
         "users_per_role": _governed(privileges.users_per_role),
+        "granted_unused": _governed(privileges.granted_unused),
+        "used_not_granted": _governed(privileges.used_not_granted),
+        "inherited_roles": _inherited_roles,
         # views
         "v_masking_policy_references": _governed(views.v_masking_policy_references),
         "v_masking_policy_summary": _governed(views.v_masking_policy_summary),

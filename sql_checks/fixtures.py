@@ -17,7 +17,7 @@ def _values(rows, names: str) -> str:
     return f"SELECT * FROM (VALUES {body}) AS v({names})"
 
 
-_TAG_REFERENCES = """
+_TAG_REFERENCES = f"""
 SELECT 'GOV_DB' AS tag_database, 'GOVERNANCE' AS tag_schema, t.tag_name AS tag_name,
   CASE t.tag_name WHEN 'CONTAINS_PII' THEN CASE WHEN column_id % 11 = 0 THEN 'FALSE' ELSE 'TRUE' END
        WHEN 'SENSITIVITY_LEVEL' THEN CASE WHEN column_id % 5 = 0 THEN 'SECRET' WHEN column_id % 5 < 3 THEN 'RESTRICTED' ELSE 'INTERNAL' END
@@ -30,7 +30,7 @@ UNION ALL
 SELECT 'GOV_DB', 'GOVERNANCE', t.tag_name, t.tag_value, table_catalog, table_schema, table_name, NULL, 'TABLE', NULL
 FROM columns CROSS JOIN (SELECT 'SENSITIVITY_LEVEL' AS tag_name, 'CONFIDENTIAL' AS tag_value, 2 AS m UNION ALL SELECT 'DATA_DOMAIN', 'ACADEMIC', 3
   UNION ALL SELECT 'DATA_OWNER', 'REGISTRAR', 1 UNION ALL SELECT 'RETENTION_PERIOD', '1_YEAR', 5) t
-WHERE column_id < 70 AND column_id % t.m = 0
+WHERE {demo.FIRST_OF_TABLE} AND {demo.TABLE_OF_COLUMN} % 10 < 7 AND {demo.TABLE_OF_COLUMN} % t.m = 0
 """
 
 _ENV_POLICY_REFERENCES = """
@@ -72,6 +72,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         "CASE WHEN CAST(substr(table_name, 2) AS INT) % 10 = 3 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type "
         "FROM columns",
     ),
+    "user_grants": ((), f"SELECT {_columns_of(demo.USER_GRANTS)} FROM customer WHERE {demo.USER_GRANTS_WHERE}"),
+    "role_tree": ((), f"SELECT {_columns_of(demo.ROLE_TREE)} FROM part"),
     "env_policy_references": (("columns",), _ENV_POLICY_REFERENCES),
     "roles": ((), _values(_ROLES, "role, grp")),
     "role_grants": ((), _values(registry.ROLE_GRANTS, "child, parent")),

@@ -293,7 +293,7 @@ SQL: dict[str, str] = {
         """SELECT c.table_catalog AS object_database, c.table_schema AS object_schema, c.table_name AS object_name,
           c.column_name, n.tag_name, coalesce(own.tag_value, up.tag_value) AS tag_value,
           CASE WHEN own.tag_value IS NULL THEN 'TABLE' ELSE 'COLUMN' END AS tag_level
-        FROM columns c CROSS JOIN (SELECT DISTINCT tag_name FROM allowed) n
+        FROM columns c CROSS JOIN (SELECT DISTINCT tag_name FROM live_tags) n
         LEFT JOIN (SELECT object_database d, object_schema s, object_name t, column_name c, tag_name n, min(tag_value) AS tag_value
                    FROM live_tags WHERE column_name IS NOT NULL GROUP BY ALL) own
           ON own.d = c.table_catalog AND own.s = c.table_schema AND own.t = c.table_name AND own.c = c.column_name AND own.n = n.tag_name
@@ -419,9 +419,34 @@ SQL: dict[str, str] = {
     ),
     "users_per_role": sql(
         """SELECT role_name, count(DISTINCT user_name) AS user_count, min(user_name) AS first_user, max(user_name) AS last_user,
-          count(*) AS queries, max(start_time) AS last_used FROM query_history GROUP BY role_name""",
+          (SELECT count(*) FROM query_history h WHERE h.role_name = g.role_name) AS queries,
+          (SELECT max(start_time) FROM query_history h WHERE h.role_name = g.role_name) AS last_used
+        FROM user_grants g GROUP BY role_name""",
+        "user_grants",
         "query_history",
     ),
+    "granted_unused": sql(
+        """SELECT DISTINCT user_name, role_name FROM user_grants
+        WHERE (user_name, role_name) NOT IN (SELECT (user_name, role_name) FROM query_history)""",
+        "user_grants",
+        "query_history",
+    ),
+    "used_not_granted": sql(
+        """SELECT role_name, user_name, count(*) AS queries, max(start_time) AS last_used FROM query_history h
+        WHERE NOT EXISTS (SELECT 1 FROM user_grants g WHERE g.user_name = h.user_name AND g.role_name = h.role_name)
+        GROUP BY ALL""",
+        "user_grants",
+        "query_history",
+    ),
+    "inherited_roles": sql(
+        """SELECT h.role_name, (SELECT count(*) FROM role_tree t WHERE t.parent = h.role_name AND t.child <> t.parent) AS direct_roles,
+          count(*) - 1 AS inherited_roles FROM held h GROUP BY h.role_name""",
+        "role_tree",
+        held="""
+        SELECT role_name, role_name AS inherited_role FROM (SELECT child AS role_name FROM role_tree UNION SELECT parent FROM role_tree)
+        UNION SELECT h.role_name, t.child FROM held h JOIN role_tree t ON t.parent = h.inherited_role
+        """,
+    ),
     # attachments
     "row_policy_attach": sql(f"{_ROW_REFS} UNION ALL BY NAME {ATTACHED}", "governed"),
     "row_detach": sql(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import connect, differences
 from wardline.config import Clock
-from wardline.operators import joins, views
+from wardline.operators import views
 from wardline.plans import audits
 from wardline.sources import demo
 from wardline.sources.estate_tables import write_query_history
@@ -34,7 +34,7 @@ JOINING = [
 
 
 @pytest.fixture
-def shuffle_joins(spark, monkeypatch):
+def shuffle_joins(spark):
     """As beyond every broadcast bound: joins must shuffle."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -43,7 +43,6 @@ def shuffle_joins(spark, monkeypatch):
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    monkeypatch.setattr(joins.broadcast_if_small, "__defaults__", (-1,))
     yield
     for k, v in before.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -56,14 +55,28 @@ def test_results_do_not_depend_on_broadcasts(spark, sf_dir, shuffle_joins, key):
     assert differences(result.toArrow(), connect(sf_dir).execute(entry.oracle_sql()[key]).to_arrow_table()) == []
 
 
-def test_broadcast_only_within_the_bound(spark):
-    long, short = spark.range(1000), spark.range(10)
-    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(long.join(joins.broadcast_if_small(short, 10 * 16), "id"))
-    assert "broadcast" not in plan(long.join(joins.broadcast_if_small(short, 10 * 16 - 1), "id"))
-    wide = short.select("id", F.repeat(F.lit("x"), 1000).alias("text"))
-    assert "broadcast" not in plan(long.join(joins.broadcast_if_small(wide, 10_000), "id"))
-    assert "broadcast" in plan(long.join(joins.broadcast_if_small(wide.limit(2), 10_000), "id"))
+@pytest.mark.parametrize("key", ["effective_tags", "audit_07", "audit_07_by_object", "v_governance_coverage_report"])
+def test_no_job_before_an_action(spark, sf_dir, key):
+    demo.governance(spark, sf_dir).query_history.schema, demo.governance(spark, sf_dir).columns.schema  # tables opened
+    started = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = started()
+    entry.queries()[key](spark, sf_dir)
+    opened = 4  # reading a table's schema is a job of its own
+    assert started() - before <= opened
+
+
+def test_the_estate_grows_with_the_tables(spark):
+    """Ten times the parts: about ten times the tables, row policies and table tags."""
+    small, large = (demo.governance(spark, f"/root/testdata/{sf}") for sf in ("sf0.001", "sf0.01"))
+    counts = lambda gov: (
+        gov.tables.count(),
+        gov.row_access_attachments().count(),
+        gov.live_tags().filter("column_name IS NULL").count(),
+    )
+    for few, many in zip(counts(small), counts(large)):
+        assert 6 * few <= many <= 14 * few
+    parts = large.columns.count()
+    assert large.columns.filter("table_name = 'T2'").count() >= parts / 8
 
 
 @pytest.fixture

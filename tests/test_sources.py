@@ -56,6 +56,27 @@ def test_role_closure(spark, sf_dir):
     assert held[R.IR_ANALYST] == {R.IR_ANALYST}
 
 
+def closure_of(spark, pairs):
+    return set(map(tuple, privileges.closure(spark.createDataFrame(pairs, "role_name string, inherited_role string")).collect()))
+
+
+def test_closure_of_a_long_chain(spark):
+    found = closure_of(spark, [(f"r{i}", f"r{i + 1}") for i in range(300)])
+    assert found == {(f"r{i}", f"r{j}") for i in range(300) for j in range(i + 1, 301)}
+
+
+def test_closure_of_diamonds(spark):
+    """Two to the twentieth paths, few pairs."""
+    edges = [(f"t{i}", f"{side}{i}") for i in range(20) for side in "ab"] + [(f"{side}{i}", f"t{i + 1}") for i in range(20) for side in "ab"]
+    found = closure_of(spark, edges)
+    want = {("t0", x) for i in range(20) for x in (f"a{i}", f"b{i}", f"t{i + 1}")}
+    assert {p for p in found if p[0] == "t0"} == want and ("t20", "t0") not in found
+
+
+def test_closure_of_a_cycle(spark):
+    assert closure_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]) == {(x, y) for x in "abc" for y in "abcd"}
+
+
 def test_access_matrix(spark, sf_dir):
     matrix = {r.role_name: r for r in privileges.role_access_matrix(demo.governance(spark, sf_dir)).collect()}
     assert matrix[R.DATA_ENGINEER].prod_deposit == "WRITE"
@@ -92,6 +113,56 @@ def test_catalogue_of_a_session(spark):
         spark.sql("DROP DATABASE distribute CASCADE")
 
 
+def test_a_tag_outside_the_taxonomy_is_effective(spark, sf_dir):
+    gov = demo.governance(spark, sf_dir)
+    column = gov.columns.filter("table_name = 'T1'").orderBy("column_name").first()
+    one = gov.tag_references.filter("object_deleted IS NULL").limit(1)
+    name = lambda c, v: one.withColumns({k: F.lit(x).cast("string") for k, x in {
+        "tag_name": "OWN_TAG", "tag_value": v, "object_database": column.table_catalog, "object_schema": column.table_schema,
+        "object_name": "T1", "column_name": c}.items()})
+    tagged = gov.tag_references.unionByName(name(column.column_name, "mine")).unionByName(name(None, "theirs"))
+    found = tags.effective_tags(gov.with_(tag_references=tagged)).filter("tag_name = 'OWN_TAG'").collect()
+    levels = {r.column_name: (r.tag_value, r.tag_level) for r in found}
+    assert levels.pop(column.column_name) == ("mine", "COLUMN")
+    assert levels and set(levels.values()) == {("theirs", "TABLE")}
+
+
+@pytest.mark.parametrize("change", [{"policy_schema": "SANDBOX"}, {"policy_db": "OTHER_DB"}, {"policy_status": "INACTIVE"}])
+def test_foreign_and_inactive_policies_refuse_the_read(spark, sf_dir, change):
+    table = TableId("ORG_PROD", *demo.PERSON_TABLE)
+    attached = demo.person_attachments(spark).withColumns({k: F.lit(v) for k, v in change.items()})
+    with pytest.raises(secure.UnknownPolicy):
+        secure.secured(demo.person(spark, sf_dir), table, R.IR_ANALYST, demo.AS_OF_DATE, attached)
+
+
+def test_a_governed_view_looks_its_policies_up_once(spark, sf_dir, monkeypatch):
+    calls = []
+    real = session_views.table_attachments
+    monkeypatch.setattr(session_views, "table_attachments", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(secure, "table_attachments", lambda *a: calls.append(1) or real(*a))
+    session_views.declare_role(spark, "it's")
+    table = TableId("ORG_PROD", *demo.PERSON_TABLE)
+    session_views.create_governed_view(demo.person(spark, sf_dir), "one_lookup", table, demo.AS_OF_DATE, demo.person_attachments(spark))
+    assert len(calls) == 1 and spark.sql("SELECT cur_role").first()[0] == "it's"
+
+
+def test_a_log_loaded_twice_counts_once(spark, sf_dir, tmp_path):
+    log = demo.governance(spark, sf_dir).query_history
+    for _ in range(2):
+        write_query_history(log, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path)).count() == log.count()
+
+
+def test_grants_and_use(spark, sf_dir):
+    gov = demo.governance(spark, sf_dir).with_(
+        user_grants=spark.createDataFrame([("A", "R1"), ("A", "R1"), ("B", "R1"), ("B", "R2")], "user_name string, role_name string"),
+        query_history=demo.governance(spark, sf_dir).query_history.limit(2).withColumns({"user_name": F.lit("B"), "role_name": F.lit("R3")}),
+    )
+    assert rows(privileges.users_per_role(gov)) == [("R1", 2, "A", "B", 0, None), ("R2", 1, "B", "B", 0, None)]
+    assert rows(privileges.granted_unused(gov)) == [("A", "R1"), ("B", "R1"), ("B", "R2")]
+    assert [r[:2] for r in rows(privileges.used_not_granted(gov))] == [("B", "R3")]
+
+
 def test_governance_read_from_parquet(spark, sf_dir, tmp_path):
     gov = demo.governance(spark, sf_dir)
     for name in ("policy_references", "tag_references", "columns", "tables"):

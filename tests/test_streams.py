@@ -46,7 +46,7 @@ def test_after_hours_alerts(spark, sf_dir, log_files, tmp_path):
 def test_access_volume(spark, sf_dir, log_files, tmp_path):
     gov = demo.governance(spark, sf_dir)
     sink, checkpoint = str(tmp_path / "volume"), str(tmp_path / "checkpoint")
-    run(alerts.start_access_volume(gov, stream(spark, log_files), sink, checkpoint, ONCE, late="40 days"))
+    run(alerts.start_access_volume(gov, stream(spark, log_files), sink, checkpoint, ONCE))
     seen = alerts.read_access_volume(spark, sink)
     batch = alerts.access_volume(gov, gov.query_history)
     assert rows(seen) == rows(batch.select(*seen.columns))
@@ -60,14 +60,17 @@ def test_policy_changes(spark, sf_dir, log_files, tmp_path):
     assert rows(spark.read.parquet(sink).select(*detail.columns)) == rows(detail)
 
 
-def test_late_rows_beyond_the_watermark_are_dropped(spark, sf_dir, tmp_path):
+def test_late_rows_count(spark, sf_dir, tmp_path):
+    """Files that arrive newest first, with default arguments; a batch that is repeated counts once."""
     gov = demo.governance(spark, sf_dir)
     days = gov.query_history.withColumn("day", F.col("start_time").cast("date"))
     folder = str(tmp_path / "log")
-    days.filter("day = '2024-01-20'").coalesce(1).write.parquet(folder)
     sink, checkpoint = str(tmp_path / "volume"), str(tmp_path / "checkpoint")
-    start = lambda: run(alerts.start_access_volume(gov, stream(spark, folder), sink, checkpoint, ONCE, late="1 day"))
-    start()
-    days.filter("day = '2024-01-02'").coalesce(1).write.mode("append").parquet(folder)
-    start()
-    assert {str(r.day) for r in alerts.read_access_volume(spark, sink).select("day").distinct().collect()} == {"2024-01-20"}
+    for part in ("day >= '2024-01-20'", "day >= '2024-01-08' AND day < '2024-01-20'", "day < '2024-01-08'"):
+        days.filter(part).drop("day").coalesce(1).write.mode("append").parquet(folder)
+        run(alerts.start_access_volume(gov, stream(spark, folder), sink, checkpoint, ONCE))
+    batch = alerts.access_volume(gov, gov.query_history)
+    seen = alerts.read_access_volume(spark, sink)
+    assert rows(seen) == rows(batch.select(*seen.columns))
+    alerts._overwrite_batch(alerts._volume(gov, days.filter("day < '2024-01-08'").drop("day")), sink, 2)
+    assert rows(alerts.read_access_volume(spark, sink)) == rows(batch.select(*seen.columns))

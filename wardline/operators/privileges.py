@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators.access import METADATA_TYPES
 from wardline.sources.estate_tables import Governance
+from wardline.sources.storage import written
 
 OBJECT = ["database_name", "schema_name", "object_type"]
 
@@ -15,29 +16,44 @@ READ_PRIVILEGES = ("SELECT",)
 WRITE_QUERIES = ("INSERT", "UPDATE", "DELETE", "MERGE", "COPY", "CREATE", "ALTER", "DROP")
 
 
-def role_closure(gov: Governance) -> DataFrame:
-    """``(role_name, inherited_role)``: every role with all the roles it holds, itself included.
+def closure(pairs: DataFrame) -> DataFrame:
+    """The transitive closure of ``(role_name, inherited_role)``.
 
-    Grants between roles form no cycle; with one, the recursion would end at Spark's
-    recursion limit with an error.
+    Each round joins the distinct pairs with themselves, so paths double in length and a
+    pair is kept once however many paths lead to it. It ends when a round adds no pair; a
+    cycle ends as well. Rounds are written to the shared folder.
     """
+    held, size = written(pairs.distinct()), -1
+    while (now := held.count()) != size:
+        size = now
+        onward = held.select(F.col("role_name").alias("inherited_role"), F.col("inherited_role").alias("further"))
+        held = written(
+            held.join(onward, "inherited_role")
+            .select("role_name", F.col("further").alias("inherited_role"))
+            .union(held)
+            .distinct()
+        )
+    return held
+
+
+def role_closure(gov: Governance) -> DataFrame:
+    """``(role_name, inherited_role)``: every role with all the roles it holds, itself included."""
     named = (
         gov.role_grants.select(F.col("child").alias("role_name"))
         .unionByName(gov.role_grants.select(F.col("parent").alias("role_name")))
         .unionByName(gov.grants.select("role_name"))
-        .distinct()
+        .select("role_name", F.col("role_name").alias("inherited_role"))
     )
-    return gov.spark.sql(
-        """
-        WITH RECURSIVE held(role_name, inherited_role) AS (
-            SELECT role_name, role_name FROM {named}
-            UNION ALL
-            SELECT held.role_name, g.child FROM held JOIN {role_grants} g ON held.inherited_role = g.parent
-        )
-        SELECT DISTINCT role_name, inherited_role FROM held
-        """,
-        named=named,
-        role_grants=gov.role_grants,
+    granted = gov.role_grants.select(F.col("parent").alias("role_name"), F.col("child").alias("inherited_role"))
+    return closure(named.union(granted))
+
+
+def inherited_roles(gov: Governance) -> DataFrame:
+    """Every role with the number of roles it holds beside itself, directly and in all."""
+    direct = gov.role_grants.filter("child <> parent").distinct().groupBy(F.col("parent").alias("role_name")).agg(F.count("*").alias("direct_roles"))
+    every = role_closure(gov).groupBy("role_name").agg((F.count("*") - 1).alias("inherited_roles"))
+    return every.join(direct, "role_name", "left").select(
+        "role_name", F.coalesce("direct_roles", F.lit(0)).alias("direct_roles"), "inherited_roles"
     )
 
 
@@ -193,15 +209,23 @@ def user_roles(gov: Governance) -> DataFrame:
 
 
 def users_per_role(gov: Governance) -> DataFrame:
-    """Users per role. The users themselves stay rows (``user_roles``), not one list per role."""
-    return (
-        user_roles(gov)
+    """Users a role is granted to, and its use in the log. The users themselves stay rows (``user_grants``)."""
+    granted = (
+        gov.user_grants.distinct()
         .groupBy("role_name")
-        .agg(
-            F.count("*").alias("user_count"),
-            F.min("user_name").alias("first_user"),
-            F.max("user_name").alias("last_user"),
-            F.sum("queries").alias("queries"),
-            F.max("last_used").alias("last_used"),
-        )
+        .agg(F.count("*").alias("user_count"), F.min("user_name").alias("first_user"), F.max("user_name").alias("last_user"))
+    )
+    used = gov.query_history.groupBy("role_name").agg(F.count("*").alias("queries"), F.max("start_time").alias("last_used"))
+    return granted.join(used, "role_name", "left").select(
+        *granted.columns, F.coalesce("queries", F.lit(0)).alias("queries"), "last_used"
     )
+
+
+def granted_unused(gov: Governance) -> DataFrame:
+    """Roles granted to users who have run no query with them."""
+    return gov.user_grants.distinct().join(user_roles(gov), ["user_name", "role_name"], "left_anti")
+
+
+def used_not_granted(gov: Governance) -> DataFrame:
+    """Roles users have run queries with and are not granted (any more)."""
+    return user_roles(gov).join(gov.user_grants, ["user_name", "role_name"], "left_anti")

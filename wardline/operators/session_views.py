@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.config import TableId
 from wardline.functions.roles import LISTED_ROLES, UNLISTED_ROLE
-from wardline.operators.secure import secured
+from wardline.operators.secure import secured, table_attachments
 
 ROLE_VARIABLE = "cur_role"
 
 
 def declare_role(spark: SparkSession, role: str = UNLISTED_ROLE) -> None:
     """Create the session variable. ``SET VAR cur_role = '...'`` then switches roles."""
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {ROLE_VARIABLE} STRING DEFAULT '{role}'")
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {ROLE_VARIABLE} STRING DEFAULT NULL")
+    spark.sql(f"SET VAR {ROLE_VARIABLE} = :role", args={"role": role})
 
 
 def create_governed_view(
@@ -34,9 +35,10 @@ def create_governed_view(
     role in no branch gets what an unlisted role sees; no role at all sees nothing.
     """
     spark = df.sparkSession
+    attached = table_attachments(policy_references, table, df)
     branches = []
     for i, role in enumerate((*roles, UNLISTED_ROLE)):
-        secured(df, table, role, as_of, policy_references).createOrReplaceTempView(f"{name}__{i}")
+        secured(df, table, role, as_of, attached).createOrReplaceTempView(f"{name}__{i}")
         listed = ", ".join(f"'{r}'" for r in roles)
         test = f"{ROLE_VARIABLE} NOT IN ({listed})" if role == UNLISTED_ROLE else f"{ROLE_VARIABLE} = '{role}'"
         branches.append(f"SELECT * FROM {name}__{i} WHERE {test}")

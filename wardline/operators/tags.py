@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.detection import NO_SUGGESTION, suggested_policy
-from wardline.operators.joins import broadcast_if_small
 from wardline.sources import schemas
 from wardline.sources.estate_tables import Governance
 from wardline.sources.registry import (
     PII_COMPLIANCE,
     PII_SENSITIVITY,
     RETENTION_YEARS,
-    TAG_VALUES,
 )
 
 COLUMN_KEY = ["object_database", "object_schema", "object_name", "column_name"]
@@ -42,50 +38,46 @@ def tag_invalid_values(gov: Governance) -> DataFrame:
     )
 
 
-def _pivoted(tags: DataFrame, key: Sequence[str], prefix: str) -> DataFrame:
-    """One row per object, one column per tag. Several values of one tag: the smallest."""
-    return tags.groupBy(*key).agg(
-        *(F.min(F.when(F.col("tag_name") == t, F.col("tag_value"))).alias(f"{prefix}{t}") for t in TAG_VALUES)
-    )
-
-
 def effective_tags(gov: Governance) -> DataFrame:
     """Tags in force on each catalogued column: its own, else those of its table.
 
-    Tags become columns before the join, so the catalogue is joined once per level and
-    never multiplied; the column level shuffles on the full column key, the table level
-    is one row per table.
+    Tags stay rows, whatever their names are. Table tags meet the columns on the table,
+    which AQE splits if one table has many; one aggregate on column and tag then lets the
+    column's own value win. Several values of one tag on one object: the smallest.
     """
     tags = gov.live_tags()
-    own = _pivoted(tags.filter(F.col("column_name").isNotNull()), COLUMN_KEY, "own_")
-    inherited = _pivoted(tags.filter(F.col("column_name").isNull()), TABLE_KEY, "table_")
+    value = F.min("tag_value").alias("tag_value")
+    own = tags.filter(F.col("column_name").isNotNull()).groupBy(*COLUMN_KEY, "tag_name").agg(value)
+    inherited = tags.filter(F.col("column_name").isNull()).groupBy(*TABLE_KEY, "tag_name").agg(value)
     columns = gov.columns.select(
         F.col("table_catalog").alias("object_database"),
         F.col("table_schema").alias("object_schema"),
         F.col("table_name").alias("object_name"),
         "column_name",
     )
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(t).alias("tag_name"),
-                F.coalesce(f"own_{t}", f"table_{t}").alias("tag_value"),
-                F.when(F.col(f"own_{t}").isNotNull(), "COLUMN").otherwise("TABLE").alias("tag_level"),
-            )
-            for t in TAG_VALUES
-        )
+    names = [*COLUMN_KEY, "tag_name", "tag_value"]
+    every = (
+        own.join(columns, COLUMN_KEY, "left_semi").select(*names, F.lit(0).alias("level"))
+        .unionByName(columns.join(inherited, TABLE_KEY).select(*names, F.lit(1).alias("level")))
     )
-    return (
-        columns.join(broadcast_if_small(inherited), TABLE_KEY, "left")
-        .join(own, COLUMN_KEY, "left")
-        .select(*COLUMN_KEY, F.inline(entries))
-        .filter(F.col("tag_value").isNotNull())
+    nearest = F.min(F.struct("level", "tag_value"))
+    return every.groupBy(*COLUMN_KEY, "tag_name").agg(nearest.alias("found")).select(
+        *COLUMN_KEY,
+        "tag_name",
+        "found.tag_value",
+        F.when(F.col("found.level") == 0, "COLUMN").otherwise("TABLE").alias("tag_level"),
     )
 
 
 def pii_column_tag_rules(gov: Governance) -> DataFrame:
     """Columns tagged as PII whose sensitivity or compliance tag breaks the rule for PII columns."""
-    per_column = _pivoted(gov.live_tags().filter(F.col("column_name").isNotNull()), COLUMN_KEY, "")
+    value = lambda tag: F.min(F.when(F.col("tag_name") == tag, F.col("tag_value"))).alias(tag)
+    per_column = (
+        gov.live_tags()
+        .filter(F.col("column_name").isNotNull())
+        .groupBy(*COLUMN_KEY)
+        .agg(value("CONTAINS_PII"), value("SENSITIVITY_LEVEL"), value("COMPLIANCE_TYPE"))
+    )
     sensitivity, compliance = F.col("SENSITIVITY_LEVEL"), F.col("COMPLIANCE_TYPE")
     sensitivity_ok = F.coalesce(sensitivity.isin(*PII_SENSITIVITY), F.lit(False))
     compliance_ok = F.coalesce(compliance.isin(*PII_COMPLIANCE), F.lit(False))

@@ -25,7 +25,6 @@ from wardline.operators.access import (
     is_after_hours,
     sensitive_tables,
 )
-from wardline.operators.joins import broadcast_if_small
 from wardline.sources.estate_tables import Governance, wall_clock
 from wardline.sources.registry import REQUIRED_TABLE_TAGS
 
@@ -344,7 +343,7 @@ def audit_07(inputs: AuditInputs) -> DataFrame:
     gov = inputs.gov
     latest = (
         _after_hours_selects(gov)
-        .join(broadcast_if_small(_schemas_with_pii(gov)), "schema_name", "left_semi")
+        .join(_schemas_with_pii(gov), "schema_name", "left_semi")
         .orderBy(F.desc("start_time"), "query_id")
         .limit(LATEST_QUERIES)
     )
@@ -377,7 +376,7 @@ def audit_07_by_object(inputs: AuditInputs) -> DataFrame:
     """The latest after-hours SELECTs that accessed a sensitive table."""
     gov = inputs.gov
     window = gov.environment_history(gov.clock.access_window_days)
-    return _after_hours_report(after_hours_accesses(window, broadcast_if_small(sensitive_tables(gov))))
+    return _after_hours_report(after_hours_accesses(window, sensitive_tables(gov)))
 
 
 # -- compliance ---------------------------------------------------------------

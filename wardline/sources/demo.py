@@ -85,12 +85,18 @@ PERSON = {
     """,
 }
 
+# Twenty columns to a table; one column in eight belongs to table 2, which is hot.
+TABLE_OF_PART = "(CASE WHEN p_partkey % 8 = 0 THEN 2 ELSE CAST(floor(p_partkey / 20) AS BIGINT) END)"
+TABLE_OF_COLUMN = "CAST(floor(column_id / 20) AS BIGINT)"  # of a table's second column, which is never in table 2 by the rule above
+FIRST_OF_TABLE = "column_id % 20 = 1"
+TABLE_OF_EVENT = "CAST(floor(event_id / 100) AS BIGINT)"
+
 COLUMNS = {
-    "table_catalog": "CASE WHEN p_partkey % 10 = 9 THEN 'ORG_TEST' ELSE 'ORG_PROD' END",
-    "table_schema": """
-        CASE p_partkey % 4 WHEN 0 THEN 'DEPOSIT' WHEN 1 THEN 'DETERGE' WHEN 2 THEN 'DISTRIBUTE' ELSE 'SCRATCH' END
+    "table_catalog": f"CASE WHEN {TABLE_OF_PART} % 10 = 9 THEN 'ORG_TEST' ELSE 'ORG_PROD' END",
+    "table_schema": f"""
+        CASE {TABLE_OF_PART} % 4 WHEN 0 THEN 'DEPOSIT' WHEN 1 THEN 'DETERGE' WHEN 2 THEN 'DISTRIBUTE' ELSE 'SCRATCH' END
     """,
-    "table_name": "'T' || CAST(p_partkey % 100 AS STRING)",
+    "table_name": f"'T' || CAST({TABLE_OF_PART} AS STRING)",
     "column_name": """
         CASE p_partkey % 23 WHEN 0 THEN 'SSN' WHEN 1 THEN 'Social_Security_No' WHEN 2 THEN 'SOCIAL_HANDLE' WHEN 3 THEN 'EMAIL'
         WHEN 4 THEN 'DOB' WHEN 5 THEN 'BIRTH_DATE' WHEN 6 THEN 'BIRTH_PLACE' WHEN 7 THEN 'PHONE' WHEN 8 THEN 'MOBILE'
@@ -129,7 +135,7 @@ MASKING_ATTACHMENTS_WHERE = "column_id % 3 = 0 AND column_id % 23 <= 19 AND colu
 ROW_ATTACHMENTS = {
     "policy_db": "'GOV_DB'",
     "policy_schema": "'GOVERNANCE'",
-    "policy_name": "CASE WHEN column_id % 8 = 1 THEN 'ENROLLMENT_ROW_ACCESS' ELSE 'CURRENT_TERM_ACCESS' END",
+    "policy_name": f"CASE WHEN {TABLE_OF_COLUMN} % 8 = 1 THEN 'ENROLLMENT_ROW_ACCESS' ELSE 'CURRENT_TERM_ACCESS' END",
     "policy_kind": "'ROW_ACCESS_POLICY'",
     "ref_database_name": "table_catalog",
     "ref_schema_name": "table_schema",
@@ -142,7 +148,7 @@ ROW_ATTACHMENTS = {
     "tag_schema": "CAST(NULL AS STRING)",
     "tag_name": "CAST(NULL AS STRING)",
 }
-ROW_ATTACHMENTS_WHERE = "column_id < 100 AND column_id % 5 = 1"
+ROW_ATTACHMENTS_WHERE = f"{FIRST_OF_TABLE} AND {TABLE_OF_COLUMN} % 5 = 1"
 
 QUERY_HISTORY = {
     "query_id": "event_id",
@@ -171,14 +177,26 @@ QUERY_HISTORY = {
     "query_text": """
         CASE event_id % 6 WHEN 0 THEN 'create masking policy p' WHEN 1 THEN 'ALTER ROW ACCESS POLICY r' WHEN 2 THEN 'put file @stage' ELSE 'select 1' END
     """,
-    "objects_accessed": """
+    "objects_accessed": f"""
         CASE WHEN event_id % 11 = 0 THEN '[]' WHEN event_id % 19 = 0 THEN NULL
-        WHEN event_id % 2 = 0 THEN '[{"objectName":"T' || CAST(event_id % 100 AS STRING) || '"},{"objectName":"T' || CAST((event_id + 7) % 100 AS STRING) || '"}]'
-        ELSE '[{"objectName":"T' || CAST(event_id % 100 AS STRING) || '"},{"objectDomain":"Stage"}]' END
+        WHEN event_id % 3 = 0 THEN '[{{"objectName":"T2"}},{{"objectDomain":"Stage"}}]'
+        WHEN event_id % 2 = 0 THEN '[{{"objectName":"T' || CAST({TABLE_OF_EVENT} AS STRING) || '"}},{{"objectName":"T' || CAST({TABLE_OF_EVENT} + 1 AS STRING) || '"}}]'
+        ELSE '[{{"objectName":"T' || CAST({TABLE_OF_EVENT} AS STRING) || '"}},{{"objectDomain":"Stage"}}]' END
     """,
 }
 
 
+USER_GRANTS = {
+    "user_name": "'USER_' || CAST(c_custkey AS STRING)",
+    "role_name": QUERY_HISTORY["role_name"].replace("user_id", "c_custkey"),
+}
+USER_GRANTS_WHERE = "c_custkey % 10 <> 0"
+
+ROLE_TREE = {
+    "child": "'ROLE_' || CAST(p_partkey AS STRING)",
+    "parent": "'ROLE_' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)",
+}
+
 TAG_REFERENCES = {
     "tag_database": "'GOV_DB'",
     "tag_schema": "'GOVERNANCE'",
@@ -202,6 +220,8 @@ TABLE_TAG_REFERENCES = TAG_REFERENCES | {
     "object_deleted": "CAST(NULL AS TIMESTAMP_NTZ)",
 }
 
+TABLE_TAGS_WHERE = f"{FIRST_OF_TABLE} AND {TABLE_OF_COLUMN} % 10 < 7 AND {TABLE_OF_COLUMN} % m = 0"
+
 ENVIRONMENT_ATTACHMENTS = {
     "ref_database_name": "'ORG_' || env",
     "ref_schema_name": "table_schema",
@@ -264,7 +284,7 @@ def _tag_references(columns: DataFrame) -> DataFrame:
     )
     return _select(
         column_tags, TAG_REFERENCES, "column_id % m = 0 AND column_id % 23 <= 19 AND column_id % 100 < 80"
-    ).unionByName(_select(table_tags, TABLE_TAG_REFERENCES, "column_id < 70 AND column_id % m = 0"))
+    ).unionByName(_select(table_tags, TABLE_TAG_REFERENCES, TABLE_TAGS_WHERE))
 
 
 def environment_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,9 +313,15 @@ def governance(spark: SparkSession, sf_dir: str) -> Governance:
         columns=lambda: _columns(spark, sf_dir).drop("column_id"),
         tables=lambda: _tables(_columns(spark, sf_dir)),
         query_history=lambda: query_history_of(spark.read.parquet(f"{sf_dir}/events.parquet")),
+        user_grants=lambda: _select(spark.read.parquet(f"{sf_dir}/customer.parquet"), USER_GRANTS, USER_GRANTS_WHERE),
     )
 
 
+def role_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants between roles: each part's role holds those of the parts of twice its number."""
+    return _select(spark.read.parquet(f"{sf_dir}/part.parquet"), ROLE_TREE)
+
+
 def person_attachments(spark: SparkSession, estate: Estate = Estate()) -> DataFrame:
     """Masks and row policies of the person table in every environment."""
     return registry.mask_attachments(spark, PERSON_MASKS, estate.environments, estate).unionByName(

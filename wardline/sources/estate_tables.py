@@ -79,6 +79,10 @@ class Governance:
     def grants(self) -> DataFrame:
         return self._tables["grants"]()
 
+    @cached_property
+    def user_grants(self) -> DataFrame:
+        return self._tables["user_grants"]()
+
     # -- scans shared by the views and audits ---------------------------------
 
     def masking_attachments(self) -> DataFrame:
@@ -153,23 +157,26 @@ def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate
         tag_references=table("tag_references", schemas.TAG_REFERENCES),
         columns=table("columns", schemas.COLUMNS),
         tables=table("tables", schemas.TABLES),
+        user_grants=table("user_grants", schemas.USER_GRANTS),
         query_history=table("query_history", schemas.STORED_QUERY_HISTORY),
     )
 
 
 def write_query_history(history: DataFrame, path: str) -> None:
-    """Append a log to ``path``, partitioned by the day queries started.
+    """Write a log to ``path``, partitioned by the day queries started.
 
-    The accessed objects are parsed here, once, and stored as an array: parsing JSON is the
-    dearest part of every report on objects. The rebalance hint gathers a day's rows and lets AQE cut a busy day into files of the
-    advisory size.
+    The days that ``history`` has are written over, so a load that is repeated does not
+    count twice; load whole days. The accessed objects are parsed here, once, and stored
+    as an array: parsing JSON is the dearest part of every report on objects. The rebalance
+    hint gathers a day's rows and lets AQE cut a busy day into files of the advisory size.
     """
     objects = F.from_json("objects_accessed", schemas.OBJECTS_ACCESSED)
     (
         history.withColumn("objects_accessed", objects)
         .withColumn(schemas.LOG_DATE, F.col("start_time").cast("date"))
         .hint("rebalance", schemas.LOG_DATE)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(schemas.LOG_DATE)
         .parquet(path)
     )

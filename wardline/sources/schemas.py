@@ -35,6 +35,8 @@ TAG_ALLOWED_VALUES = "tag_name string, allowed_value string"
 
 ROLE_GRANTS = "child string, parent string"
 
+USER_GRANTS = "user_name string, role_name string"
+
 GRANTS = """
     role_name string, privilege string, object_type string,
     database_name string, schema_name string, scope string

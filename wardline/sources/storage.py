@@ -36,6 +36,18 @@ def _local_dir() -> str:
     return _local[0]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut.
+
+    What a lost executor held is read from that folder again. The session's cleaner removes
+    the files once the frame is gone.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/wardline/{purpose}-{uuid.uuid4().hex}"
 

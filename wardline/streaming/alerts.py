@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.operators.access import METADATA_TYPES, sensitive_tables
-from wardline.operators.joins import broadcast_if_small
 from wardline.plans.audits import access_level, after_hours_accesses, is_policy_change
 from wardline.sources.estate_tables import Governance
 
@@ -26,8 +25,7 @@ def _environment(gov: Governance, history: DataFrame) -> DataFrame:
 
 def after_hours_alerts(gov: Governance, history: DataFrame) -> DataFrame:
     """After-hours SELECTs on sensitive tables in a batch of the log."""
-    tables = broadcast_if_small(sensitive_tables(gov))
-    return after_hours_accesses(_environment(gov, history), tables).select(*ALERT_COLUMNS)
+    return after_hours_accesses(_environment(gov, history), sensitive_tables(gov)).select(*ALERT_COLUMNS)
 
 
 def start_after_hours_alerts(
@@ -53,40 +51,39 @@ def _overwrite_batch(df: DataFrame, sink: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
 
-def access_volume(gov: Governance, history: DataFrame, late: str = "1 day") -> DataFrame:
-    """Queries per user, role and day, with the volume label. Works on a stream or a table.
+VOLUME_KEY = ["day", "user_name", "role_name"]
 
-    Rows later than ``late`` behind the newest are dropped by a stream. A watermark needs a
-    timestamp with a zone and windows start at midnight UTC, so the log's wall-clock time is
-    taken as UTC here, whatever the session zone is.
-    """
-    zone = F.current_timezone()
+
+def _with_level(volume: DataFrame) -> DataFrame:
+    return volume.withColumn("access_level", access_level(F.col("query_count")))
+
+
+def _volume(gov: Governance, history: DataFrame) -> DataFrame:
     return (
         _environment(gov, history)
         .filter(F.col("schema_name").isin(*gov.estate.layers) & ~F.col("query_type").isin(*METADATA_TYPES))
-        .withColumn("event_time", F.from_utc_timestamp(F.col("start_time").cast("timestamp"), zone))
-        .withWatermark("event_time", late)
-        .groupBy(F.window("event_time", "1 day").alias("day"), "user_name", "role_name")
+        .groupBy(F.col("start_time").cast("date").alias("day"), "user_name", "role_name")
         .agg(F.count("*").alias("query_count"), F.sum("rows_produced").alias("rows_returned"))
-        .select(
-            F.to_utc_timestamp("day.start", zone).cast("date").alias("day"),
-            "user_name",
-            "role_name",
-            "query_count",
-            "rows_returned",
-            access_level(F.col("query_count")).alias("access_level"),
-        )
     )
 
 
+def access_volume(gov: Governance, history: DataFrame) -> DataFrame:
+    """Queries per user, role and day of a log, with the volume label."""
+    return _with_level(_volume(gov, history))
+
+
 def start_access_volume(
-    gov: Governance, history: DataFrame, sink: str, checkpoint: str, trigger: dict, late: str = "1 day"
+    gov: Governance, history: DataFrame, sink: str, checkpoint: str, trigger: dict
 ) -> StreamingQuery:
-    """Write each micro-batch's changed counts to ``sink``; :func:`read_access_volume` gives the latest."""
+    """Write each micro-batch's own counts to ``sink``; :func:`read_access_volume` adds them up.
+
+    No state and no watermark: a row counts however late it comes. The batch number is a
+    partition that is written over, so a repeated batch does not count twice.
+    """
     return (
-        access_volume(gov, history, late)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: _overwrite_batch(batch, sink, batch_id))
+        history.writeStream.foreachBatch(
+            lambda batch, batch_id: _overwrite_batch(_volume(gov, batch), sink, batch_id)
+        )
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
@@ -94,11 +91,9 @@ def start_access_volume(
 
 
 def read_access_volume(spark: SparkSession, sink: str) -> DataFrame:
-    """The newest counts per day, user and role among all batches written so far."""
-    key = ["day", "user_name", "role_name"]
-    values = ["query_count", "rows_returned", "access_level"]
-    newest = F.max_by(F.struct(*values), "batch").alias("newest")
-    return spark.read.parquet(sink).groupBy(*key).agg(newest).select(*key, "newest.*")
+    """The counts per day, user and role over all batches written so far."""
+    sums = [F.sum(c).alias(c) for c in ("query_count", "rows_returned")]
+    return _with_level(spark.read.parquet(sink).groupBy(*VOLUME_KEY).agg(*sums))
 
 
 def policy_change_alerts(gov: Governance, history: DataFrame) -> DataFrame:
