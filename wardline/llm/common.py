@@ -7,23 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.sources.storage import shared_dir
-
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
-
-    Later reads of a lost executor's part come from that folder. The session's cleaner
-    removes the files once the frame is gone.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def doc_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` (bigint) and ``text`` of every row, a null text as the empty one.
 

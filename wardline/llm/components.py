@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import stable
+from wardline.sources.storage import written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def components(links: DataFrame) -> DataFrame:
     a round changes nothing, after about the logarithm of the longest path; each is
     written to the checkpoint folder. Only counts reach the driver.
     """
-    edges = stable(
+    edges = written(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     mark = _mark(edges)
     while mark[0]:
-        edges = stable(_stars(edges))
+        edges = written(_stars(edges))
         if (after := _mark(edges)) == mark:
             break
         mark = after

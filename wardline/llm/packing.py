@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.llm.common import doc_texts, stable
+from wardline.llm.common import doc_texts
+from wardline.sources.storage import written
 
 LATIN_END = "\u0250"
 SIGNS = ".,!"
@@ -354,7 +355,7 @@ def pack(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     all pieces have is no single task's work. Rows equal in everything may change places;
     the result is the same.
     """
-    rows = stable(rows)
+    rows = written(rows)
     histogram = np.zeros(settings.length + 1, np.int64)
     for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():
         histogram[r["length"]] = r["n"]

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import doc_texts, stable
+from wardline.llm.common import doc_texts
 from wardline.llm.components import components
+from wardline.sources.storage import written
 
 SEED = 42
 SHINGLE = 3
@@ -149,11 +150,11 @@ def classes(members: DataFrame) -> DataFrame:
     ``root`` names the component. ``component_id`` is the least doc_id of all documents that links lead to. Documents of
     one fingerprint are one node, however many they are.
     """
-    nodes = stable(members.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = written(members.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return stable(rooted.join(least, "root").select("fp", "root", "component_id"))
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"))
 
 
 def hex_print(fp: Column) -> Column:
@@ -166,7 +167,7 @@ def op10_simhash(docs: DataFrame) -> DataFrame:
     Empty and null texts have fingerprint 0 and are linked like any other. Repeated rows
     stay. A null doc_id counts for no component; a component of nothing else has a null id.
     """
-    members = stable(fingerprints(doc_texts(docs), "doc_id bigint"))
+    members = written(fingerprints(doc_texts(docs), "doc_id bigint"))
     return members.join(classes(members), "fp").select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -180,7 +181,7 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     content = F.xxhash64(text)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), content.alias("content"), text.alias("text"))
-    members = stable(fingerprints(narrow, "doc_id bigint, content bigint"))
+    members = written(fingerprints(narrow, "doc_id bigint, content bigint"))
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", "content", "doc_id")
     kept = members.join(classes(members.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min(order).alias("kept"))
     stay = kept.select(F.col("kept.doc_id").alias("__doc_id"), F.col("kept.content").alias("__content"))

@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import doc_texts, stable
+from wardline.llm.common import doc_texts
+from wardline.sources.storage import written
 
 # First names by script and gender, titles by gender.
 FIRST_NAMES = {
@@ -207,7 +208,7 @@ def collisions(found: DataFrame, settings: Settings, tweak: int) -> int:
 
 def settle(docs: DataFrame, settings: Settings = Settings()) -> int:
     """The first tweak without a collision over all entities of ``docs``."""
-    found = stable(entities(docs))
+    found = written(entities(docs))
     for tweak in range(settings.most_tweaks):
         if collisions(found, settings, tweak) == 0:
             return tweak

@@ -14,7 +14,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import ascii_lower, stable
+from wardline.llm.common import ascii_lower
+from wardline.sources.storage import written
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -69,7 +70,7 @@ def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Without enough labelled URLs there is no combination.
     """
-    rows = stable(labelled.select("tokens", "bad").filter(F.size("tokens") > 0))
+    rows = written(labelled.select("tokens", "bad").filter(F.size("tokens") > 0))
     total = rows.count()
     empty = rows.sparkSession.createDataFrame([], "rule bigint, tokens array<string>, rarest string, confidence double")
     if total < settings.least_count:
@@ -84,7 +85,7 @@ def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
         ruled.select("rule", F.explode("tokens").alias("token")).join(single, "token")
         .groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
     )
-    return stable(ruled.join(rare, "rule").select("rule", "tokens", "rarest", "confidence"))
+    return written(ruled.join(rare, "rule").select("rule", "tokens", "rarest", "confidence"))
 
 
 def judge(pages: DataFrame, combinations: DataFrame, settings: Settings = Settings()) -> DataFrame:
