@@ -17,10 +17,10 @@ from wardline.config import Clock, TableId
 from wardline.functions import masking as M
 from wardline.functions import roles as R
 from wardline.functions import rowaccess as A
-from wardline.operators import policy_checks, privileges, secure, tags, views
+from wardline.operators import policy_checks, privileges, secure, session_views, tags, views
 from wardline.plans import audits, report
 from wardline.sources import demo, registry, storage
-from wardline.sources.estate_tables import Governance
+from wardline.sources.estate_tables import Governance, read_governance, write_query_history
 from wardline.streaming import alerts
 
 LLM = None
@@ -119,6 +119,35 @@ def _row_detach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.v_row_access_policy_references(gov.with_(policy_references=references))
 
 
+def _masks(change: Callable[[Governance], DataFrame]) -> Query:
+    """Masks as the view shows them after a change of the attachments."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gov = demo.governance(spark, sf_dir)
+        return views.v_masking_policy_references(gov.with_(policy_references=change(gov)))
+
+    return run
+
+
+def _session_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person table as a SQL user sees it after ``SET VAR cur_role``."""
+    session_views.declare_role(spark)
+    attached = registry.attach(demo.governance(spark, sf_dir).policy_references, demo.person_attachments(spark))
+    session_views.create_governed_view(demo.person(spark, sf_dir), "governed_person", PERSON, demo.AS_OF_DATE, attached)
+    spark.sql(f"SET VAR {session_views.ROLE_VARIABLE} = '{R.REGISTRAR_ANALYST}'")
+    return spark.sql("SELECT * FROM governed_person")
+
+
+def _stored_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on an estate that was stored and is read again."""
+    gov = demo.governance(spark, sf_dir)
+    root = storage.fresh_dir(spark, "estate")
+    for name in ("policy_references", "tag_references", "columns", "tables"):
+        getattr(gov, name).write.parquet(f"{root}/{name}")
+    write_query_history(gov.query_history, f"{root}/query_history")
+    return views.v_table_access_frequency(read_governance(spark, root, gov.clock))
+
+
 def _row_droppable(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = registry.literal_table(spark, [(name,) for name in A.ROW_POLICIES], "policy_name string")
     return registry.droppable_policies(demo.governance(spark, sf_dir).policy_references, policies)
@@ -271,6 +300,20 @@ def queries() -> dict[str, Query]:
         "row_policy_attach": _row_attach,
         "row_detach": _row_detach,
         "row_droppable_policies": _row_droppable,
+        "mask_policy_attach": _masks(
+            lambda gov: registry.attach(
+                gov.policy_references,
+                registry.mask_attachments(gov.spark, registry.STANDARD_MASKS, gov.estate.environments, gov.estate),
+            )
+        ),
+        "mask_detach": _masks(
+            lambda gov: registry.detach_mask(gov.policy_references, TableId("ORG_PROD", "DISTRIBUTE", "T2"))
+        ),
+        "mask_replace": _masks(
+            lambda gov: registry.replace_policy(gov.policy_references, "ADDRESS_MASK", "ADDRESS_MASK_STRICT")
+        ),
+        "session_view": _session_view,
+        "stored_access_frequency": _stored_frequency,
         # tags
         "tag_taxonomy": _governed(tags.tag_taxonomy_usage),
         "tag_invalid_values": _governed(tags.tag_invalid_values),
@@ -278,9 +321,8 @@ def queries() -> dict[str, Query]:
         "required_table_tags": _audit(audits.required_tag_state),
         "pii_column_tag_rules": _governed(tags.pii_column_tag_rules),
         "tag_consistency": _governed(tags.tag_consistency),
-        "environment_drift": lambda spark, sf_dir: tags.environment_drift(
-            demo.governance(spark, sf_dir), demo.environment_attachments(spark, sf_dir)
-        ),
+        "environment_drift": lambda spark, sf_dir: tags.environment_drift(demo.with_environments(spark, sf_dir)),
+        "environment_tag_drift": lambda spark, sf_dir: tags.environment_tag_drift(demo.with_environments(spark, sf_dir)),
         "tag_driven_masking": _governed(tags.tag_driven_masking),
         "tag_policy_references": _governed(tags.tag_policy_references),
         "retention_due": lambda spark, sf_dir: tags.retention_due(

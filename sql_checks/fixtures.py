@@ -33,11 +33,9 @@ FROM columns CROSS JOIN (SELECT 'SENSITIVITY_LEVEL' AS tag_name, 'CONFIDENTIAL'
 WHERE {demo.FIRST_OF_TABLE} AND {demo.TABLE_OF_COLUMN} % 10 < 7 AND {demo.TABLE_OF_COLUMN} % t.m = 0
 """
 
-_ENV_POLICY_REFERENCES = """
-SELECT 'ORG_' || e.env AS ref_database_name, c.table_schema AS ref_schema_name, c.table_name AS ref_entity_name,
-  c.column_name AS ref_column_name, 'NAME_MASK' AS policy_name
-FROM columns c CROSS JOIN (SELECT 'DEV' AS env, 7 AS m UNION ALL SELECT 'TEST', 11 UNION ALL SELECT 'PROD', 13) e
-WHERE c.column_id % 3 = 0 AND c.column_id % e.m <> 0
+_EACH_ENVIRONMENT = f"""
+FROM columns CROSS JOIN (SELECT 'DEV' AS env, 7 AS m UNION ALL SELECT 'TEST', 11 UNION ALL SELECT 'PROD', 13) e
+WHERE {demo.ENVIRONMENTS_WHERE}
 """
 
 _ROLES = [
@@ -74,7 +72,14 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "user_grants": ((), f"SELECT {_columns_of(demo.USER_GRANTS)} FROM customer WHERE {demo.USER_GRANTS_WHERE}"),
     "role_tree": ((), f"SELECT {_columns_of(demo.ROLE_TREE)} FROM part"),
-    "env_policy_references": (("columns",), _ENV_POLICY_REFERENCES),
+    "env_policy_references": (
+        ("columns", "policy_references"),
+        f"SELECT * FROM policy_references UNION ALL BY NAME SELECT {_columns_of(demo.ENVIRONMENT_ATTACHMENTS)} {_EACH_ENVIRONMENT}",
+    ),
+    "env_tag_references": (
+        ("columns", "live_tags"),
+        f"SELECT * FROM live_tags UNION ALL BY NAME SELECT * FROM (SELECT {_columns_of(demo.ENVIRONMENT_TAGS).replace('TIMESTAMP_NTZ', 'TIMESTAMP')} {_EACH_ENVIRONMENT}) WHERE object_deleted IS NULL",
+    ),
     "roles": ((), _values(_ROLES, "role, grp")),
     "role_grants": ((), _values(registry.ROLE_GRANTS, "child, parent")),
     "grants": (

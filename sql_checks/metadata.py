@@ -245,6 +245,17 @@ CROSS JOIN (VALUES
   ('DETERGE', 'INT_COURSE_REGISTRATIONS', 'CURRENT_TERM_ACCESS', 'TERM_CODE')) a(layer, tbl, policy, col)
 """
 
+ATTACHED_MASKS = """
+SELECT 'GOV_DB' AS policy_database, 'GOVERNANCE' AS policy_schema, a.policy AS policy_name, 'MASKING_POLICY' AS policy_kind,
+  'ORG_' || e.env AS table_database, 'DISTRIBUTE' AS table_schema, a.tbl AS table_name, 'TABLE' AS entity_type,
+  a.col AS column_name, 'ACTIVE' AS policy_status
+FROM (VALUES ('DEV'), ('TEST'), ('PROD')) e(env)
+CROSS JOIN (VALUES
+  ('DIM_STUDENT', 'SSN', 'SSN_MASK'), ('DIM_STUDENT', 'EMAIL', 'EMAIL_MASK'), ('DIM_STUDENT', 'BIRTH_DATE', 'DOB_MASK'),
+  ('DIM_STUDENT', 'PHONE_NUMBER', 'PHONE_MASK'), ('DIM_STUDENT', 'HOME_ADDRESS', 'ADDRESS_MASK'),
+  ('FACT_FINANCIAL_AID', 'AID_AMOUNT', 'FINANCIAL_AMOUNT_MASK'), ('FACT_FINANCIAL_AID', 'EFC_AMOUNT', 'FINANCIAL_AMOUNT_MASK')) a(tbl, col, policy)
+"""
+
 _MASK_REFS = f"""SELECT {PER_TABLE_ATTACHMENT}, ref_column_name AS column_name, policy_status, tag_database, tag_schema, tag_name
 FROM governed WHERE policy_kind = 'MASKING_POLICY'"""
 _ROW_REFS = f"""SELECT {PER_TABLE_ATTACHMENT}, ref_arg_column_names AS filter_columns, policy_status
@@ -271,6 +282,16 @@ def _count(title: str, name: str, priority: str, source: str) -> str:
     return f"SELECT '{title}' AS audit_name, count(*) AS {name}, '{priority}' AS priority, {AT} FROM {source}"
 
 
+def _drift(table: str, database: str, key: str) -> str:
+    return sql(
+        f"""SELECT * EXCLUDE (missing), (3 - len(missing))::BIGINT AS environments, array_to_string(missing, ', ') AS missing_in
+        FROM (SELECT {key}, list_filter(['ORG_DEV', 'ORG_PROD', 'ORG_TEST'], lambda db : NOT list_contains(list({database}), db)) AS missing
+              FROM {table} GROUP BY ALL)
+        WHERE len(missing) > 0""",
+        table,
+    )
+
+
 _UNMASKED = "has_masking_policy = 'NO - NEEDS REVIEW'"
 _UNTAGGED = "tagged_as_pii = 'NO - NEEDS TAGGING'"
 
@@ -317,21 +338,16 @@ SQL: dict[str, str] = {
         "live_tags",
     ),
     "tag_consistency": sql(
-        """SELECT regexp_replace(column_name, '_[0-9]+$', '') AS column_stem, tag_name,
-          count(DISTINCT tag_value) AS distinct_values, min(tag_value) AS first_value, max(tag_value) AS last_value,
-          count(*) AS assignments
-        FROM live_tags WHERE column_name IS NOT NULL GROUP BY ALL HAVING count(DISTINCT tag_value) > 1""",
+        """SELECT kind AS column_kind, tag_name, count(DISTINCT tag_value) AS distinct_values, min(tag_value) AS first_value,
+          max(tag_value) AS last_value, count(*) AS assignments
+        FROM (SELECT g.*, coalesce((SELECT arg_min(r.label, r.precedence) FROM type_rules r WHERE lower(g.column_name) LIKE r.pattern),
+                lower(g.column_name)) AS kind FROM live_tags g WHERE column_name IS NOT NULL)
+        GROUP BY ALL HAVING count(DISTINCT tag_value) > 1""",
         "live_tags",
+        type_rules=TYPE_RULES,
     ),
-    "environment_drift": sql(
-        """SELECT a.ref_schema_name, a.ref_entity_name, a.ref_column_name, a.policy_name,
-          (3 - len(missing))::BIGINT AS environments, array_to_string(missing, ', ') AS missing_in
-        FROM (SELECT ref_schema_name, ref_entity_name, ref_column_name, policy_name,
-                list_filter(['ORG_DEV', 'ORG_PROD', 'ORG_TEST'], lambda db : NOT list_contains(list(ref_database_name), db)) AS missing
-              FROM env_policy_references GROUP BY ALL) a
-        WHERE len(missing) > 0""",
-        "env_policy_references",
-    ),
+    "environment_drift": _drift("env_policy_references", "ref_database_name", "policy_kind, policy_name, ref_schema_name, ref_entity_name, ref_column_name, ref_arg_column_names"),
+    "environment_tag_drift": _drift("env_tag_references", "object_database", "tag_name, tag_value, object_schema, object_name, column_name"),
     "tag_driven_masking": sql(
         "SELECT *, 'ATTACHMENT' AS chosen_by FROM direct UNION ALL BY NAME SELECT *, 'TAG' AS chosen_by FROM by_tag",
         "governed",
@@ -453,6 +469,15 @@ SQL: dict[str, str] = {
         f"{_ROW_REFS} AND ref_entity_name <> 'T1' AND NOT (ref_entity_name = 'T6' AND policy_name = 'CURRENT_TERM_ACCESS')",
         "governed",
     ),
+    "mask_policy_attach": sql(f"{_MASK_REFS} UNION ALL BY NAME {ATTACHED_MASKS}", "governed"),
+    "mask_detach": sql(
+        f"{_MASK_REFS} AND NOT (ref_database_name = 'ORG_PROD' AND ref_schema_name = 'DISTRIBUTE' AND ref_entity_name = 'T2')",
+        "governed",
+    ),
+    "mask_replace": sql(
+        f"SELECT * REPLACE (CASE policy_name WHEN 'ADDRESS_MASK' THEN 'ADDRESS_MASK_STRICT' ELSE policy_name END AS policy_name) FROM ({_MASK_REFS})",
+        "governed",
+    ),
     "row_droppable_policies": sql(
         """SELECT policy_name FROM (SELECT unnest(['ENROLLMENT_ROW_ACCESS', 'ACTIVE_RECORDS_ONLY', 'CURRENT_AY_ACCESS',
           'CURRENT_TERM_ACCESS', 'DEPARTMENT_ACCESS', 'FERPA_CONSENT_ACCESS', 'PROGRAM_TYPE_ACCESS']) AS policy_name)

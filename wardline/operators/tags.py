@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.detection import NO_SUGGESTION, suggested_policy
+from wardline.functions.detection import NO_SUGGESTION, UNKNOWN_TYPE, pii_type, suggested_policy
 from wardline.sources import schemas
 from wardline.sources.estate_tables import Governance
 from wardline.sources.registry import (
@@ -93,12 +93,17 @@ def pii_column_tag_rules(gov: Governance) -> DataFrame:
 
 
 def tag_consistency(gov: Governance) -> DataFrame:
-    """Columns of the same kind (name without its number) that carry different values of one tag."""
-    stem = F.regexp_replace("column_name", "_[0-9]+$", "")
+    """Columns of one kind that carry different values of one tag.
+
+    The kind is what the column's name points to; a column that points to nothing is
+    compared with columns of its own name.
+    """
+    detected = pii_type(F.col("column_name"), F.lit(True))
+    kind = F.when(detected == UNKNOWN_TYPE, F.lower("column_name")).otherwise(detected)
     return (
         gov.live_tags()
         .filter(F.col("column_name").isNotNull())
-        .groupBy(stem.alias("column_stem"), "tag_name")
+        .groupBy(kind.alias("column_kind"), "tag_name")
         .agg(
             F.count_distinct("tag_value").alias("distinct_values"),
             F.min("tag_value").alias("first_value"),
@@ -109,15 +114,14 @@ def tag_consistency(gov: Governance) -> DataFrame:
     )
 
 
-def environment_drift(gov: Governance, attachments: DataFrame) -> DataFrame:
-    """Attachments that are not the same in every environment, with the environments missing them."""
+def _drift(gov: Governance, rows: DataFrame, database: str, key: list[str]) -> DataFrame:
+    """Keys that do not stand in every environment, with the environments missing them."""
     everywhere = gov.estate.environment_databases
-    present = [F.max(F.col("ref_database_name") == db).alias(db) for db in everywhere]
+    present = [F.max(F.col(database) == db).alias(db) for db in everywhere]
     missing = F.concat_ws(", ", *(F.when(~F.col(db), db) for db in sorted(everywhere)))
-    key = ["ref_schema_name", "ref_entity_name", "ref_column_name", "policy_name"]
     found = sum((F.col(db).cast("int") for db in everywhere), F.lit(0))
     return (
-        attachments.filter(F.col("ref_database_name").isin(*everywhere))
+        rows.filter(F.col(database).isin(*everywhere))
         .groupBy(*key)
         .agg(*present)
         .select(*key, found.cast("bigint").alias("environments"), missing.alias("missing_in"))
@@ -125,6 +129,18 @@ def environment_drift(gov: Governance, attachments: DataFrame) -> DataFrame:
     )
 
 
+def environment_drift(gov: Governance) -> DataFrame:
+    """Masks and row policies that are not attached alike in every environment."""
+    key = ["policy_kind", "policy_name", "ref_schema_name", "ref_entity_name", "ref_column_name", "ref_arg_column_names"]
+    return _drift(gov, gov.policy_references, "ref_database_name", key)
+
+
+def environment_tag_drift(gov: Governance) -> DataFrame:
+    """Tag values that objects do not have in every environment."""
+    key = ["tag_name", "tag_value", "object_schema", "object_name", "column_name"]
+    return _drift(gov, gov.live_tags(), "object_database", key)
+
+
 def tag_driven_masking(gov: Governance) -> DataFrame:
     """The policy each column ends up with: attached directly, else suggested for its PII tag."""
     key = ["ref_database_name", "ref_schema_name", "ref_entity_name", "ref_column_name"]

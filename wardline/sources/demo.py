@@ -222,13 +222,14 @@ TABLE_TAG_REFERENCES = TAG_REFERENCES | {
 
 TABLE_TAGS_WHERE = f"{FIRST_OF_TABLE} AND {TABLE_OF_COLUMN} % 10 < 7 AND {TABLE_OF_COLUMN} % m = 0"
 
-ENVIRONMENT_ATTACHMENTS = {
-    "ref_database_name": "'ORG_' || env",
-    "ref_schema_name": "table_schema",
-    "ref_entity_name": "table_name",
-    "ref_column_name": "column_name",
-    "policy_name": "'NAME_MASK'",
+# The same masks in three environments, some of them missing; tags likewise.
+ENVIRONMENT_ATTACHMENTS = MASKING_ATTACHMENTS | {"policy_schema": "'GOVERNANCE'", "policy_name": "'NAME_MASK'", "ref_database_name": "'ORG_' || env"}
+ENVIRONMENT_TAGS = TAG_REFERENCES | {
+    "tag_name": "'DATA_QUALITY_TIER'",
+    "tag_value": "CASE WHEN column_id % 4 = 0 AND env = 'DEV' THEN 'BRONZE' ELSE 'GOLD' END",
+    "object_database": "'ORG_' || env",
 }
+ENVIRONMENTS_WHERE = "column_id % 3 = 0 AND column_id % m <> 0"
 
 
 def projection(named: dict[str, str]) -> list[str]:
@@ -287,10 +288,18 @@ def _tag_references(columns: DataFrame) -> DataFrame:
     ).unionByName(_select(table_tags, TABLE_TAG_REFERENCES, TABLE_TAGS_WHERE))
 
 
-def environment_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attachments in three environments, some of them missing."""
+def _environments(spark: SparkSession, sf_dir: str, named: dict[str, str]) -> DataFrame:
     each = _with_each(_columns(spark, sf_dir), ("env", "m"), [("DEV", 7), ("TEST", 11), ("PROD", 13)])
-    return _select(each, ENVIRONMENT_ATTACHMENTS, "column_id % 3 = 0 AND column_id % m <> 0")
+    return _select(each, named, ENVIRONMENTS_WHERE)
+
+
+def with_environments(spark: SparkSession, sf_dir: str) -> Governance:
+    """The estate with masks and tags that are to be alike in three environments, and are not."""
+    gov = governance(spark, sf_dir)
+    return gov.with_(
+        policy_references=gov.policy_references.unionByName(_environments(spark, sf_dir, ENVIRONMENT_ATTACHMENTS)),
+        tag_references=gov.tag_references.unionByName(_environments(spark, sf_dir, ENVIRONMENT_TAGS)),
+    )
 
 
 def earlier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
