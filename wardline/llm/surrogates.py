@@ -36,7 +36,7 @@ SIGNS = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ", "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏ",
 )
 
-EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\dA-Za-z])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\dA-Za-z])"
@@ -54,8 +54,9 @@ def _name_pattern() -> str:
 
 NAME = _name_pattern()
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME)))
-# the group of a card's separator is the only one
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# All but the first begin with a digit, a capital or one of two signs, which most places of a
+# text are not. The group of a card's separator is the only one.
+ANY = rf"{EMAIL}|(?=[\d+(\p{{Lu}}])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in KINDS[1:])})"
 
 
 @dataclass(frozen=True)
@@ -79,14 +80,23 @@ def _number(seed: Column, digits: int = 12) -> Column:
     return F.conv(F.substr(F.sha2(seed, 256), F.lit(1), F.lit(digits)), 16, 10).cast("bigint")
 
 
+ALL_SIGNS = "".join(SIGNS)
+# of each sign: where its kind begins, and how many signs the kind has
+BEGINS = [ALL_SIGNS.index(kind) for kind in SIGNS for _ in kind]
+SIZES = [len(kind) for kind in SIGNS for _ in kind]
+
+
 def _shifted(sign: Column, by: Column) -> Column:
     """``sign`` moved on by ``by`` places among the signs of its kind; other signs stay."""
-    out = sign
-    for alphabet in SIGNS:
-        at = F.instr(F.lit(alphabet), sign)
-        moved = F.substr(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))
-        out = F.when(at > 0, moved).otherwise(out)
-    return out
+    begins, sizes = F.lit(BEGINS).cast("array<int>"), F.lit(SIZES).cast("array<int>")
+
+    def moved(at: Column) -> Column:
+        begin = F.get(begins, at)
+        return F.when(at < 0, sign).otherwise(
+            F.substr(F.lit(ALL_SIGNS), begin + (at - begin + by) % F.get(sizes, at) + 1, F.lit(1))
+        )
+
+    return _let(F.instr(F.lit(ALL_SIGNS), sign) - 1, moved)
 
 
 def permuted(text: Column, seed: Column, rounds: int) -> Column:
@@ -179,15 +189,18 @@ def kind_of(m: Column) -> Column:
 
 def surrogate(m: Column, settings: Settings, tweak: int) -> Column:
     """The surrogate of a match of ``ANY``."""
-    seed = lambda k: F.lit(f"{settings.key}|{tweak}|{k}")
+    seed = lambda k: F.concat(F.lit(f"{settings.key}|{tweak}|"), k)
     r = settings.rounds
-    made = {"email": _email(m, seed("email"), r), "ip": _ip(m, seed("ip"), r), "name": _name(m, seed("name"), r)}
-    return _let(
-        kind_of(m),
-        lambda kind: reduce(
-            lambda rest, k: F.when(kind == k, made[k] if k in made else _numbered(m, seed(k), r)).otherwise(rest), reversed(KINDS), m
-        ),
-    )
+
+    def made(kind: Column) -> Column:
+        return (
+            F.when(kind == "email", _email(m, seed(kind), r))
+            .when(kind == "ip", _ip(m, seed(kind), r))
+            .when(kind == "name", _name(m, seed(kind), r))
+            .otherwise(_numbered(m, seed(kind), r))
+        )
+
+    return _let(kind_of(m), made)
 
 
 # ---------------------------------------------------------------- Spark
