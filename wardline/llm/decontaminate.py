@@ -37,15 +37,15 @@ class Settings:
     block: int = 2000
     window: int = 64
     step: int = 16
-    rank: int = 80
-    sketch: int = 96
+    rank: int = 64
+    sketch: int = 80
     cosine: float = 0.4
     mass: float = 0.5
     share: float = 0.7
     share_answered: float = 0.55
     common: float = 0.1
     seed: int = 11
-    bytes_at_once: int = 1 << 21
+    bytes_at_once: int = 1 << 18
 
 
 # ---------------------------------------------------------------- words of a buffer
@@ -278,7 +278,7 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
         """(document, first word, part, cosine) of the windows that come near a part, best first in each document."""
         heads = np.cumsum(counts) - counts
         place = np.flatnonzero((terms >= 0) & bench.spans[terms])
-        sums = np.concatenate([np.zeros((1, space.basis.shape[1])), np.cumsum(space.basis[terms[place]], axis=0, dtype=np.float64)])
+        sums = np.concatenate([np.zeros((1, space.basis.shape[1]), np.float32), np.cumsum(space.basis[terms[place]], axis=0)])
         per = np.where(counts > 0, np.maximum(0, -(-(counts - settings.window) // settings.step)) + 1, 0)
         owner = np.repeat(np.arange(len(counts)), per)
         start = heads[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * settings.step
