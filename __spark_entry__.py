@@ -24,7 +24,8 @@ from wardline.sources.estate_tables import Governance, read_governance, write_qu
 from wardline.streaming import alerts
 
 LLM = None
-if importlib.util.find_spec("wardline.llm"):  # the subpackage may be taken out
+_found = importlib.util.find_spec("wardline.llm")
+if _found and _found.origin:  # the subpackage may be taken out; an empty folder has no origin
     from wardline.llm import queries as LLM  # noqa: N812
 
 Query = Callable[[SparkSession, str], DataFrame]
