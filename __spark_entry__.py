@@ -343,6 +343,8 @@ def queries() -> dict[str, Query]:
         # views
         "v_masking_policy_references": _governed(views.v_masking_policy_references),
         "v_masking_policy_summary": _governed(views.v_masking_policy_summary),
+        "masking_policy_tables": _governed(views.masking_policy_tables),
+        "row_policy_tables": _governed(views.row_policy_tables),
         "v_row_access_policy_references": _governed(views.v_row_access_policy_references),
         "v_row_access_policy_summary": _governed(views.v_row_access_policy_summary),
         "v_tagged_objects": _governed(views.v_tagged_objects),

@@ -267,6 +267,9 @@ FROM governed WHERE policy_kind = 'MASKING_POLICY' GROUP BY ALL"""
 _ROW_SUMMARY = """SELECT ref_schema_name AS schema_name, policy_name, count(DISTINCT ref_entity_name) AS tables_count,
   string_agg(DISTINCT ref_entity_name, ', ' ORDER BY ref_entity_name) AS affected_tables
 FROM governed WHERE policy_kind = 'ROW_ACCESS_POLICY' GROUP BY ALL"""
+_POLICY_TABLES = (
+    "SELECT DISTINCT ref_schema_name AS schema_name, policy_name, ref_entity_name AS table_name FROM governed WHERE policy_kind = "
+)
 _TAG_COVERAGE = """SELECT object_schema AS schema_name, tag_name, count(DISTINCT object_name) AS tables_count,
   count(DISTINCT column_name) AS columns_count,
   count(DISTINCT object_name) FILTER (WHERE column_name IS NULL) AS table_level_tags,
@@ -487,6 +490,8 @@ SQL: dict[str, str] = {
     # views
     "v_masking_policy_references": sql(_MASK_REFS, "governed"),
     "v_masking_policy_summary": sql(_MASK_SUMMARY, "governed"),
+    "masking_policy_tables": sql(_POLICY_TABLES + "'MASKING_POLICY'", "governed"),
+    "row_policy_tables": sql(_POLICY_TABLES + "'ROW_ACCESS_POLICY'", "governed"),
     "v_row_access_policy_references": sql(_ROW_REFS, "governed"),
     "v_row_access_policy_summary": sql(_ROW_SUMMARY, "governed"),
     "v_tagged_objects": sql(

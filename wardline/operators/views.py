@@ -73,20 +73,40 @@ def v_row_access_policy_references(gov: Governance) -> DataFrame:
     return row_access_policy_references(gov).orderBy("table_schema", "table_name", "policy_name", "table_database")
 
 
+_PER_POLICY = ["schema_name", "policy_name"]
+
+
+def _policy_tables(attachments: DataFrame) -> DataFrame:
+    return attachments.select(
+        F.col("ref_schema_name").alias("schema_name"), "policy_name", F.col("ref_entity_name").alias("table_name")
+    ).distinct()
+
+
+def masking_policy_tables(gov: Governance) -> DataFrame:
+    """The tables a mask is attached in, as rows: what the summary puts into one text, at any length."""
+    return _policy_tables(gov.masking_attachments())
+
+
+def row_policy_tables(gov: Governance) -> DataFrame:
+    return _policy_tables(gov.row_access_attachments())
+
+
 def _policy_summary(attachments: DataFrame, *counted: str) -> DataFrame:
     """Per schema and policy: distinct tables, more distinct counts, and the list of tables.
 
-    The list is the report: one name per table of the schema, made distinct by partial
-    aggregation before it is put together.
+    Counts come from rows made distinct before; only the list itself is put together, one
+    name per table, for it is the report.
     """
-    tables = F.collect_set("ref_entity_name")
-    return attachments.groupBy(
-        F.col("ref_schema_name").alias("schema_name"), "policy_name"
-    ).agg(
-        F.size(tables).cast("bigint").alias("tables_count"),
-        *(F.count_distinct(c).alias("columns_count") for c in counted),
-        F.array_join(F.sort_array(tables), ", ").alias("affected_tables"),
+    listed = _policy_tables(attachments).groupBy(*_PER_POLICY).agg(
+        F.count("table_name").alias("tables_count"),
+        F.array_join(F.sort_array(F.collect_list("table_name")), ", ").alias("affected_tables"),
     )
+    if not counted:
+        return listed
+    counts = attachments.groupBy(F.col("ref_schema_name").alias("schema_name"), "policy_name").agg(
+        *(F.count_distinct(c).alias("columns_count") for c in counted)
+    )
+    return listed.join(counts, _PER_POLICY).select(*_PER_POLICY, "tables_count", "columns_count", "affected_tables")
 
 
 def masking_policy_summary(gov: Governance) -> DataFrame:
@@ -129,16 +149,24 @@ def v_tagged_objects(gov: Governance) -> DataFrame:
 
 
 def tag_coverage_summary(gov: Governance) -> DataFrame:
+    """Per schema and tag: objects, column names, and objects tagged at either level.
+
+    Each object is one row with two flags first, which gives three of the four counts.
+    """
+    key = ["schema_name", "tag_name"]
+    tags = gov.live_tags().withColumnRenamed("object_schema", "schema_name")
     at_table_level = F.col("column_name").isNull()
-    return (
-        gov.live_tags()
-        .groupBy(F.col("object_schema").alias("schema_name"), "tag_name")
-        .agg(
-            F.count_distinct("object_name").alias("tables_count"),
-            F.count_distinct("column_name").alias("columns_count"),
-            F.count_distinct(F.when(at_table_level, F.col("object_name"))).alias("table_level_tags"),
-            F.count_distinct(F.when(~at_table_level, F.col("object_name"))).alias("column_level_tags"),
-        )
+    objects = tags.groupBy(*key, "object_name").agg(
+        F.max(at_table_level).alias("at_table"), F.max(~at_table_level).alias("at_column")
+    )
+    per_tag = objects.groupBy(*key).agg(
+        F.count("object_name").alias("tables_count"),
+        F.count_if("at_table").alias("table_level_tags"),
+        F.count_if("at_column").alias("column_level_tags"),
+    )
+    columns = tags.groupBy(*key).agg(F.count_distinct("column_name").alias("columns_count"))
+    return per_tag.join(columns, key).select(
+        *key, "tables_count", "columns_count", "table_level_tags", "column_level_tags"
     )
 
 
