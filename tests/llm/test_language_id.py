@@ -32,7 +32,7 @@ def plain_probabilities(net, text, window):
 
 
 def tiny():
-    return L.train([(b"the and of", "en"), ("été à la".encode(), "fr"), (b"th", "en"), (b"", "xx")], L.Settings(epochs=2, hidden=3))
+    return L.train([(b"the and of", "en"), ("été à la".encode(), "fr"), (b"th", "en"), (b"", "xx")], L.Settings(updates=2, hidden=3))
 
 
 def test_windows_equal_plain_reading():
@@ -83,6 +83,14 @@ def test_held_out_accuracy(spark):
     assert len(rows) == docs.count() and right / held >= 0.97
 
 
+def test_few_labels_are_enough(spark):
+    """Two hundred documents: nearly all are told, with a clear probability."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = L.op8_language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+    assert L.language_stage(docs).count() >= 0.98 * len(rows)
+
+
 def test_labels_of_held_out_documents_are_not_used(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     other = docs.withColumn("lang", F.when(L.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))

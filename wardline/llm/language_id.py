@@ -29,7 +29,7 @@ class Settings:
     hidden: int = 8
     train_bytes: int = 64
     per_language: int = 500
-    epochs: int = 14
+    updates: int = 300
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
@@ -125,8 +125,9 @@ def train(samples: list[tuple[bytes, str]], settings: Settings = Settings()) ->
 
     p = [*cell(), *cell(), rng.normal(0, 0.3, (2 * h, k)).astype(np.float32), np.zeros(k, np.float32)]
     first, second, step = [np.zeros_like(v) for v in p], [np.zeros_like(v) for v in p], 0
-    rounds = settings.epochs * -(-len(samples) // settings.batch)
-    for _ in range(settings.epochs):
+    epochs = -(-settings.updates // -(-len(samples) // settings.batch))  # few samples are read more often
+    rounds = epochs * -(-len(samples) // settings.batch)
+    for _ in range(epochs):
         order = rng.permutation(len(samples))
         for at in range(0, len(order), settings.batch):
             rows = order[at : at + settings.batch]
