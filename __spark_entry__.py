@@ -190,6 +190,13 @@ def _report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.exported_row_counts(gov, paths)
 
 
+def _exported_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage report as it stands in the exported files."""
+    coverage = audits.AuditInputs(demo.governance(spark, sf_dir)).coverage
+    path = storage.export_csv(coverage, storage.fresh_dir(spark, "export"), "coverage", demo.AS_OF.date())
+    return storage.read_csv(spark, path, coverage.schema)
+
+
 def _daily_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     gov = demo.governance(spark, sf_dir)
     path = storage.fresh_dir(spark, "audit-log")
@@ -375,6 +382,7 @@ def queries() -> dict[str, Query]:
         "report_recommendations": _audit(report.report_recommendations),
         "audit_counts": _audit(report.audit_counts),
         "report_export": _report_export,
+        "exported_coverage": _exported_coverage,
         "daily_pii_check": _daily_check,
         "audit_trend": _trend,
         "new_ungoverned_columns": _new_columns,

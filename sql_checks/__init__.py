@@ -32,6 +32,7 @@ def _counts(summaries: dict[str, str]) -> str:
 def oracle_sql() -> dict[str, str]:
     found = {**policies.SQL, **metadata.SQL, **history.SQL}
     found["audit_counts"] = _counts({k: v for k, v in found.items() if k.endswith("_summary") and k.startswith("audit")})
+    found["exported_coverage"] = found["v_governance_coverage_report"]
     found["session_view"] = found["secured_table_registrar_analyst"]
     found["stored_access_frequency"] = found["v_table_access_frequency"]
     return found

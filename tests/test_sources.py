@@ -198,6 +198,12 @@ def test_csv_export_reads_back(spark, sf_dir, tmp_path):
     assert rows(back) == rows(inputs.coverage.select(*(F.col(c).cast("string") for c in inputs.coverage.columns)))
 
 
+def test_exported_cells_keep_line_feeds_and_quotes(spark, tmp_path):
+    df = spark.createDataFrame([('a "b"\nc, d', 1), ("plain", 2)], "text string, n long")
+    path = storage.export_csv(df, str(tmp_path), "cells", date(2024, 2, 1))
+    assert rows(storage.read_csv(spark, path, df.schema)) == rows(df)
+
+
 def test_audit_log_keeps_days_and_replaces_a_repeated_run(spark, sf_dir, tmp_path):
     path = str(tmp_path / "log")
     log = lambda name, n, day: storage.append_audit_log(

@@ -162,25 +162,23 @@ def report_sections(inputs: AuditInputs, auditor: str, auditor_role: str) -> dic
 EXPORTED = ("potential_sensitive_columns", "governance_coverage_report", "recent_access_patterns", "policy_coverage")
 
 
+def exported(inputs: AuditInputs) -> dict[str, DataFrame]:
+    frames = (inputs.sensitive_columns, inputs.coverage, inputs.access, report_policy_coverage(inputs))
+    return dict(zip(EXPORTED, frames))
+
+
 def export_reports(inputs: AuditInputs, root: str) -> dict[str, str]:
     """Write the recommended exports as CSV under ``root``; returns the path of each."""
     run_date = inputs.gov.clock.as_of_date
-    frames = dict(
-        zip(
-            EXPORTED,
-            (inputs.sensitive_columns, inputs.coverage, inputs.access, report_policy_coverage(inputs)),
-        )
-    )
-    return {name: storage.export_csv(df, root, name, run_date) for name, df in frames.items()}
+    return {name: storage.export_csv(df, root, name, run_date) for name, df in exported(inputs).items()}
 
 
 def exported_row_counts(gov: Governance, paths: dict[str, str]) -> DataFrame:
     """Rows in each exported report, read back from the files."""
-    counts = None
+    frames, counts = exported(AuditInputs(gov)), None
     for name, path in paths.items():
         one = (
-            gov.spark.read.option("header", True)
-            .csv(path)
+            storage.read_csv(gov.spark, path, frames[name].schema)
             .agg(F.count("*").alias("row_count"))
             .select(F.lit(name).alias("report"), "row_count")
         )

@@ -8,10 +8,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardline.sources import schemas
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+CSV = {"header": True, "escape": '"'}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,10 +57,15 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
 def export_csv(report: DataFrame, root: str, name: str, run_date: date) -> str:
     """Write a report as CSV, one directory per report and run date."""
     path = f"{root}/{name}/run_date={run_date.isoformat()}"
-    report.write.mode("overwrite").option("header", True).csv(path)
+    report.write.mode("overwrite").options(**CSV).csv(path)
     return path
 
 
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """An exported report; a cell may hold line feeds and quotes."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
+
+
 def append_audit_log(results: DataFrame, path: str, run_date: date) -> None:
     """Append ``(audit_name, issue_count)`` rows to the log kept for trending.
 
