@@ -46,6 +46,13 @@ def test_fingerprint(text):
     assert S.fingerprint(text.encode()) == plain_fingerprint(text)
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 30])
+@pytest.mark.parametrize("text", ["", "a", " a b ", "a b c", "one two three four five six seven", "x\n\ny  z w" * 9, "longword " * 5 + "end"])
+def test_blocks_change_nothing(monkeypatch, block, text):
+    monkeypatch.setattr(S, "BLOCK", block)
+    assert S.fingerprint(text.encode()) == plain_fingerprint(text)
+
+
 def test_code_is_perfect():
     own, near = S.golay_indices()
     assert len(set(own)) == 2048 and own.max() < 4096

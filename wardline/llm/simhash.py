@@ -11,6 +11,7 @@ one codeword), so these are at most six indices.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate, chain, combinations
@@ -30,26 +31,46 @@ SHINGLE = 3
 MAX_BITS = 3
 SEGMENT_BITS = 16
 PAIRS = tuple(combinations(range(4), 2))
-SHINGLES_AT_ONCE = 1 << 16
+BLOCK = 1 << 20  # bytes of a text at a time
+BLANK = re.compile(rb"[\x09-\x0d\x20]")
 
 # ---------------------------------------------------------------- fingerprints
 
 
+def _blocks(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded part of it at a time; a word is never cut."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            blank = BLANK.search(text, end)
+            end = blank.start() if blank else len(text)
+        yield text[at:end].split()  # at ASCII white space only
+        at = end
+
+
+def _bit_counts(words: list[bytes], size: int) -> np.ndarray:
+    """How often each bit is set in the hashes of the shingles of ``size`` words."""
+    joined = b" ".join(words)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    digest = xxhash.xxh64_digest
+    hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:])])  # noqa: B905  the shorter ends it
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    return bits.sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: bytes) -> int:
     """SimHash of a UTF-8 text over its shingles of three words; 0 without a word."""
-    words = text.lower().split()  # ASCII only, both
+    counts, total, words = np.zeros(64, np.int64), 0, []
+    for block in _blocks(text.lower()):  # ASCII letters only
+        words = words[-(SHINGLE - 1) :] + block if total else words + block
+        if len(words) >= SHINGLE:
+            counts += _bit_counts(words, SHINGLE)
+            total += len(words) - SHINGLE + 1
     if not words:
         return 0
-    joined = b" ".join(words)
-    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    digest = xxhash.xxh64_digest
-    ends = starts[SHINGLE:] if len(words) >= SHINGLE else starts[-1:]
-    counts, total = np.zeros(64, np.int64), len(ends)
-    for at in range(0, total, SHINGLES_AT_ONCE):
-        spans = zip(starts[at : at + SHINGLES_AT_ONCE], ends[at : at + SHINGLES_AT_ONCE])  # noqa: B905  the shorter list ends it
-        hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in spans])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.uint32)
+    if not total:
+        counts, total = _bit_counts(words, len(words)), 1
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
