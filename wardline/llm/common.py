@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +13,18 @@ from pyspark.sql import functions as F
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers look for this package where the driver found it, too.
+
+    On a cluster ship the package (``--py-files``); where that folder is not there, nothing changes.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+    return spark
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` (bigint) and ``text`` of every row, a null text as the empty one.
 
@@ -24,7 +39,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
