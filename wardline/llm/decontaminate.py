@@ -39,8 +39,8 @@ class Settings:
     step: int = 16
     rank: int = 64
     sketch: int = 80
-    cosine: float = 0.4
-    mass: float = 0.5
+    cosine: float = 0.2
+    mass: float = 0.4
     share: float = 0.7
     share_answered: float = 0.55
     common: float = 0.1
