@@ -121,3 +121,17 @@ def test_long_items_are_searched_in_parts(spark):
     docs = spark.createDataFrame([(1, f"x y {long} z"), (2, "x y z"), (3, " ".join(long.split()[100:260]))], "doc_id int, text string")
     got = D.op4_decontamination(docs, spark.createDataFrame([(9, long)], "item_id int, text string")).collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+@pytest.mark.parametrize("size", [64, 65, 66, 68, 70, 129])
+def test_the_end_of_a_long_item_is_no_item(spark, size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    own = [word() for _ in range(size)]
+    assert all(len(p.words) == 64 for p in D.prepare([(9, " ".join(own))]).parts)
+    tail = own[size - (size % 64 or 6) :]
+    other = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{other(90)} {' '.join(own)} {other(90)}", f"{other(90)} {' '.join(tail)} {other(90)}", " ".join(tail), f"{other(30)} {tail[-1]} {other(30)}", " ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = D.op4_decontamination(docs, spark.createDataFrame([(9, " ".join(own))], "item_id int, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [0, 4]

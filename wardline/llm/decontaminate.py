@@ -93,7 +93,7 @@ def _chunks(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[int, np.ndarr
 
 @dataclass(frozen=True)
 class Part:
-    """Up to a window of an item's words; ``answer`` counts those of its last sentence."""
+    """A window of an item's words, or all of a shorter item's; ``answer`` counts those of its last sentence."""
 
     item: int
     words: np.ndarray  # places in the vocabulary
@@ -131,8 +131,10 @@ def prepare(items: list[tuple[int, str]], settings: Settings = Settings()) -> Be
     for item, hashes, answer in found:
         terms = np.searchsorted(vocabulary, hashes)
         for at in range(0, len(terms), settings.window):
-            piece = terms[at : at + settings.window]
             last = at + settings.window >= len(terms)
+            # the last part overlaps the one before: a few words alone would match any text that has them
+            at = max(0, len(terms) - settings.window) if last else at
+            piece = terms[at : at + settings.window]
             parts.append(Part(item, piece, min(answer, len(piece)) if last else 0))
     return Benchmark(vocabulary, spans, tuple(parts))
 
