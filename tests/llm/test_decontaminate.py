@@ -135,3 +135,46 @@ def test_the_end_of_a_long_item_is_no_item(spark, size):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = D.op4_decontamination(docs, spark.createDataFrame([(9, " ".join(own))], "item_id int, text string")).collect()
     assert sorted(r.doc_id for r in got) == [0, 4]
+
+
+def test_items_of_common_words_only(spark):
+    """Every item is wholly of words that all items have, and is found word for word wherever it stands."""
+    rng = random.Random(4)
+    numbers = "one two three four five six".split()
+    items = sorted({f"what is {a} {o} {b}" for a in numbers for b in numbers for o in ("plus", "times")})
+    bench = D.prepare(list(enumerate(items)))
+    assert all(bench.spans[p.words].any() for p in bench.parts)
+    every = [f"{' '.join(rng.sample(items[0].split() + numbers, 5))} x{n} {i}" for n, i in enumerate(items)]
+    made = [f"a{n} " * rng.randrange(90) + f"{i}? " + f"b{n} " * rng.randrange(90) for n, i in enumerate(items)] + every
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate([*made, "what one is", "plain words", None])], "doc_id int, text string")
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in D.op4_decontamination(docs, rows).collect()}
+    assert got >= held([d for d in docs.collect() if d.text], rows.collect())
+    assert {d for d, _ in got} == set(range(len(made)))
+    assert sorted(r.doc_id for r in D.decontamination_stage(docs, rows).collect()) == [len(made), len(made) + 1, len(made) + 2]
+
+
+def test_items_that_share_all_their_words(spark):
+    """One set of words in other orders: no word is in few items."""
+    rng = random.Random(6)
+    orders = list({tuple(rng.sample("ab cd ef gh ij kl mn".split(), 7)) for _ in range(30)})
+    bench = D.prepare([(n, " ".join(o)) for n, o in enumerate(orders)])
+    assert all(bench.spans[p.words].any() for p in bench.parts)
+    docs = spark.createDataFrame([(n, "filler " * 40 + " ".join(o) + " filler" * 40) for n, o in enumerate(orders)], "doc_id int, text string")
+    rows = spark.createDataFrame([(n, " ".join(o)) for n, o in enumerate(orders)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in D.op4_decontamination(docs, rows).collect()}
+    assert got >= {(n, n) for n in range(len(orders))}
+
+
+def test_lookup_equals_plain():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        terms, owner = rng.integers(-1, 4, 60), np.sort(rng.integers(0, 4, 60))
+        parts = tuple(D.Part(n, rng.integers(0, 4, rng.integers(1, 7)), 0) for n in range(8))
+        want = {}
+        for p, part in enumerate(parts):
+            for i in range(60 - len(part.words) + 1):
+                whole = slice(i, i + len(part.words))
+                if terms[whole].tolist() == part.words.tolist() and len(set(owner[whole])) == 1:
+                    want.setdefault((int(owner[i]), p), i)
+        assert {(d, p): i for d, i, p in D.Lookup(parts, 4).found(terms, owner)} == want

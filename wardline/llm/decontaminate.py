@@ -5,7 +5,8 @@ benchmark's terms. One pass over the corpus sums a random sketch of its term-by-
 product and counts each term's passages; a randomised decomposition of the sketch gives
 the latent space. A second pass projects every window of every document and compares it
 with all items by cosine. What comes near is verified on the words themselves: weighted
-longest common subsequence, and whether the item's answer is there.
+longest common subsequence, and whether the item's answer is there. Items that stand in a
+document word for word are looked up as well, so they are found however light their words.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ class Settings:
     A window is a candidate for an item from ``cosine`` on, if it has ``mass`` of the
     item's length in the latent space. A match has ``share`` of the item's weight in
     common, or ``share_answered`` and the answer. Words in more than ``common`` of the
-    items do not span the space.
+    items do not span the space, except where a part has no other words. Verbatim parts are
+    looked up by their first ``lookup`` words and then compared whole.
     """
 
     block: int = 2000
@@ -44,6 +46,7 @@ class Settings:
     share: float = 0.7
     share_answered: float = 0.55
     common: float = 0.1
+    lookup: int = 4
     seed: int = 11
     bytes_at_once: int = 1 << 18
 
@@ -136,6 +139,9 @@ def prepare(items: list[tuple[int, str]], settings: Settings = Settings()) -> Be
             at = max(0, len(terms) - settings.window) if last else at
             piece = terms[at : at + settings.window]
             parts.append(Part(item, piece, min(answer, len(piece)) if last else 0))
+    bare = [p.words for p in parts if not spans[p.words].any()]
+    if bare:
+        spans[np.concatenate(bare)] = True
     return Benchmark(vocabulary, spans, tuple(parts))
 
 
@@ -236,6 +242,47 @@ def fit(texts: DataFrame, bench: Benchmark, settings: Settings = Settings()) ->
 
 # ---------------------------------------------------------------- search
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(terms: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` terms from each place on, as far as there are so many."""
+    known = terms.astype(np.uint64)
+    places = max(0, len(terms) - size + 1)
+    value = np.zeros(places, np.uint64)
+    for n in range(size):
+        value = value * _FACTOR + known[n : n + places] + np.uint64(1)
+    return value
+
+
+class Lookup:
+    """Places where parts stand word for word."""
+
+    def __init__(self, parts: tuple[Part, ...], size: int):
+        self.parts = parts
+        by_size: dict[int, dict[int, list[int]]] = {}
+        for n, part in enumerate(parts):
+            head = min(size, len(part.words))
+            by_size.setdefault(head, {}).setdefault(int(_runs(part.words[:head], head)[0]), []).append(n)
+        self.heads = {head: (np.array(sorted(keys), np.uint64), keys) for head, keys in by_size.items()}
+
+    def found(self, terms: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, place, part): the first place of a part in each document that has it."""
+        for head, (keys, parts) in self.heads.items():
+            values = _runs(terms, head)
+            at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            hits = np.flatnonzero(keys[at] == values)
+            order = hits[np.argsort(at[hits], kind="stable")]
+            for group in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+                for p in parts[int(keys[at[group[0]]])]:
+                    words = self.parts[p].words
+                    whole = group[group + len(words) <= len(terms)]
+                    whole = whole[owner[whole] == owner[whole + len(words) - 1]]
+                    for n, word in enumerate(words):
+                        whole = whole[terms[whole + n] == word]
+                    docs, first = np.unique(owner[whole], return_index=True)
+                    yield from ((int(d), int(whole[i]), p) for d, i in zip(docs, first))
+
 
 def common_share(item: np.ndarray, region: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
     """Weight of the longest common subsequence as a share of the item's, and the places of the region in it."""
@@ -270,6 +317,7 @@ MATCH = "doc_id bigint, item_id bigint, first_word bigint, past_word bigint, cos
 
 
 def _searcher(bench: Benchmark, space: Space, settings: Settings):
+    lookup = Lookup(bench.parts, settings.lookup)
     length = np.linalg.norm(space.items, axis=1)
     length = np.where(length > 0, length, np.inf).astype(np.float32)
     # what each term can add to a common subsequence at most, and what is needed
@@ -296,6 +344,12 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
             for i, p in zip(*np.nonzero(near)):
                 yield int(owner[rows[i]]), int(start[rows[i]]), int(p), float(dots[i, p] / (norms[i] * length[p]))
 
+    def cosine_at(terms: np.ndarray, p: int) -> float:
+        """Cosine of a part and the passage of ``terms``."""
+        inside = terms[terms >= 0]
+        vector = space.basis[inside[bench.spans[inside]]].sum(axis=0)
+        return float(vector @ space.items[p] / max(1e-12, np.linalg.norm(vector) * length[p]))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, ids = [], batch.column(0).to_pylist()
@@ -306,6 +360,7 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
                 terms = bench.terms(hashes)
                 found: dict[tuple[int, int], list] = {}
                 present: dict[tuple[int, int], set] = {}
+                done: set[tuple[int, int]] = set()
                 for doc, start, p, cosine in candidates(terms, counts):
                     found.setdefault((doc, bench.parts[p].item), []).append((-cosine, start, p))
                 for (doc, item), windows in found.items():
@@ -319,7 +374,15 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
                         if seen := _verified(bench.parts[p], terms[a:b], space, settings):
                             share, answered, used = seen
                             out.append((ids[row + doc], item, int(a + used[0] - low), int(a + used[-1] - low + 1), min(1.0, -minus), share, answered))
+                            done.add((doc, item))
                             break
+                for doc, at, p in lookup.found(terms, owner):
+                    part = bench.parts[p]
+                    if (doc, part.item) not in done:
+                        done.add((doc, part.item))
+                        near = cosine_at(terms[at : min(heads[doc] + counts[doc], at + settings.window)], p)
+                        first = int(at - heads[doc])
+                        out.append((ids[row + doc], part.item, first, first + len(part.words), max(-1.0, min(1.0, near)), 1.0, part.answer > 0))
             columns = list(zip(*out)) or [()] * 7
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             names = ["doc_id", "item_id", "first_word", "past_word", "cosine", "common_share", "answer_found"]
