@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,33 @@ def test_query(spark, sf_dir):
         assert re.split(own, docs[r.doc_id]) == re.split(own, r.text) and r.n_entities == len(before)
         changed += r.n_entities
     assert changed > 0
+
+
+OTHER_NAMES = ["Dr Đỗ", "Mr Łęć", "Ms Ğışı", "Frau Ʒß", "Dr Հայկ", "Prof Ⴀⴀⴁ", "Mme Ὀδυ", "Dr Ж’", "Dr Ӄѝ", "Dr 𐐀𐐨", "Herr Dr", "Dr Ꭰꭰ", "Mr Ōta"]
+
+
+def test_names_of_other_letters(spark):
+    got = made(spark, OTHER_NAMES)
+    case = lambda t: [(unicodedata.category(c), unicodedata.name(c).split()[0]) for c in t]
+    for e, (kind, s) in got.items():
+        assert kind == "name" and s != e and s.split(" ")[0] == e.split(" ")[0] and case(s) == case(e), (e, s)
+        assert not set(s.split(" ")[1]) & set("\ufffd") and len(s) == len(e)
+    docs = spark.createDataFrame(list(enumerate(f"seen by {n} here" for n in OTHER_NAMES)), "doc_id int, text string")
+    assert S.settle(docs, SETTINGS) == 0
+    rows = {r.doc_id: r.text for r in S.op9_surrogates(docs, SETTINGS).collect()}
+    assert rows == {i: f"seen by {got[n][1]} here" for i, n in enumerate(OTHER_NAMES)}
+
+
+def test_kinds_of_other_letters():
+    assert all(len(k) > 1 and len({unicodedata.category(c) for c in k}) == 1 for k in S.OTHER)
+    every = {chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) in ("Lu", "Ll")}
+    assert len(S.OTHER_SIGNS) == len(set(S.OTHER_SIGNS)) and set(S.OTHER_SIGNS) | set(S.ALL_SIGNS) >= every
+
+
+def test_short_entities_never_stay(spark):
+    """All strings of a short format are permuted, and none stays, under every tweak."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    every = [f"Dr {a.upper()}{b}" for a in letters for b in letters] + [f"{a}@{b}.co" for a in letters for b in letters] + [f"Dr {a.upper()}’" for a in "đłń"]
+    for tweak in range(3):
+        got = made(spark, every, tweak=tweak)
+        assert len({s for _, s in got.values()}) == len(every) and all(s != e for e, (_, s) in got.items())

@@ -4,13 +4,16 @@ A surrogate is a keyed permutation of the entity: signs are exchanged for signs
 own kind (digit, small or capital letter of the same script), first names for first names
 of the same script and gender, addresses of four bytes for such addresses. Because every
 step can be undone with the key, two entities of one format never get one surrogate, and
-an entity gets the same one wherever it stands. What a permutation cannot promise is
-checked over all entities: that none stays as it is, and that formats do not meet. A
-collision changes the key's tweak, and the check is run again.
+an entity gets the same one wherever it stands. The signs are moved on between the rounds
+and the rounds undone, so no string with a letter or digit stays as it is. What remains is
+checked over all entities: that no address of four bytes stays, and that formats do not
+meet. A collision changes the key's tweak, and the check is run again.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -86,47 +89,83 @@ BEGINS = [ALL_SIGNS.index(kind) for kind in SIGNS for _ in kind]
 SIZES = [len(kind) for kind in SIGNS for _ in kind]
 
 
-def _shifted(sign: Column, by: Column) -> Column:
-    """``sign`` moved on by ``by`` places among the signs of its kind; other signs stay."""
+def _other_letters() -> list[str]:
+    """Capital and small letters beyond ``SIGNS`` by script, case and block of 256; where a block has only one, by case."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for letter in map(chr, range(128, sys.maxunicode + 1)):
+        case = unicodedata.category(letter)
+        if case in ("Lu", "Ll") and letter not in ALL_SIGNS:
+            script = unicodedata.name(letter, "").split(" ")[0]
+            groups.setdefault((case, script, f"{ord(letter) >> 8}"), []).append(letter)
+    for key in [k for k, letters in groups.items() if len(letters) == 1]:
+        groups.setdefault(key[:1], []).extend(groups.pop(key))
+    return ["".join(letters) for letters in groups.values()]
+
+
+OTHER = _other_letters()
+OTHER_SIGNS = "".join(OTHER)
+OTHER_MARKS = "".join(chr(0x4E00 + n) for n in range(len(OTHER)))  # one for each kind
+OTHER_KINDS = "".join(mark * len(kind) for mark, kind in zip(OTHER_MARKS, OTHER))  # of each letter
+OTHER_PLACES = "".join(f"{OTHER_SIGNS.index(kind):04}{len(kind):04}" for kind in OTHER)
+
+
+def _shifted_other(sign: Column, by: Column) -> Column:
+    """As ``_shifted``, for the letters that are not in ``SIGNS``."""
+
+    def moved(at: Column) -> Column:
+        kind = F.instr(F.lit(OTHER_MARKS), F.substr(F.lit(OTHER_KINDS), at + 1, F.lit(1))) - 1
+        begin, size = (F.substr(F.lit(OTHER_PLACES), kind * 8 + n, F.lit(4)).cast("int") for n in (1, 5))
+        return F.when(at < 0, sign).otherwise(F.substr(F.lit(OTHER_SIGNS), begin + F.pmod(at - begin + by, size) + 1, F.lit(1)))
+
+    return F.when(sign <= "\x7f", sign).otherwise(_let(F.instr(F.lit(OTHER_SIGNS), sign) - 1, moved))
+
+
+def _shifted(sign: Column, by: Column, other: bool) -> Column:
+    """``sign`` moved on by ``by`` places among the signs of its kind; ``other`` letters too, or they stay as all else."""
     begins, sizes = F.lit(BEGINS).cast("array<int>"), F.lit(SIZES).cast("array<int>")
 
     def moved(at: Column) -> Column:
         begin = F.get(begins, at)
-        return F.when(at < 0, sign).otherwise(
-            F.substr(F.lit(ALL_SIGNS), begin + (at - begin + by) % F.get(sizes, at) + 1, F.lit(1))
+        return F.when(at < 0, _shifted_other(sign, by) if other else sign).otherwise(
+            F.substr(F.lit(ALL_SIGNS), begin + F.pmod(at - begin + by, F.get(sizes, at)) + 1, F.lit(1))
         )
 
     return _let(F.instr(F.lit(ALL_SIGNS), sign) - 1, moved)
 
 
-def permuted(text: Column, seed: Column, rounds: int) -> Column:
+def permuted(text: Column, seed: Column, rounds: int, other: bool = False) -> Column:
     """A permutation of the strings that have the same kind of sign at each place.
 
     In turn each half is shifted by a stream that the other half and the seed decide, so
-    each step can be undone.
+    each step can be undone. Then every sign is moved on by one, and the turns are undone:
+    two strings that differ by one move are never one, so none stays that has a sign to
+    move. ``other`` letters than those of ``SIGNS`` are signs as well. Without rounds all
+    stays.
     """
 
-    def turn(n: int) -> Callable[[Column], Column]:
-        odd, tagged = n % 2 == 1, F.concat_ws("|", seed, F.lit(str(n)))
-
-        def step(signs: Column) -> Column:
+    def turn(sense: int) -> Callable[[Column, Column], Column]:
+        def step(signs: Column, n: Column) -> Column:
             cut = F.size(signs).cast("int") - F.floor(F.size(signs) / 2).cast("int")
             first, rest = F.slice(signs, F.lit(1), cut), F.slice(signs, cut + 1, F.size(signs) - cut)
-            moving, still = (rest, first) if odd else (first, rest)
+            odd = n % 2 == 1
+            moving, still = F.when(odd, rest).otherwise(first), F.when(odd, first).otherwise(rest)
             blocks = F.sequence(F.lit(0), F.floor(F.size(moving) / 32).cast("int"))
-            fixed = F.array_join(still, "")
-            stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", tagged, b.cast("string"), fixed), 256)), "")
+            fixed = F.concat_ws("|", seed, n.cast("string"))
+            stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", fixed, b.cast("string"), F.array_join(still, "")), 256)), "")
             new = _let(
                 stream,
-                lambda bits: F.transform(moving, lambda c, i: _shifted(c, F.conv(F.substr(bits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))),
+                lambda bits: F.transform(moving, lambda c, i: _shifted(c, F.conv(F.substr(bits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") * sense, other)),
             )
-            return F.concat(first, new) if odd else F.concat(new, rest)
+            return F.when(odd, F.concat(first, new)).otherwise(F.concat(new, rest))
 
         return step
 
     out = F.filter(F.split(text, ""), lambda c: c != "")
-    for n in range(rounds):
-        out = _let(out, turn(n))
+    if rounds:
+        turns = [F.lit(n) for n in range(rounds)]
+        out = F.aggregate(F.array(*turns), out, turn(1))
+        out = F.transform(out, lambda c: _shifted(c, F.lit(1), other))
+        out = F.aggregate(F.array(*reversed(turns)), out, turn(-1))
     return F.array_join(out, "")
 
 
@@ -168,9 +207,9 @@ def _given(word: Column, seed: Column) -> Column:
 
 
 def _name(m: Column, seed: Column, rounds: int) -> Column:
-    """The title stays, the first name is exchanged, other words are permuted; a family name has one surrogate with all first names."""
-    word = lambda w: F.when(w.rlike(f"^{TITLES}$"), w).otherwise(
-        F.coalesce(_given(w, seed), permuted(w, F.concat_ws("|", seed, F.lit("family")), rounds))
+    """The title at the head stays, the first name is exchanged, other words are permuted; a family name has one surrogate with all first names."""
+    word = lambda w, i: F.when((i == 0) & w.rlike(f"^{TITLES}$"), w).otherwise(
+        F.coalesce(_given(w, seed), permuted(w, F.concat_ws("|", seed, F.lit("family")), rounds, other=True))
     )
     return F.array_join(F.transform(F.split(m, " "), word), " ")
 
