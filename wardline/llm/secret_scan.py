@@ -151,18 +151,38 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Ratios:
 # ---------------------------------------------------------------- scan
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans; all other places stay."""
+
+    def step(done: Column, s: Column) -> Column:
+        begin = F.greatest(done["at"], s["start"])
+        kept = F.substr(text, done["at"] + 1, begin - done["at"])
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], kept, blanks).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(F.array_sort(spans), first, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
 def _scan_rows(rows: DataFrame, settings: Settings, ratios: Ratios) -> DataFrame:
     """The columns of ``rows``, of which ``text`` is searched, and the spans of each kind."""
     run = rf"[A-Za-z0-9+/_=-]{{{settings.least_signs},}}"
+    part = rf"[A-Za-z0-9+]{{{settings.least_signs},}}"
     signs = lambda m: F.size(F.array_distinct(F.split(m, "")))
     value = lambda m: F.when(signs(m) >= settings.least_distinct, ratios.of(m)).otherwise(-1e9)
     text = F.coalesce("text", F.lit(""))
 
     def spans(base: Column) -> Column:
         taken = F.concat(*[base[k] for k in KINDS[:3]])
-        free = lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-        more = F.filter(_found(text, run, value), lambda s: (s["value"] > settings.threshold) & free(s))
-        markov = F.when(text.rlike(run), more).otherwise(F.array().cast(SPAN))
+        random = lambda rest, pattern: F.filter(_found(rest, pattern, value), lambda s: s["value"] > settings.threshold)
+
+        def more(rest: Column) -> Column:
+            """Runs between the other spans, and parts of the other runs between their / _ = - signs."""
+            inside = lambda s, runs: F.exists(runs, lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"]))
+            return _let(random(rest, run), lambda runs: F.concat(runs, F.filter(random(rest, part), lambda s: ~inside(s, runs))))
+
+        markov = F.when(text.rlike(run), _let(_blanked(text, taken), more)).otherwise(F.array().cast(SPAN))
         return F.struct(*[base[k].alias(k) for k in KINDS[:3]], markov.alias("markov"))
 
     return rows.select("*", F.inline(F.transform(F.array(_base(text)), spans)))
@@ -171,7 +191,8 @@ def _scan_rows(rows: DataFrame, settings: Settings, ratios: Ratios) -> DataFrame
 def scan(docs: DataFrame, settings: Settings = Settings(), ratios: Ratios | None = None) -> DataFrame:
     """(doc_id, text, assign, access, hex, markov): the spans of every kind of every row.
 
-    ``markov`` has random strings that touch no other span. The spans come out of
+    ``markov`` has random strings that touch no other span: what a run of signs has between
+    such spans, or its parts between / _ = - where the whole does not look random. The spans come out of
     ``inline``, so later columns and filters do not search the texts again.
     """
     texts = doc_texts(docs)
