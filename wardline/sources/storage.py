@@ -54,6 +54,12 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/wardline/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever it is stored. A folder that is not there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def export_csv(report: DataFrame, root: str, name: str, run_date: date) -> str:
     """Write a report as CSV, one directory per report and run date."""
     path = f"{root}/{name}/run_date={run_date.isoformat()}"
