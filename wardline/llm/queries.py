@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wardline.llm import decontaminate, language_id, licenses, packing, quality, secret_scan, simhash, surrogates, token_counts, url_rules
+from wardline.llm import (
+    decontaminate,
+    filter_audit,
+    language_id,
+    licenses,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    surrogates,
+    token_counts,
+    toxicity,
+    url_rules,
+    whitening,
+)
 from wardline.llm.common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +47,21 @@ def queries() -> dict[str, Query]:
         "op8_language_id": _over_documents(language_id.op8_language_id),
         "op9_surrogates": _over_documents(surrogates.op9_surrogates),
         "op10_simhash": _over_documents(simhash.op10_simhash),
+        "op11_toxicity": lambda spark, sf_dir: toxicity.op11_toxicity(
+            read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+        ),
+        "op12_filter_audit": lambda spark, sf_dir: filter_audit.op12_filter_audit(
+            read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+        ),
+        "op13_whitening": lambda spark, sf_dir: whitening.op13_whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op6_license_scan": licenses.op6_sql(), "op7_quality_rules": quality.op7_sql()}
+    found = {
+        "op6_license_scan": licenses.op6_sql(),
+        "op7_quality_rules": quality.op7_sql(),
+        "op12_filter_audit": filter_audit.op12_sql(),
+    }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
