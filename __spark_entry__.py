@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
+import warnings
 from collections.abc import Callable
 from datetime import datetime
 
@@ -23,10 +23,11 @@ from wardline.sources import demo, registry, storage
 from wardline.sources.estate_tables import Governance, read_governance, write_query_history
 from wardline.streaming import alerts
 
-LLM = None
-_found = importlib.util.find_spec("wardline.llm")
-if _found and _found.origin:  # the subpackage may be taken out; an empty folder has no origin
+try:  # the subpackage, or a library it needs, may be absent
     from wardline.llm import queries as LLM  # noqa: N812
+except ImportError as absent:
+    LLM = None
+    warnings.warn(f"queries of wardline.llm are left out: {absent}", stacklevel=1)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
