@@ -231,7 +231,7 @@ def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{root}/checkpoint",
         ONCE,
     ).awaitTermination()
-    return spark.read.parquet(f"{root}/alerts").select(*alerts.ALERT_COLUMNS)
+    return alerts.read_alerts(spark, f"{root}/alerts")
 
 
 def _stream_volume(spark: SparkSession, sf_dir: str) -> DataFrame:

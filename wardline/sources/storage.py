@@ -54,10 +54,64 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/wardline/{purpose}-{uuid.uuid4().hex}"
 
 
+class Folder:
+    """Names and small files in a folder, wherever it is stored; a folder that is not there is empty."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark._jvm
+        self._hadoop = self._jvm.org.apache.hadoop.fs
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._path = self._hadoop.Path(path)
+        self._files = self._path.getFileSystem(self._conf)
+
+    def _at(self, name: str):
+        return self._hadoop.Path(self._path, name)
+
+    def names(self) -> list[str]:
+        if not self._files.exists(self._path):
+            return []
+        return [found.getPath().getName() for found in self._files.listStatus(self._path)]
+
+    def folders(self, pattern: str) -> list[str]:
+        """Paths, relative to this folder, that a glob pattern such as ``a=*/b=*`` matches."""
+        found = self._files.globStatus(self._at(pattern))
+        depth = pattern.count("/") + 1
+        return ["/".join(str(f.getPath()).rstrip("/").split("/")[-depth:]) for f in found or []]
+
+    def read(self, name: str) -> str:
+        stream = self._files.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> None:
+        """Write a file under another name and rename it: it is there as a whole or not at all.
+
+        Fails if ``name`` exists. Needs a store whose rename is atomic, as streaming checkpoints do.
+        """
+        hidden = self._at(f".{name}.{uuid.uuid4().hex}")
+        stream = self._files.create(hidden, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self._hadoop.FileContext.getFileContext(self._path.toUri(), self._conf)
+        keep = self._jvm.java.lang.reflect.Array.newInstance(
+            self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0
+        )
+        try:
+            context.rename(hidden, self._at(name), keep)
+        except Exception:
+            self._files.delete(hidden, False)
+            raise
+
+    def remove(self, name: str) -> None:
+        self._files.delete(self._at(name), True)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever it is stored. A folder that is not there is no error."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    Folder(spark, parent).remove(name)
 
 
 def export_csv(report: DataFrame, root: str, name: str, run_date: date) -> str:
