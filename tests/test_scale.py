@@ -11,7 +11,7 @@ from wardline.config import Clock
 from wardline.operators import views
 from wardline.plans import audits
 from wardline.sources import demo
-from wardline.sources.estate_tables import write_query_history
+from wardline.sources.query_log import read_query_history, write_query_history
 
 # Queries with a join that is a broadcast join on small data.
 JOINING = [
@@ -179,7 +179,7 @@ def test_stored_log_is_pruned_by_day(spark, sf_dir, tmp_path):
     gov = demo.governance(spark, sf_dir)
     path = str(tmp_path / "log")
     write_query_history(gov.query_history, path)
-    stored = gov.with_(query_history=spark.read.parquet(path))
+    stored = gov.with_(query_history=read_query_history(spark, path))
     recent = views.recent_access_patterns(stored)
     text = recent._jdf.queryExecution().executedPlan().toString()
     partitions = text[text.index("PartitionFilters") : text.index("PushedFilters")]

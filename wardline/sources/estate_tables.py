@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import Clock, Estate
 from wardline.sources import registry, schemas
+from wardline.sources.query_log import read_query_history
 
 
 def wall_clock(moment: datetime) -> Column:
@@ -122,7 +123,7 @@ class Governance:
     def history_since(self, days: int) -> DataFrame:
         """Queries started in the last ``days`` days up to the report's moment.
 
-        The bounds are literals. A log stored by :func:`write_query_history` also has them on
+        The bounds are literals. A log stored by :func:`~wardline.sources.query_log.write_query_history` also has them on
         the partition column, so older days are not listed, let alone read.
         """
         start = self.clock.as_of - timedelta(days=days)
@@ -143,7 +144,7 @@ class Governance:
 def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate = Estate()) -> Governance:
     """The governance tables as parquet directories under ``path``, one per table.
 
-    ``query_history`` is the folder :func:`write_query_history` fills.
+    ``query_history`` is the folder :func:`write_query_history` of ``query_log`` fills.
     """
 
     def table(name: str, schema: str):
@@ -158,25 +159,5 @@ def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate
         columns=table("columns", schemas.COLUMNS),
         tables=table("tables", schemas.TABLES),
         user_grants=table("user_grants", schemas.USER_GRANTS),
-        query_history=table("query_history", schemas.STORED_QUERY_HISTORY),
-    )
-
-
-def write_query_history(history: DataFrame, path: str) -> None:
-    """Write a log to ``path``, partitioned by the day queries started.
-
-    The days that ``history`` has are written over, so a load that is repeated does not
-    count twice; load whole days. The accessed objects are parsed here, once, and stored
-    as an array: parsing JSON is the dearest part of every report on objects. The rebalance
-    hint gathers a day's rows and lets AQE cut a busy day into files of the advisory size.
-    """
-    objects = F.from_json("objects_accessed", schemas.OBJECTS_ACCESSED)
-    (
-        history.withColumn("objects_accessed", objects)
-        .withColumn(schemas.LOG_DATE, F.col("start_time").cast("date"))
-        .hint("rebalance", schemas.LOG_DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(schemas.LOG_DATE)
-        .parquet(path)
+        query_history=lambda: read_query_history(spark, f"{path}/query_history"),
     )

@@ -19,8 +19,8 @@ COLUMNS = "table_catalog string, table_schema string, table_name string, column_
 
 TABLES = "table_catalog string, table_schema string, table_name string, table_type string"
 
-# Partition column of a stored log: the day of start_time.
-LOG_DATE = "log_date"
+# Partition columns of a stored log: the day of start_time, and the load a row came with.
+LOG_DATE, LOAD = "log_date", "load_id"
 OBJECTS_ACCESSED = "array<struct<objectName: string>>"
 
 _QUERY = """
@@ -29,7 +29,7 @@ _QUERY = """
     error_code string, error_message string, query_text string
 """
 QUERY_HISTORY = f"{_QUERY}, objects_accessed string"  # as logged: JSON text
-STORED_QUERY_HISTORY = f"{_QUERY}, objects_accessed {OBJECTS_ACCESSED}, {LOG_DATE} date"
+STORED_QUERY_HISTORY = f"{_QUERY}, objects_accessed {OBJECTS_ACCESSED}, {LOG_DATE} date, {LOAD} int"
 
 TAG_ALLOWED_VALUES = "tag_name string, allowed_value string"
 
