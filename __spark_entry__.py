@@ -17,7 +17,7 @@ from wardline.config import Clock, TableId
 from wardline.functions import masking as M
 from wardline.functions import roles as R
 from wardline.functions import rowaccess as A
-from wardline.operators import policy_checks, privileges, secure, session_views, tags, views
+from wardline.operators import access, policy_checks, privileges, secure, session_views, tags, views
 from wardline.plans import audits, report
 from wardline.sources import demo, registry, storage
 from wardline.sources.estate_tables import Governance, read_governance
@@ -141,15 +141,26 @@ def _session_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * FROM governed_person")
 
 
-def _stored_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report on an estate that was stored and is read again, its log having come in two overlapping loads."""
+def _stored_estate(spark: SparkSession, sf_dir: str) -> Governance:
+    """An estate that was stored and is read again.
+
+    Its log came in two overlapping loads, its facts on objects were kept after the first.
+    """
     gov = demo.governance(spark, sf_dir)
     root = storage.fresh_dir(spark, "estate")
     for name in ("policy_references", "tag_references", "columns", "tables"):
         getattr(gov, name).write.parquet(f"{root}/{name}")
-    for load in ("query_id % 3 <> 0", "query_id % 3 <> 1"):
-        write_query_history(gov.query_history.filter(load), f"{root}/query_history")
-    return views.v_table_access_frequency(read_governance(spark, root, gov.clock))
+    facts = access.stored_facts(spark, root)
+    write_query_history(gov.query_history.filter("start_time < '2024-01-25' OR query_id % 3 = 1"), f"{root}/query_history")
+    facts.refresh()
+    write_query_history(gov.query_history.filter("start_time >= '2024-01-25' AND query_id % 5 <> 1 OR query_id % 3 = 2"), f"{root}/query_history")
+    write_query_history(gov.query_history.filter("start_time >= '2024-01-25' AND query_id % 5 = 1"), f"{root}/query_history")
+    facts.refresh()
+    return read_governance(spark, root, gov.clock, stored_facts=facts)
+
+
+def _stored(build: Callable[[Governance], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(_stored_estate(spark, sf_dir))
 
 
 def _row_droppable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +335,10 @@ def queries() -> dict[str, Query]:
             lambda gov: registry.replace_policy(gov.policy_references, "ADDRESS_MASK", "ADDRESS_MASK_STRICT")
         ),
         "session_view": _session_view,
-        "stored_access_frequency": _stored_frequency,
+        "stored_access_frequency": _stored(views.v_table_access_frequency),
+        "stored_access_by_object": _stored(lambda gov: audits.audit_06_by_object(audits.AuditInputs(gov))),
+        "stored_after_hours_by_object": _stored(lambda gov: audits.audit_07_by_object(audits.AuditInputs(gov))),
+        "stored_retention_due": _stored(lambda gov: tags.retention_due(gov.with_(clock=RETENTION_CLOCK))),
         # tags
         "tag_taxonomy": _governed(tags.tag_taxonomy_usage),
         "tag_invalid_values": _governed(tags.tag_invalid_values),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.config import BusinessHours
 from wardline.sources import schemas
 from wardline.sources.estate_tables import Governance
+from wardline.sources.object_facts import StoredFacts, object_facts
 
 READ_WRITE_TYPES = ("SELECT", "COPY", "INSERT", "UPDATE")
 DAYS_IN_BITS = 63  # days a 64-bit number can mark, one bit each
@@ -81,6 +82,41 @@ def access_facts(gov: Governance) -> DataFrame:
     )
 
 
+def facts_of(history: DataFrame) -> DataFrame:
+    """A log added up per day, object, role and user."""
+    after_hours_select = (F.col("query_type") == "SELECT") & is_after_hours(F.col("start_time"))
+    return object_facts(history, object_names(history), F.col("query_type").isin(*READ_WRITE_TYPES), after_hours_select)
+
+
+def stored_facts(spark: SparkSession, root: str) -> StoredFacts:
+    """The facts kept beside the log of an estate stored under ``root``."""
+    return StoredFacts(spark, f"{root}/query_history", f"{root}/object_facts", facts_of)
+
+
+def window_object_facts(gov: Governance) -> DataFrame:
+    """Facts on the objects that the environments' queries of the access window accessed."""
+    days = gov.clock.access_window_days
+    history = gov.history_since(days)
+    if gov.stored_facts is None:
+        facts = facts_of(history)
+    else:
+        facts = gov.stored_facts.between(gov.clock.as_of - timedelta(days=days), gov.clock.as_of, history)
+    return facts.filter(F.col("database_name").isin(*gov.estate.environment_databases))
+
+
+def last_accesses(gov: Governance) -> DataFrame:
+    """When each object of the environments was last accessed, over the whole log."""
+    if gov.stored_facts is None:
+        used = accessed_objects(gov.query_history).withColumn("last_accessed", F.col("start_time"))
+    else:
+        used = gov.stored_facts.between(None, None, gov.query_history)
+    return (
+        used.filter(F.col("database_name").isin(*gov.estate.environment_databases))
+        .groupBy("database_name", "schema_name", "table_name")
+        .agg(F.max("last_accessed").alias("last_accessed"))
+    )
+
+
 def sensitive_tables(gov: Governance) -> DataFrame:
     """``(schema_name, table_name)`` with a PII tag on the table or one of its columns, in any database."""
     return (

@@ -183,7 +183,7 @@ def tag_policy_references(gov: Governance) -> DataFrame:
 
 def retention_due(gov: Governance) -> DataFrame:
     """Tables with a retention tag: when they were last used and when they may go."""
-    from wardline.operators.access import accessed_objects
+    from wardline.operators.access import last_accesses
 
     retention = (
         gov.live_tags()
@@ -191,14 +191,11 @@ def retention_due(gov: Governance) -> DataFrame:
         .groupBy(*TABLE_KEY)
         .agg(F.min("tag_value").alias("retention_period"))
     )
-    last_used = (
-        accessed_objects(gov.query_history.filter(F.col("database_name").isin(*gov.estate.environment_databases)))
-        .groupBy(
-            F.col("database_name").alias("object_database"),
-            F.col("schema_name").alias("object_schema"),
-            F.col("table_name").alias("object_name"),
-        )
-        .agg(F.max("start_time").alias("last_accessed"))
+    last_used = last_accesses(gov).select(
+        F.col("database_name").alias("object_database"),
+        F.col("schema_name").alias("object_schema"),
+        F.col("table_name").alias("object_name"),
+        "last_accessed",
     )
     years = F.create_map(*(F.lit(v) for pair in RETENTION_YEARS.items() for v in pair))
     due = F.add_months(F.col("last_accessed").cast("date"), F.try_element_at(years, F.col("retention_period")) * 12)

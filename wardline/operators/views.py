@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.detection import UNKNOWN_TYPE, on_review_list, pii_type, suggested_policy
-from wardline.operators.access import METADATA_TYPES, accessed_objects, day_bit, days_fit_in_bits
+from wardline.operators.access import METADATA_TYPES, accessed_objects, day_bit, days_fit_in_bits, window_object_facts
 from wardline.sources import schemas
 from wardline.sources.estate_tables import Governance
 
@@ -364,6 +364,8 @@ def v_recent_access_patterns(gov: Governance) -> DataFrame:
 
 def table_access_frequency(gov: Governance) -> DataFrame:
     """Per accessed table and role: accesses, users and latest access of the window."""
+    if gov.stored_facts is not None:
+        return access_frequency_of(gov, window_object_facts(gov))
     history = gov.environment_history(gov.clock.access_window_days, gov.estate.layers)
     return (
         accessed_objects(history)
@@ -376,6 +378,19 @@ def table_access_frequency(gov: Governance) -> DataFrame:
     )
 
 
+def access_frequency_of(gov: Governance, facts: DataFrame) -> DataFrame:
+    """:func:`table_access_frequency` from facts on objects."""
+    return (
+        facts.filter(F.col("schema_name").isin(*gov.estate.layers))
+        .groupBy("database_name", "schema_name", "table_name", "role_name")
+        .agg(
+            F.sum("mentions").alias("access_count"),
+            F.count_distinct("user_name").alias("unique_users"),
+            F.max("last_accessed").alias("last_accessed"),
+        )
+    )
+
+
 def v_table_access_frequency(gov: Governance) -> DataFrame:
     return table_access_frequency(gov).orderBy(
         F.desc("access_count"), "database_name", "schema_name", "table_name", "role_name"

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.config import AccessThresholds, BusinessHours
@@ -24,7 +24,9 @@ from wardline.operators.access import (
     accessed_objects,
     is_after_hours,
     sensitive_tables,
+    window_object_facts,
 )
+from wardline.sources import schemas
 from wardline.sources.estate_tables import Governance, wall_clock
 from wardline.sources.registry import REQUIRED_TABLE_TAGS
 
@@ -68,8 +70,8 @@ POLICY_CHANGE_TEXTS = ("%MASKING%POLICY%", "%ROW%ACCESS%POLICY%", "%TAG%")
 class AuditInputs:
     """Governance tables plus the views several audits read, each built when first asked for."""
 
-    def __init__(self, gov: Governance):
-        self.gov = gov
+    def __init__(self, gov: Governance, kept: bool = False):
+        self.gov, self._kept = gov, kept
 
     @cached_property
     def sensitive_columns(self) -> DataFrame:
@@ -79,6 +81,11 @@ class AuditInputs:
     def facts(self) -> DataFrame:
         return access_facts(self.gov)
 
+    @cached_property
+    def object_facts(self) -> DataFrame | None:
+        """Facts on accessed objects, where they are stored or this run keeps them."""
+        return window_object_facts(self.gov) if self.gov.stored_facts is not None or self._kept else None
+
     @cached_property
     def access(self) -> DataFrame:
         return V.access_patterns_of(self.gov, self.facts)
@@ -96,11 +103,11 @@ class AuditInputs:
     def persisted(cls, gov: Governance) -> Iterator[AuditInputs]:
         """Inputs that are computed once and kept, on disk where memory is short.
 
-        The log is added up in one pass; only the reports on single queries and on accessed
-        objects go back to it. Losing an executor only means that its part of a view is computed again.
+        The log is added up in one pass per query and one per accessed object; only the
+        reports that list single queries go back to it. Losing an executor only means that its part of a view is computed again.
         """
-        inputs = cls(gov)
-        shared = (inputs.facts, inputs.access, inputs.sensitive_columns, inputs.coverage, inputs.pii_columns)
+        inputs = cls(gov, kept=True)
+        shared = (inputs.facts, inputs.object_facts, inputs.access, inputs.sensitive_columns, inputs.coverage, inputs.pii_columns)
         for view in shared:
             view.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -296,22 +303,34 @@ def audit_06_summary(inputs: AuditInputs) -> DataFrame:
     )
 
 
+def _read_write_objects(inputs: AuditInputs) -> DataFrame:
+    """Per table, role and user of the window: queries that read or wrote it, and the last one."""
+    gov = inputs.gov
+    if inputs.object_facts is not None:
+        return inputs.object_facts.filter("read_write_queries > 0").select(
+            "schema_name",
+            "table_name",
+            "role_name",
+            "user_name",
+            F.col("read_write_queries").alias("queries"),
+            F.col("last_read_write").alias("last"),
+        )
+    window = gov.environment_history(gov.clock.access_window_days).filter(F.col("query_type").isin(*READ_WRITE_TYPES))
+    return accessed_objects(window, once_per_query=True).withColumns({"queries": F.lit(1), "last": F.col("start_time")})
+
+
 def audit_06_by_object(inputs: AuditInputs) -> DataFrame:
     """Use of sensitive tables by role, counting only queries that accessed the table."""
-    gov = inputs.gov
     per_table = (
-        accessed_objects(
-            gov.environment_history(gov.clock.access_window_days).filter(F.col("query_type").isin(*READ_WRITE_TYPES)),
-            once_per_query=True,
-        )
+        _read_write_objects(inputs)
         .groupBy("schema_name", "table_name", "role_name")
         .agg(
             F.count_distinct("user_name").alias("user_count"),
-            F.count("*").alias("query_count"),
-            F.max("start_time").alias("last_access"),
+            F.sum("queries").alias("query_count"),
+            F.max("last").alias("last_access"),
         )
     )
-    return per_table.join(sensitive_tables(gov), ["schema_name", "table_name"], "left_semi").orderBy(
+    return per_table.join(sensitive_tables(inputs.gov), ["schema_name", "table_name"], "left_semi").orderBy(
         F.desc("query_count"), "schema_name", "table_name", "role_name"
     )
 
@@ -372,10 +391,33 @@ def after_hours_accesses(history: DataFrame, tables: DataFrame) -> DataFrame:
     return accessed_objects(selects, once_per_query=True).join(tables, ["schema_name", "table_name"], "left_semi")
 
 
+def _latest_days(inputs: AuditInputs, enough: int) -> DataFrame:
+    """The latest days that together have ``enough`` after-hours SELECTs on sensitive tables, from the facts.
+
+    One row per day of the window comes to the running sum.
+    """
+    per_day = (
+        inputs.object_facts.filter("after_hours_selects > 0")
+        .join(sensitive_tables(inputs.gov), ["schema_name", "table_name"], "left_semi")
+        .groupBy(schemas.LOG_DATE)
+        .agg(F.sum("after_hours_selects").alias("found"))
+    )
+    later = Window.orderBy(F.desc(schemas.LOG_DATE)).rowsBetween(Window.unboundedPreceding, -1)
+    return per_day.withColumn("later", F.coalesce(F.sum("found").over(later), F.lit(0))).filter(F.col("later") < enough)
+
+
 def audit_07_by_object(inputs: AuditInputs) -> DataFrame:
-    """The latest after-hours SELECTs that accessed a sensitive table."""
+    """The latest after-hours SELECTs that accessed a sensitive table.
+
+    Where there are facts on objects, they tell which days can have any of the latest 50, and
+    only the queries of these days are taken apart; of a stored log no other day is read.
+    """
     gov = inputs.gov
     window = gov.environment_history(gov.clock.access_window_days)
+    if inputs.object_facts is not None:
+        if schemas.LOG_DATE not in window.columns:
+            window = window.withColumn(schemas.LOG_DATE, F.col("start_time").cast("date"))
+        window = window.join(F.broadcast(_latest_days(inputs, LATEST_QUERIES).select(schemas.LOG_DATE)), schemas.LOG_DATE, "left_semi")
     return _after_hours_report(after_hours_accesses(window, sensitive_tables(gov)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import Clock, Estate
 from wardline.sources import registry, schemas
+from wardline.sources.object_facts import StoredFacts
 from wardline.sources.query_log import read_query_history
 
 
@@ -23,7 +24,8 @@ class Governance:
     """Metadata tables, the query log and the moment reports speak about.
 
     Tables are given as functions that open them and are opened when first used. The tag
-    taxonomy, role grants and privileges are the standard ones unless given.
+    taxonomy, role grants and privileges are the standard ones unless given. A stored log
+    may have facts on accessed objects beside it.
     """
 
     def __init__(
@@ -31,9 +33,11 @@ class Governance:
         spark: SparkSession,
         clock: Clock,
         estate: Estate = Estate(),
+        stored_facts: StoredFacts | None = None,
         **tables: Callable[[], DataFrame],
     ):
         self.spark = spark
+        self.stored_facts = stored_facts
         self.clock = clock
         self.estate = estate
         self._tables = {
@@ -46,7 +50,8 @@ class Governance:
     def with_(self, clock: Clock | None = None, **tables: DataFrame) -> Governance:
         """The same estate at another moment, or with some tables replaced."""
         replaced = {name: (lambda df=df: df) for name, df in tables.items()}
-        return Governance(self.spark, clock or self.clock, self.estate, **{**self._tables, **replaced})
+        facts = None if "query_history" in tables else self.stored_facts  # they speak about the log they were made of
+        return Governance(self.spark, clock or self.clock, self.estate, facts, **{**self._tables, **replaced})
 
     @cached_property
     def policy_references(self) -> DataFrame:
@@ -141,10 +146,13 @@ class Governance:
         return queries if layers is None else queries.filter(F.col("schema_name").isin(*layers))
 
 
-def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate = Estate()) -> Governance:
+def read_governance(
+    spark: SparkSession, path: str, clock: Clock, estate: Estate = Estate(), stored_facts: StoredFacts | None = None
+) -> Governance:
     """The governance tables as parquet directories under ``path``, one per table.
 
-    ``query_history`` is the folder :func:`write_query_history` of ``query_log`` fills.
+    ``query_history`` is the folder :func:`write_query_history` of ``query_log`` fills;
+    ``stored_facts`` may be those :func:`wardline.operators.access.stored_facts` keeps of it.
     """
 
     def table(name: str, schema: str):
@@ -154,6 +162,7 @@ def read_governance(spark: SparkSession, path: str, clock: Clock, estate: Estate
         spark,
         clock,
         estate,
+        stored_facts,
         policy_references=table("policy_references", schemas.POLICY_REFERENCES),
         tag_references=table("tag_references", schemas.TAG_REFERENCES),
         columns=table("columns", schemas.COLUMNS),
