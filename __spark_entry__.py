@@ -8,7 +8,7 @@ import warnings
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,6 +18,7 @@ from wardline.functions import masking as M
 from wardline.functions import roles as R
 from wardline.functions import rowaccess as A
 from wardline.operators import access, policy_checks, privileges, secure, session_views, tags, views
+from wardline.operators.entitlements import EntitlementPolicy
 from wardline.plans import audits, report
 from wardline.sources import demo, registry, storage
 from wardline.sources.estate_tables import Governance, read_governance
@@ -70,6 +71,16 @@ def _rows(policies: dict[str, A.RowPolicy], *extra_roles: str) -> Query:
     return run
 
 
+def _entitled(policy: str, column: str, form: Callable[[Column], Column]) -> Query:
+    """Rows by role, where roles and codes stand in tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = registry.standard_entitlements(spark), registry.standard_codes(spark)
+        return EntitlementPolicy(policy, *tables, form).visible_by_role(demo.person(spark, sf_dir), "person_id", column)
+
+    return run
+
+
 def _person(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     """The person table as ``role`` reads it, through its attachments in the registry."""
     gov = demo.governance(spark, sf_dir)
@@ -310,13 +321,9 @@ def queries() -> dict[str, Query]:
         "row_active": _rows({"is_active": A.ACTIVE_RECORDS_ONLY}),
         "row_academic_year": _rows({"academic_year": A.CURRENT_AY_ACCESS}),
         "row_term": _rows({"term_code": A.CURRENT_TERM_ACCESS}),
-        "row_department": _rows(
-            {"department_code": A.department_access(A.EXAMPLE_DEPARTMENTS)}, R.BUSINESS_SCHOOL_ANALYST
-        ),
+        "row_department": _entitled(A.DEPARTMENT_ACCESS, "department_code", lambda code: code),
         "row_ferpa_consent": _rows({"ferpa_consent": A.FERPA_CONSENT_ACCESS}),
-        "row_program_type": _rows(
-            {"program_type": A.program_type_access(A.EXAMPLE_PROGRAMS)}, R.UNDERGRAD_ANALYST, R.GRADUATE_ANALYST
-        ),
+        "row_program_type": _entitled(A.PROGRAM_TYPE_ACCESS, "program_type", F.upper),
         "row_combined": _rows(PERSON_POLICIES),
         "row_role_counts": _role_counts,
         "row_policy_attach": _row_attach,

@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.roles import (
@@ -50,6 +50,9 @@ class RowPolicy:
                 return rule.expr(column, as_of)
         return F.lit(False)
 
+    def apply(self, df: DataFrame, column: str, role: str, as_of: date) -> DataFrame:
+        return df.filter(self.predicate(F.col(column), role, as_of))
+
     def allows(self, column: Column, role: str, as_of: date) -> Column:
         """The predicate as TRUE or FALSE, for counting instead of filtering."""
         return F.coalesce(self.predicate(column, role, as_of), F.lit(False))
@@ -82,7 +85,10 @@ STATUSES_BY_ROLE: dict[str, tuple[str, ...]] = {
     DATA_ANALYST: ("ENROLLED",),
 }
 
-# Example roles limited to some departments or programme types.
+DEPARTMENT_ACCESS, PROGRAM_TYPE_ACCESS = "DEPARTMENT_ACCESS", "PROGRAM_TYPE_ACCESS"
+
+# Example roles limited to some departments or programme types. As rows of a
+# table they are in ``registry.standard_entitlements``.
 EXAMPLE_DEPARTMENTS: dict[str, tuple[str, ...]] = {
     BUSINESS_SCHOOL_ANALYST: ("ACCT", "FIN", "MGMT", "MKTG"),
 }
@@ -136,7 +142,7 @@ def department_access(limited: Mapping[str, Sequence[str]] | None = None) -> Row
         for role, codes in (limited or {}).items()
     )
     return RowPolicy(
-        "DEPARTMENT_ACCESS", (RowRule(ADMINS + ENGINEERS + ANALYSTS, _everything),) + extra
+        DEPARTMENT_ACCESS, (RowRule(ADMINS + ENGINEERS + ANALYSTS, _everything),) + extra
     )
 
 
@@ -157,7 +163,7 @@ def program_type_access(limited: Mapping[str, Sequence[str]] | None = None) -> R
     """All listed roles see every programme; ``limited`` adds roles tied to some types."""
     extra = tuple(RowRule((role,), _one_of(tuple(types))) for role, types in (limited or {}).items())
     return RowPolicy(
-        "PROGRAM_TYPE_ACCESS", (RowRule(ADMINS + ENGINEERS + ANALYSTS, _everything),) + extra
+        PROGRAM_TYPE_ACCESS, (RowRule(ADMINS + ENGINEERS + ANALYSTS, _everything),) + extra
     )
 
 

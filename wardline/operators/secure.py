@@ -98,9 +98,12 @@ def apply_row_policies(
     as_of: date,
     policies: Mapping[str, RowPolicy] = ROW_POLICIES,
 ) -> DataFrame:
-    """Keep the rows every attached policy allows. Catalyst merges the filters."""
+    """Keep the rows every attached policy allows. Catalyst merges the filters.
+
+    A policy is a :class:`RowPolicy`, or an ``EntitlementPolicy`` whose roles stand in a table.
+    """
     for name, (column,) in sorted(attached):
-        df = df.filter(_defined(policies, name).predicate(F.col(column), role, as_of))
+        df = _defined(policies, name).apply(df, column, role, as_of)
     return df
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from wardline.config import Estate, TableId
 from wardline.functions import roles as R
+from wardline.functions import rowaccess as A
 from wardline.sources import schemas
 
 # The tag taxonomy.
@@ -103,6 +104,9 @@ STANDARD_ROW_POLICIES: dict[tuple[str, str], dict[str, str]] = {
 }
 
 
+BUSINESS_SCHOOL = "BUSINESS_SCHOOL"  # the branch its departments hang below
+
+
 def literal_table(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
     """A short table of texts known when the plan is built.
 
@@ -123,6 +127,24 @@ def standard_role_grants(spark: SparkSession) -> DataFrame:
     return literal_table(spark, ROLE_GRANTS, schemas.ROLE_GRANTS)
 
 
+def standard_entitlements(spark: SparkSession) -> DataFrame:
+    """Who sees which departments and programme types; a null code is every one."""
+    policies = (A.DEPARTMENT_ACCESS, A.PROGRAM_TYPE_ACCESS)
+    everyone = [(policy, role, None) for policy in policies for role in R.ADMINS + R.ENGINEERS + R.ANALYSTS]
+    limited = [
+        (A.DEPARTMENT_ACCESS, R.BUSINESS_SCHOOL_ANALYST, BUSINESS_SCHOOL),
+        (A.PROGRAM_TYPE_ACCESS, R.UNDERGRAD_ANALYST, "UNDERGRADUATE"),
+        (A.PROGRAM_TYPE_ACCESS, R.GRADUATE_ANALYST, "GRADUATE"),
+    ]
+    return literal_table(spark, everyone + limited, schemas.ENTITLEMENTS)
+
+
+def standard_codes(spark: SparkSession) -> DataFrame:
+    """What departments and programme types are parts of."""
+    departments = [(A.DEPARTMENT_ACCESS, code, BUSINESS_SCHOOL) for code in A.EXAMPLE_DEPARTMENTS[R.BUSINESS_SCHOOL_ANALYST]]
+    return literal_table(spark, [*departments, (A.PROGRAM_TYPE_ACCESS, "DOCTORAL", "GRADUATE")], schemas.CODES)
+
+
 # -- attachments --------------------------------------------------------------
 
 

@@ -37,6 +37,9 @@ ROLE_GRANTS = "child string, parent string"
 
 USER_GRANTS = "user_name string, role_name string"
 
+ENTITLEMENTS = "policy_name string, role_name string, code string"  # a null code: every value, a missing one too
+CODES = "policy_name string, code string, parent string"
+
 GRANTS = """
     role_name string, privilege string, object_type string,
     database_name string, schema_name string, scope string
