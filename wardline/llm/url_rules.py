@@ -2,7 +2,8 @@
 
 FP-growth finds the combinations of URL tokens that go with a bad label often enough and
 surely enough. Each combination is filed under its rarest token; the tokens of a URL look
-up what is filed under them, and the rest of the combination is compared.
+up what is filed under them, and the rest of the combination is compared. What a verdict
+reports as confidence is that of the surest rule that holds.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 BLOCK, ALLOW = "block", "allow"
-LABEL = "label=bad"
-BROADCAST_RULES = 20_000
+BROADCAST_TOKENS = 50_000  # of all rules together
 
 
 @dataclass(frozen=True)
@@ -65,27 +65,84 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda t: ~t.rlike(r"=\d*$")))
 
 
-def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(rule, tokens, rarest, confidence) from labelled URLs: ``tokens`` and ``bad`` of each.
+_RULES = "rule bigint, alternatives array<array<string>>, rarest array<string>, confidence double"
+
+
+def _containing(baskets: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``baskets`` (id, own) and ``sets`` (rule, needed, rarest) where the one holds the other.
 
-    Without enough labelled URLs there is no combination.
+    Sets are filed under their rarest item, which the items of a basket look up.
     """
-    rows = written(labelled.select("tokens", "bad").filter(F.size("tokens") > 0))
-    total = rows.count()
-    empty = rows.sparkSession.createDataFrame([], "rule bigint, tokens array<string>, rarest string, confidence double")
-    if total < settings.least_count:
-        return empty
-    baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
-    least = max(settings.least_count / total, settings.support)
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=settings.confidence).fit(baskets)
-    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(LABEL)))
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    ruled = found.select(F.xxhash64(F.array_join(F.sort_array("antecedent"), " ")).alias("rule"), F.col("antecedent").alias("tokens"), "confidence")
-    rare = (
-        ruled.select("rule", F.explode("tokens").alias("token")).join(single, "token")
-        .groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
+    found = baskets.select("id", "own", F.explode("own").alias("item")).join(sets.withColumnRenamed("rarest", "item"), "item")
+    return found.filter(F.forall("needed", lambda t: F.array_contains("own", t))).select("id", "rule")
+
+
+def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Rules (rule, alternatives, rarest, confidence) from labelled URLs: ``tokens`` and ``bad`` of each.
+
+    A rule holds for a URL that has one token at least of each of its ``alternatives``:
+    tokens that stand in the very same labelled URLs are one item to FP-growth, since any of
+    them says what all say, and forty names of one query would else be a million million
+    combinations. Tokens that are rules by themselves are left out of longer ones, and the
+    other rules are minimal, too: what contains a rule is judged by that rule already.
+    FP-growth reads the bad URLs only; how many good ones hold a combination is counted
+    through the index. Without enough labelled URLs there is no rule.
+    """
+    spark = labelled.sparkSession
+    rows = written(labelled.filter(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("id"), "tokens", "bad"))
+    total = rows.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    least = max(settings.least_count, settings.support * total["n"])
+    if total["bad"] < least:
+        return spark.createDataFrame([], _RULES)
+    each = rows.select("id", "bad", F.explode("tokens").alias("token"))
+    # two checksums of the URLs a token stands in, so that the same ones are known without listing them
+    counted = written(
+        each.groupBy("token")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if("bad").alias("n_bad"),
+            F.bit_xor(F.xxhash64("id")).alias("mark"),
+            F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("mark2"),
+        )
+        .filter(F.col("n_bad") >= least)
+    )
+    sure = F.col("n_bad") / F.col("n") >= settings.confidence
+    alone = counted.filter(sure).select(
+        F.array("token").alias("needed"), F.array(F.array("token")).alias("alternatives"), F.array("token").alias("rarest"),
+        (F.col("n_bad") / F.col("n")).alias("confidence"),
+    )
+    items = written(
+        counted.filter(~sure).groupBy("n", "n_bad", "mark", "mark2").agg(F.min("token").alias("item"), F.collect_list("token").alias("members"))
     )
-    return written(ruled.join(rare, "rule").select("rule", "tokens", "rarest", "confidence"))
+    member = items.select(F.explode("members").alias("token"), "item")
+    baskets = written(
+        each.join(member, "token").groupBy("id", "bad").agg(F.collect_set("item").alias("own")).filter(F.size("own") > 1)
+    )
+    bad = baskets.filter("bad").select(F.col("own").alias("items"))
+    many = bad.count()
+    if many < least:
+        return written(alone.select(F.xxhash64("needed").alias("rule"), "alternatives", "rarest", "confidence"))
+    model = FPGrowth(itemsCol="items", minSupport=least / many, minConfidence=1.0).fit(bad)
+    sets = model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= least)).select(
+        F.xxhash64(F.sort_array("items")).alias("rule"), F.col("items").alias("needed"), "freq"
+    )
+    rare = (
+        sets.select("rule", F.explode("needed").alias("item")).join(items.select("item", "n"), "item")
+        .groupBy("rule").agg(F.min_by("item", F.struct("n", "item")).alias("rarest"))
+    )
+    sets = written(sets.join(rare, "rule"))
+    good = _containing(baskets.filter("not bad").select("id", "own"), sets.select("rule", "needed", "rarest")).groupBy("rule").agg(F.count("*").alias("good"))
+    confidence = F.col("freq") / (F.col("freq") + F.coalesce("good", F.lit(0)))
+    ruled = written(sets.join(good, "rule", "left").withColumn("confidence", confidence).filter(F.col("confidence") >= settings.confidence))
+    parts = ruled.select("rule", "needed", "rarest")
+    larger = _containing(parts.select(F.col("rule").alias("id"), F.col("needed").alias("own")), parts).filter("id <> rule")
+    minimal = ruled.join(larger.select(F.col("id").alias("rule")).distinct(), "rule", "left_anti")
+    named = (
+        minimal.select("rule", "needed", "rarest", "confidence", F.explode("needed").alias("item")).join(items.select("item", "members"), "item")
+        .groupBy("rule", "confidence").agg(F.collect_list("members").alias("alternatives"), F.first(F.when(F.col("item") == F.col("rarest"), F.col("members")), ignorenulls=True).alias("rarest"))
+    )
+    columns = ["rule", "alternatives", "rarest", "confidence"]
+    return written(named.select(*columns).unionByName(alone.select(F.xxhash64("needed").alias("rule"), *columns[1:])))
 
 
 def judge(pages: DataFrame, combinations: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -97,12 +154,12 @@ def judge(pages: DataFrame, combinations: DataFrame, settings: Settings = Settin
         F.monotonically_increasing_id().alias("row_id"), "page_id", "host", "path", rule.alias("rule"), listed.alias("listed"),
         tokens(F.col("host"), F.col("path"), F.col("url")).alias("own"),
     )
-    index = combinations.select(F.col("rarest").alias("token"), F.col("tokens").alias("needed"), F.col("confidence").alias("sure"))
-    if combinations.count() <= BROADCAST_RULES:
+    index = combinations.select(F.explode("rarest").alias("token"), F.col("alternatives").alias("needed"), F.col("confidence").alias("sure"))
+    if index.select(F.explode(F.flatten("needed"))).limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
         index = F.broadcast(index)
     # a page has at least one row, and the rows of a page meet again in its own task first
     looked_up = rows.select("row_id", "page_id", "host", "path", "rule", "listed", "own", F.explode_outer("own").alias("token")).join(index, "token", "left")
-    matched = F.when(F.col("needed").isNotNull() & F.forall("needed", lambda t: F.array_contains("own", t)), F.col("sure"))
+    matched = F.when(F.col("needed").isNotNull() & F.forall("needed", lambda t: F.arrays_overlap("own", t)), F.col("sure"))
     judged = looked_up.select("row_id", "page_id", "host", "path", "rule", "listed", matched.alias("sure")).groupBy("row_id").agg(
         *[F.first(c).alias(c) for c in ("page_id", "host", "path", "rule", "listed")], F.max("sure").alias("confidence")
     )
