@@ -120,3 +120,19 @@ def test_stage(spark, labelled):
     got = L.language_stage(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 4, 4, 6]
+
+
+def test_a_text_that_repeats_is_one_sample(spark):
+    """A third of all rows one text, and one language of that text alone: every language is learned, within the bound."""
+    spanish = [(i, f"el perro y la casa numero {'aeiou'[i % 5] * (i % 7)} del señor {i}", "es") for i in range(400)]
+    english = [(1000 + i, "the quick brown fox and the lazy dog", "en") for i in range(4000)]
+    french = [(9000 + i, f"le chat et la maison {'xyz'[i % 3] * (i % 11)} du monsieur {i}", "fr") for i in range(30)]
+    docs = spark.createDataFrame(spanish + english + french, "doc_id int, text string, lang string")
+    windows = L.labelled_windows(docs, L.Settings(per_language=50))
+    texts = {}
+    for text, lang in windows:
+        texts.setdefault(lang, []).append(text)
+    assert set(texts) == {"es", "en", "fr"} and len(texts["es"]) <= 100 and len(texts["en"]) <= 2 and 30 <= len(texts["fr"]) <= 60
+    assert sorted(windows) == sorted(L.labelled_windows(docs.repartition(5), L.Settings(per_language=50)))
+    found = {r.doc_id: r.lang_pred for r in L.op8_language_id(docs).collect()}
+    assert all(found[i] == "en" for i, *_ in english) and sum(found[i] == "fr" for i, *_ in french) >= 27

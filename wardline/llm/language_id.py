@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,24 +240,26 @@ def document_probabilities(net: Network, body: np.ndarray, offsets: np.ndarray,
 
 
 def labelled_windows(labelled: DataFrame, settings: Settings = Settings()) -> list[tuple[bytes, str]]:
-    """About ``per_language`` short passages of each label, chosen and placed by a hash of the row.
+    """At most ``per_language`` short passages of each label, of distinct texts; chosen and placed by a hash of the text.
 
-    The hash decides the same way on every run and every partitioning. What reaches the
-    driver is bounded by ``per_language`` times the number of languages.
+    A text that any number of rows repeat is one of its label's texts, so every label is
+    learned from as many as it has, up to the bound. Only hashes are shuffled to choose,
+    copies merging before; then the texts chosen are read again. What reaches the driver is
+    bounded by ``per_language`` times the number of languages.
     """
-    clean = labelled.select("text", "lang").filter(F.col("text").rlike(HAS_LETTER) & F.col("lang").isNotNull())
-    found = {r["lang"]: r["n"] for r in clean.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not found:
-        return []
-    full = 1 << 40
-    share = F.lit(0)
-    for lang, n in sorted(found.items()):
-        share = F.when(F.col("lang") == lang, int(min(1, settings.per_language / n) * full)).otherwise(share)
-    spread = F.xxhash64("text")
+    clean = (
+        labelled.select("text", "lang")
+        .filter(F.col("text").rlike(HAS_LETTER) & F.col("lang").isNotNull())
+        .withColumn("spread", F.xxhash64("text"))
+    )
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("spread"))
+    chosen = clean.select("lang", "spread").distinct().withColumn("nth", nth).filter(F.col("nth") <= settings.per_language).drop("nth")
     last = F.greatest(F.length("text") - settings.train_bytes, F.lit(1))
+    begin = (F.pmod(F.shiftrightunsigned("spread", 8), last) + 1).cast("int")
     rows = (
-        clean.filter(F.pmod(spread, F.lit(full)) < share)
-        .select("lang", F.substr("text", (F.pmod(F.shiftrightunsigned(spread, 8), last) + 1).cast("int"), F.lit(settings.train_bytes)).alias("text"))
+        clean.join(chosen, ["lang", "spread"], "left_semi")
+        .groupBy("lang", "spread")
+        .agg(F.min(F.substr("text", begin, F.lit(settings.train_bytes))).alias("text"))
         .collect()
     )
     return [(t.encode(), r["lang"]) for r in rows for t in (r["text"], r["text"].upper())[: 2 if len(r["text"]) % 3 == 0 else 1]]
@@ -311,7 +313,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op8_language_id(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Language of every document, learned from the labelled documents that are not held out."""
+    """Language of every document, learned from the labelled documents that are not held out.
+
+    Null and empty texts, and those without a letter, are ``und`` with score 0, as is every
+    text where there is no label to learn from. Null numbers are not held out. Rows that
+    repeat are judged alike, each by itself; an empty table gives no rows. Of a very long
+    text every byte is read, in windows. Columns beside ``doc_id``, ``text`` and ``lang``
+    are not read.
+    """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     net = fit(narrow.filter(~held_out(F.col("doc_id"))), settings)
     return predict(narrow, net, F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), settings=settings)
