@@ -105,3 +105,12 @@ def test_keys_joined_to_other_signs(spark):
         else:
             (span,) = row.markov
             assert key in text[span["start"] : span["end"]] and key not in row.out
+
+
+def test_the_sample_is_of_distinct_texts(spark):
+    """A text that most rows repeat counts once in the models, whatever its hash."""
+    docs = [(i, f"ordinary words of document {i} and key AKIA{'ABCDEFGHIJKLMNOP'[i % 16] * 16}") for i in range(60)]
+    once = spark.createDataFrame(docs, "doc_id int, text string")
+    often = once.unionByName(spark.createDataFrame([(100 + i, docs[3][1]) for i in range(500)], once.schema)).repartition(7)
+    for size in (10, 40, 1000):
+        assert S.fit(often, S.Settings(sample_docs=size)) == S.fit(once, S.Settings(sample_docs=size))
