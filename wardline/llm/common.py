@@ -43,6 +43,14 @@ def crc_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+FULL_SHARE = 1 << 40
+
+
+def hash_share(spread: Column, share: Column) -> Column:
+    """True for about the ``share`` (0 to 1) of all hashes; the same ones on every run and every partitioning."""
+    return F.pmod(spread, F.lit(FULL_SHARE)) < F.least(share, F.lit(1.0)) * FULL_SHARE
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

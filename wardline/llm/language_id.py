@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import text_buffer
+from wardline.llm.common import hash_share, text_buffer
 
 UNDETERMINED = "und"
 HAS_LETTER = r"\p{L}"
@@ -240,24 +240,30 @@ def document_probabilities(net: Network, body: np.ndarray, offsets: np.ndarray,
 
 
 def labelled_windows(labelled: DataFrame, settings: Settings = Settings()) -> list[tuple[bytes, str]]:
-    """At most ``per_language`` short passages of each label, of distinct texts; chosen and placed by a hash of the text.
+    """About ``per_language`` short passages of each label, of distinct texts; chosen and placed by a hash of the text.
 
     A text that any number of rows repeat is one of its label's texts, so every label is
-    learned from as many as it has, up to the bound. Only hashes are shuffled to choose,
-    copies merging before; then the texts chosen are read again. What reaches the driver is
-    bounded by ``per_language`` times the number of languages.
+    learned from as many as it has, up to the bound. The distinct texts of each label are
+    counted by their hashes, then those with a hash in the share that the bound allows are
+    read; copies merge before they are shuffled. What reaches the driver is bounded by
+    ``per_language`` times the number of languages.
     """
     clean = (
         labelled.select("text", "lang")
         .filter(F.col("text").rlike(HAS_LETTER) & F.col("lang").isNotNull())
         .withColumn("spread", F.xxhash64("text"))
     )
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("spread"))
-    chosen = clean.select("lang", "spread").distinct().withColumn("nth", nth).filter(F.col("nth") <= settings.per_language).drop("nth")
+    found = clean.groupBy("lang").agg(F.approx_count_distinct("spread", 0.02).alias("n")).collect()
+    if not found:
+        return []
+    share = F.lit(0.0)
+    for lang, n in sorted((r["lang"], r["n"]) for r in found):
+        # a label of few texts, give or take the error of the count, gives all of them
+        share = F.when(F.col("lang") == lang, min(1.0, settings.per_language / (0.9 * n))).otherwise(share)
     last = F.greatest(F.length("text") - settings.train_bytes, F.lit(1))
     begin = (F.pmod(F.shiftrightunsigned("spread", 8), last) + 1).cast("int")
     rows = (
-        clean.join(chosen, ["lang", "spread"], "left_semi")
+        clean.filter(hash_share(F.col("spread"), share))
         .groupBy("lang", "spread")
         .agg(F.min(F.substr("text", begin, F.lit(settings.train_bytes))).alias("text"))
         .collect()
