@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import doc_texts
+from wardline.llm.common import doc_texts, hash_share
 
 # The patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +29,7 @@ SPAN = "array<struct<start:int,end:int,value:double>>"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_docs`` bounds the fit: so many distinct texts are counted at most.
+    """``sample_docs`` bounds the fit: about so many distinct texts are counted.
 
     A candidate has ``least_signs`` characters, ``least_distinct`` of them different, and a
     mean ratio above ``threshold`` (natural logarithm, for each bigram).
@@ -121,14 +121,15 @@ def _bigrams(strings: DataFrame) -> DataFrame:
 def fit(texts: DataFrame, settings: Settings = Settings()) -> Ratios:
     """Ratios from (doc_id, text). Words of the sampled texts are ordinary, except those the patterns find.
 
-    The sample is ``sample_docs`` distinct texts at most, those with the least hashes: a text
-    that many rows repeat is one of them or none.
+    The sample is about ``sample_docs`` distinct texts, chosen by their hash: a text that many
+    rows repeat is one of them or none.
     Words count as they stand and in capitals, so that shouting is not taken for random.
     At most the square of the number of signs reaches the driver, twice.
     """
     keyed = texts.select("text", F.xxhash64("text").alias("spread"))
-    chosen = keyed.select("spread").distinct().orderBy("spread").limit(settings.sample_docs)
-    sample = keyed.join(F.broadcast(chosen), "spread", "left_semi").groupBy("spread").agg(F.min("text").alias("text"))
+    distinct = keyed.agg(F.approx_count_distinct("spread", 0.02)).first()[0]
+    share = F.lit(settings.sample_docs / max(1.0, 0.9 * distinct))  # few texts, give or take the error of the count, are all taken
+    sample = keyed.filter(hash_share(F.col("spread"), share)).groupBy("spread").agg(F.min("text").alias("text"))
     # value of an assignment, access keys, hex runs
     values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), 2), F.regexp_extract_all("text", F.lit(ACCESS), 0), F.regexp_extract_all("text", F.lit(HEX), 0))
     random = sample.filter(F.col("text").rlike(ANY_BASE)).select(F.explode(values).alias("s")).filter(F.length("s") >= 12)
