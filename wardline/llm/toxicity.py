@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import crc_held_out
+from wardline.llm.common import crc_held_out, hash_share
 
 # A sentence ends at these signs; one that runs on is cut after a word.
 SENTENCE = re.compile(r"[^.!?\n。！？]{1,1000}(?!\w)|[^.!?\n。！？]{1,1000}")
@@ -238,7 +238,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
         texts.select("doc_id", "text_key").join(marked, "doc_id").groupBy("text_key", "toxic").agg(F.min("doc_id").alias("doc_id"))
     )
     bounds = {1: settings.toxic_docs, 0: settings.clean_docs}
-    drawn = [distinct.filter(F.col("toxic") == label).orderBy("text_key").limit(n) for label, n in bounds.items()]
+    found = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+    def least_hashes(label: int) -> DataFrame:
+        """Of the texts with a label those of the least hashes; a few more than needed come to the sort."""
+        n = bounds[label]
+        share = F.lit((n + 6 * n**0.5) / max(1, found.get(label, 0)))
+        return distinct.filter((F.col("toxic") == label) & hash_share(F.col("text_key"), share)).orderBy("text_key").limit(n)
+
+    drawn = [least_hashes(label) for label in bounds]
     passage = F.when(F.length("text") <= settings.train_chars, F.col("text")).otherwise(
         F.substr(
             "text",
