@@ -1,7 +1,10 @@
 import re
 
+import duckdb
 import pytest
 
+from compare import differences
+
 from wardline.llm import licenses as L
 
 ROWS = [
@@ -46,10 +49,37 @@ def test_query(spark, sf_dir):
 def test_without_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame(ROWS, "doc_id int, text string")
     want = sorted(map(str, L.op6_license_scan(docs).collect()))
-    monkeypatch.setattr(L, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(L, "BROADCAST_GRAMS", 0)
     assert sorted(map(str, L.op6_license_scan(docs).collect())) == want
 
 
-def test_templates_of_one_word_are_refused(spark):
-    with pytest.raises(ValueError):
-        L.templates(spark, L.Settings(phrases=(("x", "word"),)))
+def test_short_templates_are_refused(spark):
+    for settings in (L.Settings(phrases=(("x", "word"),)), L.Settings(notices=(("x", "three words only"),))):
+        with pytest.raises(ValueError):
+            L.templates(spark, settings)
+
+
+def test_words_are_verified(spark):
+    mit = [text for label, text in L.NOTICES if label == "mit"][-1].split()
+    texts = {
+        "released under the released under the table": "",
+        "under the terms of the gnu general public license": "gpl",
+        "released under the terms of the released under the": "",
+        " ".join(mit): "mit",
+        "About us. " + " ".join(mit[:60] + ["very"] + mit[60:100] + mit[102:]) + " The end.": "mit",
+        " ".join(mit[60:]): "",
+        " ".join(reversed(mit)): "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in L.op6_license_scan(docs).collect()}
+    assert [got[i].labels for i in range(len(texts))] == list(texts.values())
+    longest = {r.doc_id: r for r in L.spans(docs).filter("past - first > 100").collect()}
+    assert sorted(longest) == [3, 4] and (longest[3].first, longest[3].past, longest[3].score) == (0, got[3].n_words, 1.0)
+    assert longest[4].first == 2 and 0.95 < longest[4].score < 1  # a word put in, two left out
+
+
+def test_sql_agrees_on_the_odd_rows(spark):
+    docs = spark.createDataFrame([r for r in ROWS if r[0] is not None] + [(20 + i, text) for i, (_, text) in enumerate(L.NOTICES)], "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert differences(L.op6_license_scan(docs).toArrow(), con.sql(L.op6_sql()).to_arrow_table()) == []
