@@ -1,7 +1,11 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from compare import differences
 
 from wardline.llm import quality as Q
 
@@ -50,3 +54,25 @@ def test_rules_are_data(spark, change):
 def test_plan_is_one_projection(spark, sf_dir):
     plan = Q.op7_quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_stop_words_by_language(spark):
+    russian = " ".join(f"слово{chr(1072 + i % 32)}{chr(1072 + i // 32)}" for i in range(300))
+    latin = " ".join(f"qar{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    german = latin + " und" * 1 + " der die das ist mit nicht sich"
+    rows = [(1, russian, None), (2, russian, "ru"), (3, latin, None), (4, latin, "fi"), (5, latin, "en"), (6, german, "de"), (7, german, "en"), (8, german, None), (9, russian, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in Q.op7_quality_rules(docs).collect()}
+    assert [i for i in got if got[i].kept] == [1, 2, 4, 6, 8] and {r.failed_rules for r in got.values()} == {"", "stop_words"}
+    assert [r.kept for r in Q.op7_quality_rules(docs.drop("lang")).orderBy("doc_id").collect()] == [True, True, False, False, False, True, True, True, True]
+    only = Q.op7_quality_rules(docs, stop_words={"fi": ["qaraa"]}).filter("doc_id = 4").first()
+    assert only.n_stop_words == 1 and not only.kept
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert differences(Q.op7_quality_rules(docs).toArrow(), con.sql(Q.op7_sql()).to_arrow_table()) == []
+
+
+def test_length_alone_is_no_fault(spark):
+    docs = spark.createDataFrame([(1,)], "doc_id int").select("doc_id", F.expr("concat_ws(' ', transform(sequence(1, 1100000), i -> if(i % 9 = 0, 'the', concat('w', i))))").alias("text"))
+    row = Q.op7_quality_rules(docs).first()
+    assert row.kept and row.n_words == 1100000
