@@ -1,6 +1,7 @@
 """Registry, catalogue, sinks and the session-variable view."""
 
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,28 @@ def test_closure_of_a_long_chain(spark):
     assert found == {(f"r{i}", f"r{j}") for i in range(300) for j in range(i + 1, 301)}
 
 
+def checkpoints(spark):
+    root = spark.sparkContext.getCheckpointDir()
+    if root is None:
+        return set()
+    path = Path(root.removeprefix("file:"))
+    return {found.name for found in path.iterdir() if found.name.startswith("rdd-")}
+
+
+def test_closure_leaves_its_last_round_only(spark):
+    pairs = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(20)], "role_name string, inherited_role string")
+    before = checkpoints(spark)
+    held = privileges.closure(pairs)
+    assert len(checkpoints(spark) - before) == 1 and held.count() == 20 * 21 // 2
+
+
+def test_matrix_takes_one_closure(spark, sf_dir, monkeypatch):
+    taken = []
+    inner = privileges.closure
+    monkeypatch.setattr(privileges, "closure", lambda pairs: taken.append(1) or inner(pairs))
+    assert privileges.role_access_matrix(demo.governance(spark, sf_dir)).count() > 0 and taken == [1]
+
+
 def test_closure_of_diamonds(spark):
     """Two to the twentieth paths, few pairs."""
     edges = [(f"t{i}", f"{side}{i}") for i in range(20) for side in "ab"] + [(f"{side}{i}", f"t{i + 1}") for i in range(20) for side in "ab"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators.access import METADATA_TYPES
 from wardline.sources.estate_tables import Governance
-from wardline.sources.storage import written
+from wardline.sources.storage import discard, written
 
 OBJECT = ["database_name", "schema_name", "object_type"]
 
@@ -21,18 +21,20 @@ def closure(pairs: DataFrame) -> DataFrame:
 
     Each round joins the distinct pairs with themselves, so paths double in length and a
     pair is kept once however many paths lead to it. It ends when a round adds no pair; a
-    cycle ends as well. Rounds are written to the shared folder.
+    cycle ends as well. Rounds are written to the shared folder; a round's files go once the
+    next one is written.
     """
     held, size = written(pairs.distinct()), -1
     while (now := held.count()) != size:
         size = now
         onward = held.select(F.col("role_name").alias("inherited_role"), F.col("inherited_role").alias("further"))
-        held = written(
+        before, held = held, written(
             held.join(onward, "inherited_role")
             .select("role_name", F.col("further").alias("inherited_role"))
             .union(held)
             .distinct()
         )
+        discard(before)
     return held
 
 
@@ -78,12 +80,12 @@ def role_closure_usage(gov: Governance) -> DataFrame:
     )
 
 
-def effective_grants(gov: Governance) -> DataFrame:
-    """Direct and inherited privileges of every role."""
+def effective_grants(gov: Governance, held: DataFrame | None = None) -> DataFrame:
+    """Direct and inherited privileges of every role; ``held`` is the closure, if it is there already."""
     grants = gov.grants.withColumnRenamed("role_name", "inherited_role")
+    held = role_closure(gov) if held is None else held
     return (
-        role_closure(gov)
-        .join(grants, "inherited_role")
+        held.join(grants, "inherited_role")
         .groupBy("role_name", "privilege", *OBJECT, "scope")
         .agg(F.max(F.col("inherited_role") == F.col("role_name")).alias("is_direct"))
     )
@@ -112,12 +114,12 @@ def effective_privileges(gov: Governance) -> DataFrame:
     )
 
 
-def layer_access(gov: Governance) -> DataFrame:
+def layer_access(gov: Governance, held: DataFrame | None = None) -> DataFrame:
     """Per role, database and layer: 2 = write, 1 = read. Absent = none."""
     estate = gov.estate
     rank = F.when(F.col("privilege").isin(*WRITE_PRIVILEGES), 2).when(F.col("privilege").isin(*READ_PRIVILEGES), 1)
     return (
-        effective_grants(gov)
+        effective_grants(gov, held)
         .filter(
             F.col("object_type").isin("TABLE", "VIEW")
             & (F.col("scope") == "ALL")
@@ -135,11 +137,13 @@ def role_access_matrix(gov: Governance) -> DataFrame:
     estate = gov.estate
     cells = [f"{env}_{layer}" for env in estate.environments for layer in estate.layers]
     cell = F.concat_ws("_", F.element_at(F.split("database_name", "_"), -1), "schema_name")
-    matrix = layer_access(gov).withColumn("cell", cell).groupBy("role_name").pivot("cell", cells).agg(F.max("access"))
+    held = role_closure(gov)
+    matrix = layer_access(gov, held).withColumn("cell", cell).groupBy("role_name").pivot("cell", cells).agg(F.max("access"))
     words = [
         F.when(F.col(c) == 2, "WRITE").when(F.col(c) == 1, "READ").otherwise("NONE").alias(c.lower()) for c in cells
     ]
-    roles = role_closure(gov).select("role_name").distinct()
+    # every role holds itself
+    roles = held.filter(F.col("role_name").eqNullSafe(F.col("inherited_role"))).select("role_name")
     return (
         roles.join(matrix, "role_name", "left")
         .join(role_usage(gov), "role_name", "left")

@@ -41,8 +41,8 @@ def _local_dir() -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut.
 
-    What a lost executor held is read from that folder again. The session's cleaner removes
-    the files once the frame is gone.
+    What a lost executor held is read from that folder again. The files stay until ``discard``,
+    or until the frame is gone in a session with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -50,6 +50,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that ``written`` returned and that nothing reads any more."""
+    files = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if files.isDefined():
+        remove_dir(frame.sparkSession, files.get())
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/wardline/{purpose}-{uuid.uuid4().hex}"
 
