@@ -1,8 +1,11 @@
 """Behaviour that matters on long tables: no broadcast needed, hot keys, bounded broadcasts."""
 
+import re
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -206,3 +209,31 @@ def test_results_do_not_depend_on_the_session_time_zone(spark, sf_dir, key):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert differences(result, connect(sf_dir).execute(entry.oracle_sql()[key]).to_arrow_table()) == []
+
+
+def leaves(df):
+    return len(re.findall(r"(?:FileScan|Scan ExistingRDD|LocalTableScan|InMemoryTableScan|Range) ", df._jdf.queryExecution().sparkPlan().toString()))
+
+
+@pytest.mark.parametrize("shape", ["nulls", "empty"])
+def test_view_counts_are_those_of_the_views(spark, sf_dir, shape):
+    gov = demo.governance(spark, sf_dir)
+
+    def changed(df, *blanked):
+        if shape == "empty":
+            return df.limit(0)
+        nulls = [df.withColumn(c, F.lit(None).cast(df.schema[c].dataType)) for c in blanked]
+        return reduce(DataFrame.unionByName, nulls, df.unionByName(df))
+
+    gov = gov.with_(
+        policy_references=changed(gov.policy_references, "ref_schema_name", "policy_name", "policy_kind", "ref_column_name"),
+        tag_references=changed(gov.tag_references, "object_schema", "tag_name", "column_name", "tag_value", "object_name"),
+    )
+    got = {r.view_name: r.row_count for r in views.view_row_counts(gov).collect()}
+    assert got == {name: view(gov).count() for name, view in views.VIEWS.items()}
+
+
+def test_shared_counts_read_their_table_once(spark, sf_dir):
+    gov = demo.governance(spark, sf_dir)
+    assert leaves(views._attachment_counts(gov)) == leaves(gov.policy_references)
+    assert leaves(views._tag_counts(gov)) == leaves(gov.tag_references)

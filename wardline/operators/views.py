@@ -7,6 +7,8 @@ multiplies a table by the columns or queries of another.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +176,10 @@ def v_tag_coverage_summary(gov: Governance) -> DataFrame:
     return tag_coverage_summary(gov).orderBy("schema_name", "tag_name")
 
 
+def _marks_pii() -> Column:
+    return (F.col("tag_name") == "CONTAINS_PII") & (F.col("tag_value") == "TRUE")
+
+
 def pii_columns(gov: Governance) -> DataFrame:
     """PII-tagged columns with their own sensitivity and compliance tags.
 
@@ -186,7 +192,7 @@ def pii_columns(gov: Governance) -> DataFrame:
     is_governed = (F.col("tag_database") == gov.estate.governance_database) & (
         F.col("tag_schema") == gov.estate.governance_schema
     )
-    marks_pii = is_governed & (F.col("tag_name") == "CONTAINS_PII") & (F.col("tag_value") == "TRUE")
+    marks_pii = is_governed & _marks_pii()
     return (
         gov.tag_references.filter(F.col("object_deleted").isNull() & F.col("column_name").isNotNull())
         .groupBy(*column)
@@ -487,13 +493,43 @@ VIEWS = {
 }
 
 
+def _attachment_counts(gov: Governance) -> DataFrame:
+    """One row: the sizes of the four policy views, from one row per kind, schema and policy."""
+    groups = gov.attachments().groupBy("policy_kind", "ref_schema_name", "policy_name").agg(F.count("*").alias("n"))
+    masks, named = F.col("policy_kind") == schemas.MASKING_KIND, F.col("ref_schema_name").isNotNull() & F.col("policy_name").isNotNull()
+    return groups.agg(
+        F.sum(F.when(masks, F.col("n"))).alias("V_MASKING_POLICY_REFERENCES"),
+        F.count_if(masks & named).alias("V_MASKING_POLICY_SUMMARY"),
+        F.sum(F.when(~masks, F.col("n"))).alias("V_ROW_ACCESS_POLICY_REFERENCES"),
+        F.count_if(~masks).alias("V_ROW_ACCESS_POLICY_SUMMARY"),
+    )
+
+
+def _tag_counts(gov: Governance) -> DataFrame:
+    """One row: the sizes of the three tag views, from one row per object, column and tag."""
+    marks = gov.live_tags().groupBy("object_database", "object_schema", "object_name", "column_name", "tag_name").agg(
+        F.count("*").alias("n"), F.max(F.coalesce(_marks_pii(), F.lit(False))).alias("pii")
+    )
+    named = F.col("object_schema").isNotNull() & F.col("tag_name").isNotNull()
+    return marks.agg(
+        F.sum("n").alias("V_TAGGED_OBJECTS"),
+        F.count_distinct(F.when(named, F.struct("object_schema", "tag_name"))).alias("V_TAG_COVERAGE_SUMMARY"),
+        F.count_if(F.col("pii") & F.col("column_name").isNotNull()).alias("V_PII_COLUMNS"),
+    )
+
+
 def view_row_counts(gov: Governance) -> DataFrame:
-    """Row count of every monitoring view."""
-    counts = None
-    for name, view in VIEWS.items():
-        one = view(gov).agg(F.count("*").alias("row_count")).select(F.lit(name).alias("view_name"), "row_count")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    """Row count of every monitoring view.
+
+    The views on attachments, and those on tags, are groupings of one table: its groups are
+    made once and give all their sizes. The other views are counted each by itself.
+    """
+    shared = [_attachment_counts(gov), _tag_counts(gov)]
+    alone = [name for name in VIEWS if not any(name in sizes.columns for sizes in shared)]
+    size = lambda name, value: F.struct(F.lit(name).alias("view_name"), F.coalesce(value, F.lit(0)).alias("row_count"))
+    counts = [sizes.select(F.inline(F.array(*[size(name, F.col(name)) for name in sizes.columns]))) for sizes in shared]
+    counts += [VIEWS[name](gov).agg(F.count("*").alias("n")).select(F.inline(F.array(size(name, F.col("n"))))) for name in alone]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def quick_check_unmasked(gov: Governance) -> DataFrame:

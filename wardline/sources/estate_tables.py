@@ -98,9 +98,13 @@ class Governance:
     def row_access_attachments(self) -> DataFrame:
         return self._governed_attachments(schemas.ROW_ACCESS_KIND)
 
-    def _governed_attachments(self, kind: str) -> DataFrame:
+    def attachments(self) -> DataFrame:
+        """Masks and row policies together, told by ``policy_kind``."""
+        return self._governed_attachments(schemas.MASKING_KIND, schemas.ROW_ACCESS_KIND)
+
+    def _governed_attachments(self, *kinds: str) -> DataFrame:
         return self.policy_references.filter(
-            (F.col("policy_kind") == kind)
+            F.col("policy_kind").isin(*kinds)
             & (F.col("policy_db") == self.estate.governance_database)
             & (F.col("policy_schema") == self.estate.governance_schema)
         )
