@@ -136,3 +136,14 @@ def test_a_text_that_repeats_is_one_sample(spark):
     assert sorted(windows) == sorted(L.labelled_windows(docs.repartition(5), L.Settings(per_language=50)))
     found = {r.doc_id: r.lang_pred for r in L.op8_language_id(docs).collect()}
     assert all(found[i] == "en" for i, *_ in english) and sum(found[i] == "fr" for i, *_ in french) >= 27
+
+
+def test_least_score_is_between_chance_and_certainty():
+    for n in (2, 4, 100):
+        assert L.least_score(n, 0.0) == pytest.approx(1 / n) and L.least_score(n, 1.0) == pytest.approx(1.0)
+        assert 1 / n < L.least_score(n, 0.05) < 1 / n + 0.05
+
+
+def test_one_language_only_rejects_nothing_lettered(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en") for i in range(30)] + [(30, "12 34", "en"), (31, None, "en")], "doc_id int, text string, lang string")
+    assert sorted(r.doc_id for r in L.language_stage(docs).collect()) == list(range(30))

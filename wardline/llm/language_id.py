@@ -332,17 +332,24 @@ def op8_language_id(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     return predict(narrow, net, F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), settings=settings)
 
 
-def language_stage(docs: DataFrame, lowest: float = 0.4, settings: Settings = Settings()) -> DataFrame:
-    """Documents whose language can be told: neither ``und`` nor below ``lowest``.
+def least_score(languages: int, margin: float) -> float:
+    """The probability that is ``margin`` of the way from chance to certainty, however many languages there are."""
+    return (1 + margin * (languages - 1)) / languages
 
-    Returns the rows with all columns as they were. Without any label to learn from, every
-    text with a letter stays.
+
+def language_stage(docs: DataFrame, margin: float = 0.05, settings: Settings = Settings()) -> DataFrame:
+    """Documents whose language can be told: not ``und``, and the best probability above chance by ``margin``.
+
+    Returns the rows with all columns as they were. Null and empty texts, and those without a
+    letter, go. Rows that repeat are judged alike, each by itself; an empty table gives no
+    rows; very long texts are read whole, in windows. Without any label to learn from, or
+    with one language only, every text with a letter stays.
     """
     lettered = docs.filter(F.col("text").rlike(HAS_LETTER))
     net = fit(docs.filter(~held_out(F.col("doc_id"))), settings)
-    if net is None:
+    if net is None or len(net.languages) == 1:
         return lettered
     names = docs.columns
     rows = lettered.select(*[F.col(n).alias(f"__{i}") for i, n in enumerate(names)], F.lit(True).alias("__lettered"))
     scored = _predicted(rows, net, settings, names.index("text"), len(names))
-    return scored.filter(F.col("score") >= lowest).select(*[F.col(f"__{i}").alias(n) for i, n in enumerate(names)])
+    return scored.filter(F.col("score") >= least_score(len(net.languages), margin)).select(*[F.col(f"__{i}").alias(n) for i, n in enumerate(names)])
