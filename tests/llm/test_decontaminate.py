@@ -178,3 +178,32 @@ def test_lookup_equals_plain():
                 if terms[whole].tolist() == part.words.tolist() and len(set(owner[whole])) == 1:
                     want.setdefault((int(owner[i]), p), i)
         assert {(d, p): i for d, i, p in D.Lookup(parts, 4).found(terms, owner)} == want
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 7, 64, 1000])
+def test_words_of_pieces_are_the_words(at_once):
+    rng = random.Random(at_once)
+    texts = ["", "a", "?!", "x" * 700, f"{'y' * 130} {'z' * 64}", *("".join(rng.choice("aB é.") for _ in range(rng.randrange(300))) for _ in range(40))]
+    for raw in (np.frombuffer(t.encode(), np.uint8) for t in texts):
+        want = D.hashed_words(raw, np.array([0, len(raw)]))[0].tolist()
+        assert [h for piece in D.hashed_pieces(raw, at_once) for h in piece.tolist()] == want
+
+
+def test_segments_change_nothing(spark):
+    """Items at, before and over the bounds of segments, verbatim and with words lost."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (5, 20, 40, 64, 90, 150)]
+    segment = D.Settings(bytes_at_once=1).segment
+    texts = []
+    for n in range(18):
+        own = items[n % 6] if n < 12 else [w for w in items[n % 6] if rng.random() > 0.12]
+        text = [word() for _ in range(3 * segment + n)]
+        for at in (segment - rng.randrange(len(own) + 20), 2 * segment - rng.randrange(40)):
+            text[at : at + len(own)] = own
+        texts.append(" ".join(text[: 2 * segment + len(own) // 2 if n % 3 == 0 else None]))
+    docs = spark.createDataFrame(list(enumerate([*texts, "z" * 5000, "short", " ".join(items[0])])), "doc_id int, text string")
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id int, text string")
+    results = [D.matches(docs, bench, D.Settings(bytes_at_once=b, products=p)).collect() for b, p in ((1 << 22, 1 << 23), (1, 1 << 23), (9000, 50))]
+    keys = [sorted((r.doc_id, r.item_id, r.first_word, r.past_word, round(r.common_share, 6), r.answer_found) for r in rows) for rows in results]
+    assert keys[0] == keys[1] == keys[2] and {(n, n % 6) for n in range(18)} <= {k[:2] for k in keys[0]}

@@ -33,7 +33,8 @@ class Settings:
     item's length in the latent space. A match has ``share`` of the item's weight in
     common, or ``share_answered`` and the answer. Words in more than ``common`` of the
     items do not span the space, except where a part has no other words. Verbatim parts are
-    looked up by their first ``lookup`` words and then compared whole.
+    looked up by their first ``lookup`` words and then compared whole. A text of more than
+    ``bytes_at_once`` is gone through in segments, and ``products`` cosines are taken at a time.
     """
 
     block: int = 2000
@@ -49,6 +50,17 @@ class Settings:
     lookup: int = 4
     seed: int = 11
     bytes_at_once: int = 1 << 18
+    products: int = 1 << 23
+
+    @property
+    def segment(self) -> int:
+        """Words of a segment of a long text: whole windows, whole steps."""
+        unit = self.window * self.step
+        return unit * max(1, self.bytes_at_once // (8 * unit))
+
+    def windows(self, words: np.ndarray) -> np.ndarray:
+        """How many windows texts of so many words have."""
+        return np.where(words > 0, np.maximum(0, -(-(words - self.window) // self.step)) + 1, 0)
 
 
 # ---------------------------------------------------------------- words of a buffer
@@ -82,7 +94,7 @@ def hashed_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _chunks(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of parts of the batch's last column; a text is never cut."""
+    """(first row, bytes, offsets) of parts of the batch's last column, each of whole texts."""
     body, offsets = text_buffer(batch.column(batch.num_columns - 1))
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -91,6 +103,30 @@ def _chunks(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[int, np.ndarr
         row = past
 
 
+def hashed_pieces(body: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """Hashes of the words of one text, ``at_once`` bytes at a time; a word may be longer than that."""
+    value, length = np.uint64(0), 0  # of a word that began in an earlier piece
+    for begin in range(0, len(body), at_once):
+        piece = body[begin : begin + at_once]
+        if length:
+            sign = _CLASS[piece]
+            ends = np.flatnonzero(sign == 0)
+            more = int(ends[0]) if len(ends) else len(piece)
+            value = np.append(_TABLE[(np.arange(length, length + more) & 63) << 8 | sign[:more]], value).sum(dtype=np.uint64)
+            length += more
+            if more == len(piece):
+                continue
+            yield np.array([value])
+            piece, length = piece[more:], 0
+        hashes, _, place = hashed_words(piece, np.array([0, len(piece)]))
+        if len(hashes) and _CLASS[piece[-1]]:
+            value, length = hashes[-1], len(piece) - int(place[-1])
+            hashes = hashes[:-1]
+        yield hashes
+    if length:
+        yield np.array([value])
+
+
 # ---------------------------------------------------------------- benchmark
 
 
@@ -145,6 +181,40 @@ def prepare(items: list[tuple[int, str]], settings: Settings = Settings()) -> Be
     return Benchmark(vocabulary, spans, tuple(parts))
 
 
+@dataclass(frozen=True)
+class Segment:
+    """Terms of some whole texts, or of a part of one long text and the words around it.
+
+    ``counts`` and ``windows`` are those of each text, the first text in ``row``. ``base``
+    words of a long text come before; the first ``lead`` of the terms and those after ``own``
+    more belong to other segments, which have the windows that begin there.
+    """
+
+    row: int
+    terms: np.ndarray
+    counts: np.ndarray
+    windows: np.ndarray
+    base: int = 0
+    lead: int = 0
+    own: int | None = None
+
+
+def _segments(batch: pa.RecordBatch, bench: Benchmark, settings: Settings) -> Iterator[Segment]:
+    for row, body, offsets in _chunks(batch, settings.bytes_at_once):
+        if len(body) <= settings.bytes_at_once:
+            hashes, owner, _ = hashed_words(body, offsets)
+            counts = np.bincount(owner, minlength=len(offsets) - 1)
+            yield Segment(row, bench.terms(hashes), counts, settings.windows(counts))
+            continue
+        pieces = hashed_pieces(body, settings.bytes_at_once)
+        terms = np.concatenate([bench.terms(h).astype(np.int32) for h in pieces])
+        size, windows = settings.segment, settings.windows(np.array([len(terms)]))
+        for at in range(0, len(terms), size):
+            low, high = max(0, at - settings.step), min(len(terms), at + size + settings.window + settings.step)
+            own = np.clip(windows - at // settings.step, 0, size // settings.step)
+            yield Segment(row, terms[low:high].astype(np.int64), np.array([high - low]), own, low, at - low, size)
+
+
 # ---------------------------------------------------------------- latent space
 
 
@@ -177,14 +247,16 @@ def _sketcher(bench: Benchmark, settings: Settings):
         omega = _omega(bench, settings)
         df, g, passages = np.zeros(len(omega), np.int64), np.zeros(omega.shape, np.float64), 0
         for batch in batches:
-            for _, body, offsets in _chunks(batch, settings.bytes_at_once):
-                hashes, owner, _ = hashed_words(body, offsets)
-                counts = np.bincount(owner, minlength=len(offsets) - 1)
+            for part in _segments(batch, bench, settings):
+                terms, counts = part.terms, part.counts
+                if part.own is not None:
+                    terms = terms[part.lead : part.lead + part.own]
+                    counts = np.array([len(terms)])
+                owner = np.repeat(np.arange(len(counts)), counts)
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 per = -(-counts // settings.window)
                 passage = (np.cumsum(per) - per)[owner] + nth // settings.window
                 passages += int(per.sum())
-                terms = bench.terms(hashes)
                 _sketched(terms[terms >= 0], passage[terms >= 0], bench, omega, df, g)
         seen = np.flatnonzero(df)
         columns = [pa.array(g[seen, j]) for j in range(settings.sketch)]
@@ -324,25 +396,28 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
     most = [{int(t): float(n * space.weight[t]) for t, n in zip(*np.unique(p.words, return_counts=True))} for p in bench.parts]
     needed = [min(settings.share, settings.share_answered) * sum(m.values()) * (1 - 1e-5) for m in most]
 
-    def candidates(terms: np.ndarray, counts: np.ndarray):
-        """(document, first word, part, cosine) of the windows that come near a part, best first in each document."""
+    at_once = max(1, settings.products // len(bench.parts))
+
+    def candidates(segment: Segment):
+        """(document, first word, part, cosine) of the windows that come near a part; cosines are rounded, so equal ones tie."""
+        terms, counts, per = segment.terms, segment.counts, segment.windows
         heads = np.cumsum(counts) - counts
         place = np.flatnonzero((terms >= 0) & bench.spans[terms])
-        sums = np.concatenate([np.zeros((1, space.basis.shape[1]), np.float32), np.cumsum(space.basis[terms[place]], axis=0)])
-        per = np.where(counts > 0, np.maximum(0, -(-(counts - settings.window) // settings.step)) + 1, 0)
+        sums = np.zeros((len(place) + 1, space.basis.shape[1]))
+        np.cumsum(space.basis[terms[place]], axis=0, dtype=np.float64, out=sums[1:])
         owner = np.repeat(np.arange(len(counts)), per)
-        start = heads[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * settings.step
+        start = heads[owner] + segment.lead + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * settings.step
         past = np.minimum(start + settings.window, (heads + counts)[owner])
         low, high = np.searchsorted(place, start), np.searchsorted(place, past)
         some = np.flatnonzero(high > low)
-        for at in range(0, len(some), 1 << 14):
-            rows = some[at : at + (1 << 14)]
+        for at in range(0, len(some), at_once):
+            rows = some[at : at + at_once]
             vectors = (sums[high[rows]] - sums[low[rows]]).astype(np.float32)
             dots = vectors @ space.items.T
             norms = np.linalg.norm(vectors, axis=1)
             near = (dots >= settings.mass * length**2) & (dots >= settings.cosine * norms[:, None] * length)
             for i, p in zip(*np.nonzero(near)):
-                yield int(owner[rows[i]]), int(start[rows[i]]), int(p), float(dots[i, p] / (norms[i] * length[p]))
+                yield int(owner[rows[i]]), int(start[rows[i]]), int(p), round(float(dots[i, p] / (norms[i] * length[p])), 4)
 
     def cosine_at(terms: np.ndarray, p: int) -> float:
         """Cosine of a part and the passage of ``terms``."""
@@ -352,20 +427,23 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, ids = [], batch.column(0).to_pylist()
-            for row, body, offsets in _chunks(batch, settings.bytes_at_once):
-                hashes, owner, _ = hashed_words(body, offsets)
-                counts = np.bincount(owner, minlength=len(offsets) - 1)
+            ids = batch.column(0).to_pylist()
+            # by row and item: the best window, and the first place where a part stands word for word
+            best: dict[tuple[int, int], tuple] = {}
+            placed: dict[tuple[int, int], tuple] = {}
+            for segment in _segments(batch, bench, settings):
+                terms, counts, base = segment.terms, segment.counts, segment.base
                 heads = np.cumsum(counts) - counts
-                terms = bench.terms(hashes)
                 found: dict[tuple[int, int], list] = {}
                 present: dict[tuple[int, int], set] = {}
-                done: set[tuple[int, int]] = set()
-                for doc, start, p, cosine in candidates(terms, counts):
+                for doc, start, p, cosine in candidates(segment):
                     found.setdefault((doc, bench.parts[p].item), []).append((-cosine, start, p))
                 for (doc, item), windows in found.items():
-                    low, high = heads[doc], heads[doc] + counts[doc]
+                    low, high, key = heads[doc], heads[doc] + counts[doc], (segment.row + doc, item)
                     for minus, start, p in sorted(windows):
+                        rank = (minus, int(start - low + base), p)
+                        if key in best and best[key][0] <= rank:
+                            break
                         a, b = max(low, start - settings.step), min(high, start + settings.window + settings.step)
                         if (a, b) not in present:
                             present[a, b] = set(terms[a:b].tolist())
@@ -373,16 +451,17 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
                             continue
                         if seen := _verified(bench.parts[p], terms[a:b], space, settings):
                             share, answered, used = seen
-                            out.append((ids[row + doc], item, int(a + used[0] - low), int(a + used[-1] - low + 1), min(1.0, -minus), share, answered))
-                            done.add((doc, item))
+                            first, past = (int(a + used[n] - low + base) for n in (0, -1))
+                            best[key] = rank, (first, past + 1, min(1.0, -minus), share, answered)
                             break
-                for doc, at, p in lookup.found(terms, owner):
+                for doc, at, p in lookup.found(terms, np.repeat(np.arange(len(counts)), counts)):
                     part = bench.parts[p]
-                    if (doc, part.item) not in done:
-                        done.add((doc, part.item))
+                    key, first = (segment.row + doc, part.item), int(at - heads[doc] + base)
+                    if key not in best and (key not in placed or (first, p) < placed[key][0]):
                         near = cosine_at(terms[at : min(heads[doc] + counts[doc], at + settings.window)], p)
-                        first = int(at - heads[doc])
-                        out.append((ids[row + doc], part.item, first, first + len(part.words), max(-1.0, min(1.0, near)), 1.0, part.answer > 0))
+                        row = first, first + len(part.words), max(-1.0, min(1.0, near)), 1.0, part.answer > 0
+                        placed[key] = (first, p), row
+            out = [(ids[row], item, *values) for (row, item), (_, values) in (placed | best).items()]
             columns = list(zip(*out)) or [()] * 7
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             names = ["doc_id", "item_id", "first_word", "past_word", "cosine", "common_share", "answer_found"]
@@ -395,9 +474,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     """(doc_id, item_id, first_word, past_word, cosine, common_share, answer_found): items found in documents.
 
     A row of ``docs`` and an item that match give one row, with the best window; the words
-    are counted from 0. Null and empty texts match nothing. Items with one number are one
-    item; null numbers are left out. The benchmark is searched block by block, so what is
-    sent to the tasks is bounded by ``block`` items.
+    are counted from 0. Null and empty texts match nothing; rows that repeat, also with one
+    number, each have their own matches; a null number stays null. Very long texts are searched
+    whole, segment by segment; only their words' places in the vocabulary are held at once.
+    Without documents or items there are no rows. Items with one number are one item; null
+    numbers are left out. The benchmark is searched block by block, so what is sent to the
+    tasks is bounded by ``block`` items.
     """
     texts = doc_texts(docs)
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
@@ -413,7 +495,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
 
 def op4_decontamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that hold an item of the benchmark, with the item and the place."""
+    """The documents that hold an item of the benchmark, with the item and the place; all cases as in ``matches``."""
     return matches(docs, benchmark, settings)
 
 
