@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class Settings:
     common, or ``share_answered`` and the answer. Words in more than ``common`` of the
     items do not span the space, except where a part has no other words. Verbatim parts are
     looked up by their first ``lookup`` words and then compared whole. A text of more than
-    ``bytes_at_once`` is gone through in segments, and ``products`` cosines are taken at a time.
+    ``bytes_at_once`` is gone through in segments, and ``products`` cosines are taken at a time. ``window`` is a multiple of ``step``.
     """
 
     block: int = 2000
@@ -50,7 +51,7 @@ class Settings:
     lookup: int = 4
     seed: int = 11
     bytes_at_once: int = 1 << 18
-    products: int = 1 << 23
+    products: int = 1 << 19
 
     @property
     def segment(self) -> int:
@@ -90,7 +91,8 @@ def hashed_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     at = np.arange(first, len(body)) - np.repeat(start, np.diff(np.append(start, len(body))))
     value = _TABLE[(at & 63) << 8 | sign[first:]]
     value[~on[first:]] = 0
-    return np.add.reduceat(value, start - first), np.searchsorted(offsets, start, "right") - 1, start
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return np.add.reduceat(value, start - first), owner, start
 
 
 def _chunks(batch: pa.RecordBatch, at_once: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -147,8 +149,20 @@ class Benchmark:
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Places in the vocabulary; -1 for other words."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
+        shift, heads, deepest = self._slots
+        at, found = heads[hashes >> shift], np.full(len(hashes), -1)
+        for n in range(deepest):
+            probe = np.minimum(at + n, len(self.vocabulary) - 1)
+            found = np.where(self.vocabulary[probe] == hashes, probe, found)
+        return found
+
+    @cached_property
+    def _slots(self) -> tuple[np.uint64, np.ndarray, int]:
+        """The vocabulary by the first bits of its hashes: where each slot begins, and how many the fullest has."""
+        bits = len(self.vocabulary).bit_length() + 3
+        shift = np.uint64(64 - bits)
+        counts = np.bincount(self.vocabulary >> shift, minlength=1 << bits)
+        return shift, np.cumsum(counts) - counts, int(counts.max())
 
 
 def prepare(items: list[tuple[int, str]], settings: Settings = Settings()) -> Benchmark | None:
@@ -396,28 +410,41 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
     most = [{int(t): float(n * space.weight[t]) for t, n in zip(*np.unique(p.words, return_counts=True))} for p in bench.parts]
     needed = [min(settings.share, settings.share_answered) * sum(m.values()) * (1 - 1e-5) for m in most]
 
+    least = settings.mass * length**2
+    across = settings.window // settings.step
     at_once = max(1, settings.products // len(bench.parts))
 
     def candidates(segment: Segment):
         """(document, first word, part, cosine) of the windows that come near a part; cosines are rounded, so equal ones tie."""
         terms, counts, per = segment.terms, segment.counts, segment.windows
         heads = np.cumsum(counts) - counts
+        # the basis is summed over steps of words; after each text stand empty steps
+        steps = -(-counts // settings.step) + across - 1
+        begin = np.cumsum(steps) - steps
         place = np.flatnonzero((terms >= 0) & bench.spans[terms])
-        sums = np.zeros((len(place) + 1, space.basis.shape[1]))
-        np.cumsum(space.basis[terms[place]], axis=0, dtype=np.float64, out=sums[1:])
+        doc = np.repeat(np.arange(len(counts)), counts)[place]
+        at = begin[doc] + (place - heads[doc]) // settings.step
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        sums, filled = np.zeros((int(steps.sum()), space.basis.shape[1]), np.float32), np.zeros(int(steps.sum()), bool)
+        if len(at):
+            sums[at[first]] = np.add.reduceat(space.basis[terms[place]], first, axis=0)
+            filled[at[first]] = True
         owner = np.repeat(np.arange(len(counts)), per)
-        start = heads[owner] + segment.lead + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * settings.step
-        past = np.minimum(start + settings.window, (heads + counts)[owner])
-        low, high = np.searchsorted(place, start), np.searchsorted(place, past)
-        some = np.flatnonzero(high > low)
-        for at in range(0, len(some), at_once):
-            rows = some[at : at + at_once]
-            vectors = (sums[high[rows]] - sums[low[rows]]).astype(np.float32)
+        nth = segment.lead // settings.step + np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        bucket = begin[owner] + nth
+        some = np.flatnonzero(np.logical_or.reduce([filled[bucket + n] for n in range(across)]))
+        for low in range(0, len(some), at_once):
+            rows = some[low : low + at_once]
+            vectors = sums[bucket[rows]]
+            for n in range(1, across):
+                vectors += sums[bucket[rows] + n]
             dots = vectors @ space.items.T
-            norms = np.linalg.norm(vectors, axis=1)
-            near = (dots >= settings.mass * length**2) & (dots >= settings.cosine * norms[:, None] * length)
-            for i, p in zip(*np.nonzero(near)):
-                yield int(owner[rows[i]]), int(start[rows[i]]), int(p), round(float(dots[i, p] / (norms[i] * length[p])), 4)
+            i, part = np.divmod(np.flatnonzero(dots >= least), len(least))
+            cosine = dots[i, part] / (np.linalg.norm(vectors[i], axis=1) * length[part])
+            near = cosine >= settings.cosine
+            i, part, cosine = rows[i[near]], part[near], np.round(cosine[near].astype(np.float64), 4)
+            start = heads[owner[i]] + nth[i] * settings.step
+            yield from zip(owner[i].tolist(), start.tolist(), part.tolist(), cosine.tolist())
 
     def cosine_at(terms: np.ndarray, p: int) -> float:
         """Cosine of a part and the passage of ``terms``."""
@@ -434,20 +461,21 @@ def _searcher(bench: Benchmark, space: Space, settings: Settings):
             for segment in _segments(batch, bench, settings):
                 terms, counts, base = segment.terms, segment.counts, segment.base
                 heads = np.cumsum(counts) - counts
+                ends, count = np.cumsum(counts).tolist(), counts.tolist()
                 found: dict[tuple[int, int], list] = {}
                 present: dict[tuple[int, int], set] = {}
                 for doc, start, p, cosine in candidates(segment):
                     found.setdefault((doc, bench.parts[p].item), []).append((-cosine, start, p))
                 for (doc, item), windows in found.items():
-                    low, high, key = heads[doc], heads[doc] + counts[doc], (segment.row + doc, item)
+                    low, high, key = ends[doc] - count[doc], ends[doc], (segment.row + doc, item)
                     for minus, start, p in sorted(windows):
-                        rank = (minus, int(start - low + base), p)
+                        rank = (minus, start - low + base, p)
                         if key in best and best[key][0] <= rank:
                             break
                         a, b = max(low, start - settings.step), min(high, start + settings.window + settings.step)
                         if (a, b) not in present:
                             present[a, b] = set(terms[a:b].tolist())
-                        if sum(most[p][t] for t in present[a, b] & most[p].keys()) < needed[p]:
+                        if sum(map(most[p].__getitem__, most[p].keys() & present[a, b])) < needed[p]:
                             continue
                         if seen := _verified(bench.parts[p], terms[a:b], space, settings):
                             share, answered, used = seen
