@@ -20,7 +20,7 @@ from wardline.functions import rowaccess as A
 from wardline.operators import access, policy_checks, privileges, secure, session_views, tags, views
 from wardline.operators.entitlements import EntitlementPolicy
 from wardline.plans import audits, report
-from wardline.sources import demo, registry, storage
+from wardline.sources import column_snapshots, demo, registry, storage
 from wardline.sources.estate_tables import Governance, read_governance
 from wardline.sources.query_log import write_query_history
 from wardline.streaming import alerts
@@ -237,6 +237,23 @@ def _new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.new_ungoverned_columns(demo.governance(spark, sf_dir), demo.earlier_columns(spark, sf_dir))
 
 
+def _snapshots(spark: SparkSession, *catalogues: DataFrame) -> list[str]:
+    paths = [storage.fresh_dir(spark, "columns") for _ in catalogues]
+    for columns, path in zip(catalogues, paths):
+        column_snapshots.write_column_snapshot(columns, path)
+    return paths
+
+
+def _stored_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gov = demo.governance(spark, sf_dir)
+    return report.new_ungoverned_since(gov, *_snapshots(spark, demo.earlier_columns(spark, sf_dir), gov.columns))
+
+
+def _column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present = demo.governance(spark, sf_dir).columns
+    return column_snapshots.column_changes(spark, *_snapshots(spark, demo.former_columns(spark, sf_dir), present))
+
+
 def _history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -410,6 +427,8 @@ def queries() -> dict[str, Query]:
         "daily_pii_check": _daily_check,
         "audit_trend": _trend,
         "new_ungoverned_columns": _new_columns,
+        "stored_new_ungoverned_columns": _stored_new_columns,
+        "column_changes": _column_changes,
         # streams
         "stream_after_hours_alerts": _stream_alerts,
         "stream_access_volume": _stream_volume,

@@ -35,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
     found["exported_coverage"] = found["v_governance_coverage_report"]
     found["session_view"] = found["secured_table_registrar_analyst"]
     found["stored_access_frequency"] = found["v_table_access_frequency"]
+    found["stored_new_ungoverned_columns"] = found["new_ungoverned_columns"]
     found["stored_access_by_object"] = found["audit_06_by_object"]
     found["stored_after_hours_by_object"] = found["audit_07_by_object"]
     found["stored_retention_due"] = found["retention_due"]

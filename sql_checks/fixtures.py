@@ -70,6 +70,11 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         "CASE WHEN CAST(substr(table_name, 2) AS INT) % 10 = 3 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type "
         "FROM columns",
     ),
+    "former_columns": (
+        ("columns",),
+        f"SELECT {_columns_of(demo.FORMER_COLUMNS)} FROM columns, (VALUES ('', 0), ('_GONE', 1)) AS g(gone, n) "
+        f"WHERE {demo.FORMER_COLUMNS_WHERE}",
+    ),
     "user_grants": ((), f"SELECT {_columns_of(demo.USER_GRANTS)} FROM customer WHERE {demo.USER_GRANTS_WHERE}"),
     "role_tree": ((), f"SELECT {_columns_of(demo.ROLE_TREE)} FROM part"),
     "env_policy_references": (

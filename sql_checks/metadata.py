@@ -619,6 +619,27 @@ SQL: dict[str, str] = {
         *V8_READS,
         **V8,
     ),
+    "column_changes": sql(
+        """SELECT b.cat AS table_catalog, b.sch AS table_schema, b.tab AS table_name, coalesce(b.now, b.was) AS column_name,
+             CASE WHEN p.new_name IS NOT NULL THEN 'RENAMED' ELSE b.change END AS change,
+             coalesce(p.old_name, b.was) AS earlier_name,
+             CASE WHEN p.new_name IS NOT NULL THEN b.new_type ELSE b.old_type END AS earlier_type, b.new_type AS data_type
+           FROM changed b LEFT JOIN pairs p ON p.cat = b.cat AND p.sch = b.sch AND p.tab = b.tab AND b.change = 'ADDED' AND p.new_name = b.now
+           WHERE NOT (b.change = 'REMOVED' AND EXISTS (SELECT 1 FROM pairs q
+             WHERE q.cat = b.cat AND q.sch = b.sch AND q.tab = b.tab AND q.old_name = b.was))""",
+        "columns",
+        "former_columns",
+        changed="""SELECT *, CASE WHEN was IS NULL THEN 'ADDED' WHEN now IS NULL THEN 'REMOVED' ELSE 'RETYPED' END AS change FROM (
+             SELECT coalesce(c.table_catalog, f.table_catalog) AS cat, coalesce(c.table_schema, f.table_schema) AS sch,
+               coalesce(c.table_name, f.table_name) AS tab, f.column_name AS was, c.column_name AS now,
+               f.data_type AS old_type, c.data_type AS new_type
+             FROM columns c FULL JOIN former_columns f ON c.table_catalog = f.table_catalog AND c.table_schema = f.table_schema
+               AND c.table_name = f.table_name AND c.column_name = f.column_name)
+           WHERE was IS NULL OR now IS NULL OR old_type <> new_type""",
+        pairs="""SELECT cat, sch, tab, coalesce(new_type, old_type) AS kind, max(was) AS old_name, max(now) AS new_name
+           FROM changed WHERE change <> 'RETYPED' GROUP BY ALL
+           HAVING count(was) = 1 AND count(now) = 1""",
+    ),
     "new_ungoverned_columns": sql(
         f"SELECT v8.* FROM v8 JOIN columns c ON c.table_catalog = v8.database_name AND c.table_schema = v8.schema_name "
         f"AND c.table_name = v8.table_name AND c.column_name = v8.column_name "

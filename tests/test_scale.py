@@ -33,6 +33,8 @@ JOINING = [
     "audit_11",
     "audit_12",
     "new_ungoverned_columns",
+    "stored_new_ungoverned_columns",
+    "column_changes",
 ]
 
 

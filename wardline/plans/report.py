@@ -20,6 +20,7 @@ from wardline.plans.audits import (
     VERY_HIGH_VOLUME,
 )
 from wardline.sources import storage
+from wardline.sources.column_snapshots import new_columns
 from wardline.sources.estate_tables import Governance
 
 # The report's wording.
@@ -227,7 +228,15 @@ def audit_trend(log: DataFrame) -> DataFrame:
 def new_ungoverned_columns(gov: Governance, earlier_columns: DataFrame) -> DataFrame:
     """Sensitive columns that are new since an earlier catalogue and not yet masked and tagged."""
     key = V.CATALOG_COLUMN
-    new = gov.columns.join(earlier_columns.select(*key), key, "left_anti")
+    return _ungoverned(gov, gov.columns.join(earlier_columns.select(*key), key, "left_anti"))
+
+
+def new_ungoverned_since(gov: Governance, earlier: str, later: str) -> DataFrame:
+    """The same from two stored snapshots: catalogue rows of unchanged schemas are not read."""
+    return _ungoverned(gov, new_columns(gov.spark, earlier, later))
+
+
+def _ungoverned(gov: Governance, new: DataFrame) -> DataFrame:
     return V.potential_sensitive_columns(gov.with_(columns=new)).filter(
         (F.col("has_masking_policy") == V.NOT_MASKED) | (F.col("tagged_as_pii") == V.NOT_TAGGED)
     )

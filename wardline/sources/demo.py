@@ -111,6 +111,16 @@ COLUMNS = {
     "column_id": "p_partkey",
 }
 
+# The catalogue before some columns came, went, were renamed or got another type.
+FORMER_COLUMNS = {
+    "table_catalog": "table_catalog",
+    "table_schema": "table_schema",
+    "table_name": "table_name",
+    "column_name": "column_name || gone || CASE WHEN column_id % 40 = 2 THEN '_OLD' ELSE '' END",
+    "data_type": "CASE WHEN column_id % 7 = 1 THEN 'NUMBER' ELSE data_type END",
+}
+FORMER_COLUMNS_WHERE = "(n = 0 AND column_id % 60 <> 0) OR (n = 1 AND column_id % 50 = 3)"
+
 MASKING_ATTACHMENTS = {
     "policy_db": "'GOV_DB'",
     "policy_schema": "CASE WHEN column_id % 33 = 0 THEN 'OTHER' ELSE 'GOVERNANCE' END",
@@ -307,6 +317,12 @@ def earlier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(spark, sf_dir).filter("column_id % 10 <> 0").drop("column_id")
 
 
+def former_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier column catalogue that differs from the present one in every way."""
+    each = _with_each(_columns(spark, sf_dir), ("gone", "n"), [("", 0), ("_GONE", 1)])
+    return _select(each, FORMER_COLUMNS, FORMER_COLUMNS_WHERE)
+
+
 def _policy_references(columns: DataFrame) -> DataFrame:
     return _select(columns, MASKING_ATTACHMENTS, MASKING_ATTACHMENTS_WHERE).unionByName(
         _select(columns, ROW_ATTACHMENTS, ROW_ATTACHMENTS_WHERE)
