@@ -1,5 +1,6 @@
 """Registry, catalogue, sinks and the session-variable view."""
 
+import random
 from datetime import date
 from pathlib import Path
 
@@ -101,6 +102,32 @@ def test_closure_of_a_cycle(spark):
     assert closure_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]) == {(x, y) for x in "abc" for y in "abcd"}
 
 
+def test_closure_joins_a_pair_of_a_tree_once(spark, monkeypatch):
+    pairs = spark.createDataFrame([(f"r{i // 2}", f"r{i}") for i in range(2, 256)], "role_name string, inherited_role string")
+    joined, join = [], type(pairs).join
+
+    def counted(*args):
+        joined.append((found := join(*args)).count())
+        return found
+
+    monkeypatch.setattr(type(pairs), "join", counted)
+    held = privileges.closure(pairs)
+    monkeypatch.undo()
+    assert held.count() == sum(i.bit_length() - 1 for i in range(2, 256)) and sum(joined) == held.count() - 254
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_of_any_graph(spark, seed):
+    """Chords, cycles, loops and parts that do not meet."""
+    draw = random.Random(seed)
+    edges = {(f"r{i}", f"r{i + 1}") for i in range(0, 40) if i != 25} | {("r9", "r9"), ("r30", "r26")}
+    edges |= {(f"r{draw.randrange(25)}", f"r{draw.randrange(25)}") for _ in range(2 + 4 * seed)}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    assert closure_of(spark, sorted(edges)) == want
+
+
 def test_access_matrix(spark, sf_dir):
     matrix = {r.role_name: r for r in privileges.role_access_matrix(demo.governance(spark, sf_dir)).collect()}
     assert matrix[R.DATA_ENGINEER].prod_deposit == "WRITE"

@@ -19,23 +19,28 @@ WRITE_QUERIES = ("INSERT", "UPDATE", "DELETE", "MERGE", "COPY", "CREATE", "ALTER
 def closure(pairs: DataFrame) -> DataFrame:
     """The transitive closure of ``(role_name, inherited_role)``.
 
-    Each round joins the distinct pairs with themselves, so paths double in length and a
-    pair is kept once however many paths lead to it. It ends when a round adds no pair; a
-    cycle ends as well. Rounds are written to the shared folder; a round's files go once the
-    next one is written.
+    After round k the frame has every pair whose shortest path has at most 2^k steps; ``far``
+    marks those of exactly 2^k. A round joins the far pairs alone with all pairs, so a longer
+    pair is found once for each role that stands 2^k steps along a shortest path: in a tree
+    once, whatever its depth. What also has a shorter path is not far. It ends, in cycles as
+    well, when no pair is far. Rounds are written to the shared folder; a round's files go
+    once the next one is written.
     """
-    held, size = written(pairs.distinct()), -1
-    while (now := held.count()) != size:
-        size = now
-        onward = held.select(F.col("role_name").alias("inherited_role"), F.col("inherited_role").alias("further"))
+    other = ~F.col("role_name").eqNullSafe(F.col("inherited_role"))
+    held = written(pairs.distinct().withColumn("far", other))
+    while held.filter("far").count():
+        first = held.filter("far").select("role_name", "inherited_role")
+        onward = held.filter(other).select(F.col("role_name").alias("inherited_role"), F.col("inherited_role").alias("further"), "far")
         before, held = held, written(
-            held.join(onward, "inherited_role")
-            .select("role_name", F.col("further").alias("inherited_role"))
-            .union(held)
-            .distinct()
+            first.join(onward, "inherited_role")
+            .select("role_name", F.col("further").alias("inherited_role"), "far")
+            .union(held.withColumn("far", F.lit(False)))
+            .groupBy("role_name", "inherited_role")
+            .agg(F.min("far").alias("far"))
+            .withColumn("far", F.col("far") & other)
         )
         discard(before)
-    return held
+    return held.drop("far")
 
 
 def role_closure(gov: Governance) -> DataFrame:
