@@ -100,6 +100,11 @@ def test_an_object_named_twice(spark, gov):
     assert found == {"T1": (2, 1), "T2": (1, 1)}
 
 
+def test_objects_are_parsed_once_and_counted_without_lambdas(gov):
+    plan = access.facts_of(gov.query_history)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "lambda" not in plan
+
+
 def test_a_persisted_run_takes_objects_apart_once(gov):
     alone = [rows(f(audits.AuditInputs(gov))) for f in (audits.audit_06_by_object, audits.audit_07_by_object)]
     with audits.AuditInputs.persisted(gov) as inputs:

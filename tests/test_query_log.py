@@ -1,5 +1,6 @@
 """A log loaded in parts reads as if it had come at once."""
 
+import random
 import re
 from datetime import date, datetime
 
@@ -133,3 +134,42 @@ def test_few_repetitions_are_broadcast(spark, log, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert "BroadcastHashJoin" in final and "LeftAnti" in final and "SortMergeJoin" not in final
+
+
+def test_any_repetitions(spark, log, tmp_path):
+    """Queries in one to three loads, some several times in one, against a plain search."""
+    path, draw, want = str(tmp_path), random.Random(7), {}
+    base = log.filter("query_id < 60")
+    ids = sorted(r.query_id for r in base.select("query_id").collect())
+    for load in (1, 2, 3):
+        times = {i: draw.choice([0, 0, 1, 1, 1, 2, 3]) for i in ids}
+        want |= {i: load for i, n in times.items() if n}
+        counts = spark.createDataFrame(list(times.items()), "query_id bigint, n int")
+        each = base.join(counts, "query_id").select(base["*"], F.explode(F.array_repeat(F.lit(load), F.col("n"))).alias("load"))
+        write_query_history(each.withColumn("error_code", F.col("load").cast("string")).drop("load"), path)
+    found = [(r.query_id, int(r.error_code)) for r in read_query_history(spark, path).collect()]
+    assert sorted(found) == sorted(want.items())
+
+
+def test_ids_are_shuffled_once(spark, log, tmp_path):
+    """The list of repeated queries meets the rows where it was made, also without broadcasts."""
+    path = str(tmp_path)
+    in_three(log, path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = read_query_history(spark, path)
+        assert read.count() == log.count()
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and all(keys.count("#") == 2 for keys in dealt)
+
+
+def test_json_is_parsed_behind_the_shuffle(spark, log, tmp_path, monkeypatch):
+    """A compressed log has few splits; the dearest step is not to run in them."""
+    plans, write = [], query_log._write
+    monkeypatch.setattr(query_log, "_write", lambda rows, *to: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, *to))
+    write_query_history(log, str(tmp_path))
+    assert plans[0].index("from_json") < plans[0].index("RebalancePartitions")

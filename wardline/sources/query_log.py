@@ -37,19 +37,19 @@ def write_query_history(history: DataFrame, path: str, load: int | None = None)
     it. A load written again under its own number replaces itself. The accessed objects are
     parsed here, once, and stored as an array: parsing JSON is the dearest part of every
     report on objects. The rebalance hint gathers a day's rows and lets AQE cut a busy day
-    into files of the advisory size.
+    into files of the advisory size. Rows are parsed behind it: a compressed log is read in
+    few splits, and the texts are dealt out to all cores first.
     """
     if load is None:
         load = max((max(loads) for loads in loads_by_day(history.sparkSession, path).values()), default=0) + 1
-    objects = F.from_json("objects_accessed", schemas.OBJECTS_ACCESSED)
-    _write(history.withColumn("objects_accessed", objects).withColumn(DAY, F.col("start_time").cast("date")), path, load)
+    rows = history.withColumn(DAY, F.col("start_time").cast("date")).hint("rebalance", DAY)
+    _write(rows.withColumn("objects_accessed", F.from_json("objects_accessed", schemas.OBJECTS_ACCESSED)), path, load)
     return load
 
 
 def _write(rows: DataFrame, path: str, load: int) -> None:
     (
         rows.withColumn(LOAD, F.lit(load))
-        .hint("rebalance", DAY)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY, LOAD)
@@ -66,20 +66,27 @@ def merged_loads(rows: DataFrame) -> DataFrame:
 
     Only ids and numbers of loads are shuffled to find the queries that stand more than
     once; whole rows meet that list by a join, which AQE turns into a broadcast where the
-    list is small, and only the rows of those queries are compared. Rows without a query
-    id all stay.
+    list is small. Of a query that two loads have once each, the older row goes by that join;
+    only rows that may stand twice in the last load are compared. Rows without a query id
+    all stay.
     """
     again = (
         rows.filter("query_id is not null")
         .groupBy(*QUERY)
-        .agg(F.max(LOAD).alias(LOAD), F.count("*").alias("found"))
+        .agg(F.max(LOAD).alias("last"), F.min(LOAD).alias("first"), F.count("*").alias("found"))
         .filter("found > 1")
-        .drop("found")
+        .withColumn("compared", F.expr("found > 2 or first = last"))
+        .select(*(F.col(c).alias(f"again_{c}") for c in QUERY), "last", "compared")
     )
-    alone = rows.join(again.drop(LOAD), QUERY, "left_anti")
+    same = (F.col(DAY) == F.col(f"again_{DAY}")) & (F.col("query_id") == F.col("again_query_id"))
+    alone = rows.join(again, same & ((F.col(LOAD) < F.col("last")) | F.col("compared")), "left_anti")
     order = Window.partitionBy(*QUERY).orderBy(F.desc("start_time"), F.xxhash64(*(c for c in rows.columns if c not in (DAY, LOAD))))
+    # >= and not =, though no load is later: a key of the join would have the list shuffled once more
     last = (
-        rows.join(again, [*QUERY, LOAD], "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+        rows.join(again.filter("compared"), same & (F.col(LOAD) >= F.col("last")), "left_semi")
+        .withColumn("nth", F.row_number().over(order))
+        .filter("nth = 1")
+        .drop("nth")
     )
     return alone.unionByName(last)
 
@@ -112,7 +119,7 @@ def settle_query_history(spark: SparkSession, path: str) -> int:
     if several:
         number = max(max(loads) for loads in by_day.values()) + 1
         rows = merged_loads(_stored(spark, path).filter(F.col(DAY).isin(list(several)))).drop(LOAD)
-        _write(rows, path, number)
+        _write(rows.hint("rebalance", DAY), path, number)
         folder = Folder(spark, path)
         for day, loads in several.items():
             for load in loads:
